@@ -98,7 +98,7 @@ def parse_diff(diff: Column | str, removal_anchors: bool = False, hunk_fallback:
     return parse(col(diff))
 
 
-@F.pandas_udf("original string, suggested string")
+@F.pandas_udf(T.StructType([T.StructField("original", T.StringType()), T.StructField("suggested", T.StringType())]))
 def patch_code_at_line(patch: pd.Series, line: pd.Series) -> pd.DataFrame:
     """Code of the first patch line standing at ``line`` of the new file.
 
@@ -206,7 +206,7 @@ def split_diff_text(diff: str | None, token_budget: int) -> list[str]:
     return parts or [diff]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_diff(diff: pd.Series, token_budget: pd.Series) -> pd.Series:
     return pd.Series([split_diff_text(d, int(b)) for d, b in zip(diff, token_budget)])
 
@@ -310,7 +310,7 @@ def focused_context_text(content, language, declared, diff, reason, radius=K.CON
     return file.render(choose_windows(file, anchors or [1], radius, budget))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def focused_context(
     content: pd.Series, language: pd.Series, declared: pd.Series, diff: pd.Series, reason: pd.Series,
     radius: pd.Series, budget: pd.Series,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,11 +175,7 @@ def matches_file_type(path: Column | str, name: Column | str, kind: str) -> Colu
     return hit
 
 
-def english_stopwords() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
-def keyword_prefilter(comment: Column, code: Column, stopwords: list[str]) -> Column:
+def keyword_prefilter(comment: Column, code: Column, stopwords=K.ENGLISH_STOPWORDS) -> Column:
     """A comment passes when one of its keywords occurs in the code, or when it has no keywords."""
     code = F.lower(F.coalesce(code, F.lit("")))
     parts = F.split(F.lower(F.coalesce(comment, F.lit(""))), "[^a-zA-Z0-9_]+", -1)

@@ -54,6 +54,11 @@ def _quote(term: str) -> str:
 quote_regex = _quote
 
 
+def word_pattern(*alternatives: str) -> str:
+    """Regex for whole words; ASCII word boundaries, which Java's ``\\b`` is not in every version."""
+    return "(?<![A-Za-z0-9_])(?:" + "|".join(alternatives) + ")(?![A-Za-z0-9_])"
+
+
 def words(c: Column | str) -> Column:
     """Search tokens: lower-cased runs of letters, digits and underscore."""
     return F.regexp_extract_all(F.lower(col(c)), F.lit(f"({WORD})"), 1)
@@ -129,7 +134,7 @@ def verification_text(comment: Column | str, code: Column | str) -> Column:
     tail = F.substring(comment, -100, 100)
     chosen = (
         F.when(F.length(comment) <= 500, comment)
-        .when(tail.rlike(K.VERIFY_TAIL_PATTERN), F.concat(F.substring(comment, 1, 300), F.lit("... "), tail))
+        .when(tail.rlike("(?i)" + word_pattern(*K.VERIFY_TAIL_WORDS)), F.concat(F.substring(comment, 1, 300), F.lit("... "), tail))
         .otherwise(F.substring(comment, 1, 400))
     )
     code = F.when(F.length(code) > 400, F.concat(F.substring(code, 1, 400), F.lit("..."))).otherwise(code)

@@ -40,7 +40,8 @@ def l2_squared(a: Column | str, b: Column | str) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    # greatest and least skip nulls, so an absent score must be kept absent by hand.
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
 def document_similarity(distance: Column | str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.functions import constants as K
-from reviewlake.functions.text import col, is_blank, truncate_tokens, verification_text
+from reviewlake.functions.text import col, is_blank, truncate_tokens, verification_text, word_pattern
 
 
 class Embedder(Protocol):
@@ -94,7 +94,8 @@ def keyword_scores(text: Column | str, labels=K.DOMAIN_LABELS, min_score: float
     scored = []
     for i, label in enumerate(labels):
         names = [w for w in re.split(r"[^a-z0-9]+", label.lower()) if len(w) > 1]
-        hits = sum((text.rlike(rf"\b{w}\b").cast("int") for w in names[1:]), text.rlike(rf"\b{names[0]}\b").cast("int"))
+        found = [text.rlike(word_pattern(w)).cast("int") for w in names]
+        hits = sum(found[1:], found[0])
         scored.append(F.struct(
             (hits / F.lit(float(len(names)))).alias("confidence"), F.lit(-i).alias("order"), F.lit(label).alias("domain")
         ))
