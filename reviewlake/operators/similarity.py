@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import col
+from reviewlake.operators.knn import knn
+from reviewlake.operators.models import Embedder, embed
+from reviewlake.session import materialize
 
 
 def word_set(c: Column | str) -> Column:
@@ -21,3 +24,75 @@ def set_jaccard(a: Column, b: Column) -> Column:
 
 def word_jaccard(a: Column | str, b: Column | str) -> Column:
     return set_jaccard(word_set(a), word_set(b))
+
+
+def best_word_matches(
+    left: DataFrame, right: DataFrame, threshold: float, left_id: str = "id", right_id: str = "id", text: str = "text"
+) -> DataFrame:
+    """Per left row its most similar right row by word Jaccard above ``threshold``: ``id, match_id, similarity``.
+
+    Exact set-similarity join. Equal word sets collapse to one first, so a block of copies is compared
+    once. Words are ordered from rare to common; two sets above the threshold must share one of the
+    first few, so only those are joined, with the length filter, and the candidates are then verified.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie between 0 and 1")
+
+    def sets(df: DataFrame, id_col: str) -> DataFrame:
+        words = F.array_sort(word_set(text))
+        return df.select(F.col(id_col).alias("id"), words.alias("words")).where(F.size("words") > 0).withColumn(
+            "set_id", F.md5(F.array_join("words", " ")))
+
+    members = sets(left, left_id)
+    targets = sets(right, right_id).groupBy("set_id").agg(F.min("id").alias("match_id"), F.first("words").alias("words"))
+    sources = members.groupBy("set_id").agg(F.first("words").alias("words"))
+    sources, targets = materialize(sources, "left-sets"), materialize(targets, "right-sets")
+
+    frequency = (
+        sources.select(F.explode("words").alias("word")).unionByName(targets.select(F.explode("words").alias("word")))
+        .groupBy("word").agg(F.count("*").alias("df"))
+    )
+
+    def prefixes(df: DataFrame, name: str) -> DataFrame:
+        n = F.size("words")
+        keep = n - F.ceil(n * threshold - 1e-9) + 1
+        words = df.select("set_id", n.alias("n"), keep.alias("keep"), F.explode("words").alias("word")).join(frequency, "word")
+        # A set is one text's words; its prefix is cut from a sorted array, not a window over a hot key.
+        rare_first = F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), F.lit(1), F.first("keep").cast("int"))
+        return words.groupBy("set_id", "n").agg(rare_first.alias("p")).select(
+            F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.explode("p.word").alias("word"))
+
+    pairs = prefixes(sources, "l").join(prefixes(targets, "r"), "word").where(
+        (F.col("r_n") >= F.col("l_n") * threshold - 1e-9) & (F.col("l_n") >= F.col("r_n") * threshold - 1e-9)
+    ).select("l", "r").distinct()
+    verified = (
+        pairs.join(sources.select(F.col("set_id").alias("l"), F.col("words").alias("lw")), "l")
+        .join(targets.select(F.col("set_id").alias("r"), F.col("words").alias("rw"), "match_id"), "r")
+        .select("l", "match_id", set_jaccard(F.col("lw"), F.col("rw")).alias("similarity"))
+        .where(F.col("similarity") > threshold)
+    )
+    best = verified.groupBy("l").agg(
+        F.min_by(F.struct("match_id", "similarity"), F.struct(-F.col("similarity"), F.col("match_id"))).alias("b"))
+    return members.join(best, members.set_id == best.l).select("id", "b.match_id", "b.similarity")
+
+
+def filter_dismissed(
+    issues: DataFrame, dismissed: DataFrame, threshold: float = 0.7, embedder: Embedder | None = None, id_col: str = "id",
+    text: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """(issues unlike every dismissed one, the best match of each dropped issue).
+
+    With an embedder the similarity is ``(cosine + 1) / 2`` of the nearest dismissed issue; without one,
+    or for texts without a vector, it is word Jaccard.
+    """
+    if embedder is None:
+        matches = best_word_matches(issues, dismissed, threshold, id_col, id_col, text)
+    else:
+        q = embed(issues.select(F.col(id_col).alias("query_id"), text), text, embedder=embedder)
+        d = embed(dismissed.select(F.col(id_col).alias("id"), text), text, embedder=embedder)
+        near = knn(q, d, 1, cosine=True)
+        matches = near.select(
+            F.col("query_id").alias("id"), F.col("id").alias("match_id"), (1 - F.col("distance") / 4).alias("similarity")
+        ).where(F.col("similarity") > threshold)
+    kept = issues.join(matches.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    return kept, matches

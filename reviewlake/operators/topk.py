@@ -16,8 +16,9 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     """
     name = rank or "__rank"
     if k > GROUP_LIMIT_MAX:
-        salted = Window.partitionBy(*keys, F.spark_partition_id()).orderBy(*order)
-        df = df.withColumn("__local", F.row_number().over(salted)).where(F.col("__local") <= k).drop("__local")
+        salted = Window.partitionBy(*keys, "__part").orderBy(*order)
+        df = df.withColumn("__part", F.spark_partition_id()).withColumn("__local", F.row_number().over(salted))
+        df = df.where(F.col("__local") <= k).drop("__part", "__local")
     window = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
     return out if rank else out.drop(name)

@@ -191,11 +191,11 @@ def g19(t):
 SELECT b.file_id, CASE WHEN mark = '-' THEN b.content END AS original, CASE WHEN mark = '+' THEN b.content END AS suggested
 FROM diffs d LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM body
-  WHERE line_number = file_id % 30 + 3) b ON d.file_id = b.file_id AND k = 1
+  WHERE line_number = file_id % 30 + 2 + 2 * (file_id % 2)) b ON d.file_id = b.file_id AND k = 1
 WHERE b.file_id IS NOT NULL AND mark <> ' '""")
 def g20(t):
-    # The wanted line is the hunk's third; diffs without such a changed line give nothing.
-    target = (F.col("file_id") % 30 + 3).cast("int")
+    # The wanted line is the hunk's second or fourth; diffs without such a changed line give nothing.
+    target = (F.col("file_id") % 30 + 2 + 2 * (F.col("file_id") % 2)).cast("int")
     patch = F.regexp_replace("diff", r"(?s)^.*?(?=@@)", "")
     found = diffs(t.documents).select("file_id", D.patch_code_at_line(patch, target).alias("c")).select("file_id", "c.*")
     return found.where(F.col("original").isNotNull() | F.col("suggested").isNotNull())
@@ -509,7 +509,7 @@ def g39(t):
     SELECT p_name AS term FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part
     UNION SELECT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) FROM benchmark) WHERE regexp_matches(lower(term), '^[\\p{L}\\p{N}_ ]+$')),
 txt AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS w, lower(text) AS low FROM documents)""") + """
-SELECT doc_id, term FROM txt, dict WHERE contains(w, ' ' || term || ' ') AND contains(low, term)""")
+SELECT doc_id, term FROM txt, dict WHERE contains(w, ' ' || term || ' ') AND regexp_matches(low, '(^|[^A-Za-z0-9_])' || term || '($|[^A-Za-z0-9_])')""")
 def c13(t):
     first_two = F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
     terms = (

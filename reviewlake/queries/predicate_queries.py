@@ -36,10 +36,10 @@ def sql_is_doc(path: str) -> str:
 
 @query("b1_project_filter", with_ctes(FILES) + """
 SELECT file_id FROM files WHERE project_path IN ('/work/src1', '/work/src2')
-  AND (CASE file_id % 4 WHEN 0 THEN starts_with(project_path || '/' || path, '/work/src1/')
+  AND (CASE file_id // 20 % 4 WHEN 0 THEN starts_with(project_path || '/' || path, '/work/src1/')
        WHEN 1 THEN FALSE WHEN 2 THEN project_path = '/work/src1' ELSE TRUE END)""")
 def b1(t):
-    n = F.col("file_id") % 4
+    n = F.floor(F.col("file_id") / 20) % 4
     path = (
         F.when(n == 0, F.concat_ws("/", F.lit("/work/src1"), "path"))
         .when(n == 1, F.concat(F.lit("../"), "path")).when(n == 2, F.concat_ws("/", F.lit("/work/src1"), "path")).otherwise(F.col("path"))
