@@ -82,8 +82,8 @@ def filter_dismissed(
 ) -> tuple[DataFrame, DataFrame]:
     """(issues unlike every dismissed one, the best match of each dropped issue).
 
-    With an embedder the similarity is ``(cosine + 1) / 2`` of the nearest dismissed issue; without one,
-    or for texts without a vector, it is word Jaccard.
+    With an embedder the similarity is ``(cosine + 1) / 2`` of the nearest dismissed issue; without one
+    it is word Jaccard.
     """
     if embedder is None:
         matches = best_word_matches(issues, dismissed, threshold, id_col, id_col, text)
