@@ -1 +1,350 @@
-"""Pending."""
+"""Multi-stage jobs over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from reviewlake.functions import constants as K
+from reviewlake.operators.models import HashedWords, embed
+from reviewlake.plans import history as S
+from reviewlake.plans import retrieval as Q
+from reviewlake.plans import review as V
+from reviewlake.plans.refresh import chunk_documents, refresh_chunks, refresh_corpus, refresh_files
+from reviewlake.queries.function_queries import SQL_CONTEXT, SQL_TAGS, code_contexts, sql_category
+from reviewlake.queries.inputs import COMMENTS, DIFFS, FILES, comments, diffs, files, quoted, with_ctes
+from reviewlake.queries.predicate_queries import sql_in
+from reviewlake.queries.registry import query
+from reviewlake.queries.search_queries import DIM, sql_bm25, sql_embedding, sql_knn_components
+from reviewlake.session import shared_dir
+from reviewlake.sources.corpus import Corpus
+from reviewlake.streaming.jobs import stream_comments
+
+E = HashedWords(DIM)
+
+
+# One project holds everything, the hardest case for a search partitioned by project.
+def _code_corpus(t):
+    f = files(t.documents).select(
+        F.col("file_id").alias("id"), F.lit("/work/all").alias("project_path"), "path", F.lit("file").alias("type"), "content")
+    return embed(f, "content", "vector", E)
+
+
+def _code_queries(t):
+    q = t.benchmark.select(
+        F.col("item_id").alias("query_id"), F.lit("/work/all").alias("project_path"), F.lit("src/q.js").alias("path"), F.col("text").alias("content"),
+        F.when(F.col("item_id") % 3 == 0, None).otherwise(F.col("item_id") % 3 == 1).alias("is_test"))
+    return embed(q, "content", "vector", E)
+
+
+_IS_TEST_LIKE = "(path LIKE '%.test.%' OR path LIKE '%.spec.%' OR path LIKE '%_test.py' OR path LIKE 'test_%.py')"
+_ALLOWED = f"(q.item_id % 3 = 0 OR (q.item_id % 3 = 1) = {_IS_TEST_LIKE.replace('path', 'c.path')})"
+CODE_SEARCH = with_ctes(
+    FILES, sql_embedding("qe", "benchmark", "item_id", "text"), sql_embedding("de", "files", "file_id", "content"),
+    f"pairs AS (SELECT q.item_id AS query_id, c.file_id AS doc_id FROM benchmark q, files c WHERE {_ALLOWED})",
+    sql_bm25("benchmark", "item_id", "text", "files", "file_id", "content", 20, allowed="WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM pairs)"),
+    sql_knn_components("v", "qe", "item_id", "de", "file_id", 20, "(q.item_id, c.file_id) IN (SELECT (query_id, doc_id) FROM pairs)"),
+    """fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM b_top UNION ALL SELECT query_id, id, rank FROM v) GROUP BY ALL),
+f20 AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
+sims AS (SELECT f20.query_id, f20.doc_id, exp(-2 * round(greatest(qn.nn + cn.nn - 2 * coalesce(dot, 0), 0), 9)) AS similarity
+  FROM f20 JOIN v_qn qn USING (query_id) JOIN v_cn cn ON cn.id = f20.doc_id LEFT JOIN v_dot d ON d.query_id = f20.query_id AND d.id = f20.doc_id)""")
+
+
+@query("h8_find_similar_code", CODE_SEARCH + """
+SELECT query_id, doc_id AS id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM sims
+WHERE similarity >= 0.01 QUALIFY rank <= 5""")
+def h8(t):
+    found = Q.find_similar_code(_code_queries(t), _code_corpus(t), 5, 0.01)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _chunks(t):
+    """Documentation chunks: one per document, five documents to a path."""
+    d = F.col("doc_id")
+    rows = t.documents.select(
+        d.alias("id"), F.lit("/work/all").alias("project_path"), F.concat(F.lit("docs/"), F.col("source"), F.lit("/g"), F.floor(d / 5), F.lit(".md")).alias(
+            "original_document_path"),
+        F.concat_ws(" ", F.lit("Guide api"), "source").alias("document_title"), F.lit("").alias("heading_text"), F.col("text").alias("content"))
+    return embed(rows, "content", "vector", E)
+
+
+def _doc_queries(t):
+    q = t.benchmark.select(
+        F.col("item_id").alias("query_id"), F.lit("/work/all").alias("project_path"), F.lit("docs/src1/q.js").alias("path"), "text",
+        F.when(F.col("item_id") % 2 == 0, "Backend").otherwise("Frontend").alias("area"), F.array(F.lit("Node.js")).alias("tech"))
+    return embed(q, "text", "vector", E)
+
+
+DOC_SEARCH = with_ctes(
+    sql_embedding("qe", "benchmark", "item_id", "text"), sql_embedding("de", "documents", "doc_id", "text"),
+    sql_knn_components("v", "qe", "item_id", "de", "doc_id", 30))
+
+
+@query("h9_find_relevant_docs", DOC_SEARCH + """
+SELECT query_id, id, round(1 - distance, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM v
+WHERE greatest(0, 1 - distance) >= 0.1 QUALIFY rank <= 10""")
+def h9(t):
+    found = Q.find_relevant_docs(_doc_queries(t), _chunks(t), None, 10, 0.1, rerank=False, mode="vector")
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("h9_rerank_docs", with_ctes(
+    sql_embedding("qe", "benchmark", "item_id", "text"), sql_embedding("de", "documents", "doc_id", "text"),
+    sql_knn_components("v", "qe", "item_id", "de", "doc_id", 30),
+    sql_embedding("te", "(SELECT DISTINCT 'Guide api ' || source AS title FROM documents)", "title", "title"),
+    """hit AS (SELECT v.query_id, v.id, 1 - distance AS sim, 'Guide api ' || source AS title, source FROM v JOIN documents ON doc_id = id WHERE greatest(0, 1 - distance) >= 0.05),
+n AS (SELECT query_id, count(*) AS n FROM hit GROUP BY ALL),
+td AS (SELECT q.item_id AS query_id, te.title, sum(q.w * te.w) AS dot FROM qe q JOIN te USING (bucket) GROUP BY ALL),
+qn AS (SELECT item_id AS query_id, sqrt(sum(w * w)) AS nn FROM qe GROUP BY ALL), tn AS (SELECT title, sqrt(sum(w * w)) AS nn FROM te GROUP BY ALL),
+ranked AS (SELECT query_id, id, CASE WHEN n >= 3 THEN greatest(0, least(1, sim * 0.3 + CASE WHEN query_id % 2 = 0 THEN 0.4 ELSE -0.1 END
+    + coalesce(dot, 0) / (qn.nn * tn.nn) * 0.15 + CASE WHEN source = 'src1' THEN 2 / 2.0 ELSE 1 / 2.0 END * 0.1)) ELSE sim END AS similarity
+  FROM hit JOIN n USING (query_id) LEFT JOIN td USING (query_id, title) JOIN qn USING (query_id) JOIN tn USING (title))""") + """
+SELECT query_id, id, round(similarity, 5) AS similarity FROM ranked
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) <= 10""")
+def h9_rerank(t):
+    # Every document's context is the same by construction: its title names an API, so its area is Backend.
+    chunks = _chunks(t)
+    contexts = chunks.select("project_path", F.col("original_document_path").alias("path"), F.col("document_title").alias("title")).distinct().select(
+        "project_path", "path", "title", F.lit(False).alias("generic"), F.lit("Backend").alias("doc_area"),
+        F.array().cast("array<string>").alias("doc_tech"), F.lit(False).alias("readme_style"))
+    found = Q.find_relevant_docs(_doc_queries(t), chunks, contexts, 10, 0.05, mode="vector", embedder=E)
+    return found.select("query_id", "id", F.round("similarity", 5).alias("similarity"))
+
+
+@query("g38_document_contexts")
+def doc_contexts(t):
+    c = Q.document_contexts(_chunks(t))
+    return c.select("path", "doc_area", F.array_join("doc_tech", ",").alias("doc_tech"), "readme_style", "generic")
+
+
+@query("h10_find_custom_chunks", with_ctes(
+    FILES, SQL_CONTEXT, sql_embedding("fe", "files", "file_id", "content"), sql_embedding("ce", "benchmark", "item_id", "text"),
+    "dots AS (SELECT file_id, item_id, sum(fe.w * ce.w) AS dot FROM fe JOIN ce USING (bucket) GROUP BY ALL)",
+    "fn AS (SELECT file_id, sqrt(sum(w * w)) AS nn FROM fe GROUP BY ALL), cn AS (SELECT item_id, sqrt(sum(w * w)) AS nn FROM ce GROUP BY ALL)",
+    "sims AS (SELECT file_id, item_id, dot / (fn.nn * cn.nn) AS s FROM dots JOIN fn USING (file_id) JOIN cn USING (item_id))") + """
+SELECT file_id AS query_id, item_id AS id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY file_id ORDER BY round(s, 9) DESC, item_id) AS rank FROM sims WHERE s >= 0.3
+QUALIFY rank <= 5""")
+def h10(t):
+    q = code_contexts(t).select(F.col("file_id").alias("query_id"), F.lit("/w").alias("project_path"), "path", "content", "area", "tech", "keywords")
+    custom = t.benchmark.select(
+        F.col("item_id").alias("id"), F.lit("/w").alias("project_path"), F.lit("Rules").alias("document_title"), F.col("text").alias("content"))
+    found = Q.find_custom_chunks(embed(q, "content", "vector", E), embed(custom, "content", "embedding", E), 5, 0.3, rerank=False)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("h10_rerank_custom")
+def h10_rerank(t):
+    q = code_contexts(t).select(F.col("file_id").alias("query_id"), F.lit("/w").alias("project_path"), "path", "content", "area", "tech", "keywords")
+    custom = t.benchmark.select(
+        F.col("item_id").alias("id"), F.lit("/w").alias("project_path"), F.lit("Rules").alias("document_title"), F.col("text").alias("content"))
+    found = Q.find_custom_chunks(embed(q, "content", "vector", E), embed(custom, "content", "embedding", E), 5, 0.3, embedder=E)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _history(t):
+    c = comments(t.conversations).select(
+        "id", F.lit("/work/all").alias("project_path"), "comment_text", "file_path", "pr_number", "author", "created_at",
+        F.lit("general").alias("issue_category"), "severity")
+    return embed(c, "comment_text", "combined_embedding", E)
+
+
+def _review_queries(t):
+    return t.benchmark.select(
+        F.col("item_id").alias("query_id"), F.lit("/work/all").alias("project_path"), F.col("text").alias("content"), (F.col("item_id") % 2 == 0).alias("is_test"))
+
+
+@query("h11_find_relevant_comments", with_ctes(
+    COMMENTS, "bq AS (SELECT item_id, text FROM benchmark)", sql_embedding("qe", "bq", "item_id", "text"), sql_embedding("ce", "comments", "id", "comment_text"),
+    sql_knn_components("v", "qe", "item_id", "ce", "id", 15),
+    f"""near AS (SELECT v.query_id, v.id, v.distance, c.comment_text, coalesce(c.file_path, '') AS fp, lower(b.text) AS code FROM v JOIN comments c USING (id)
+  JOIN benchmark b ON b.item_id = v.query_id WHERE distance <= 1.6),
+kept AS (SELECT *, list_filter(regexp_split_to_array(lower(comment_text), '[^a-zA-Z0-9_]+'), lambda x: length(x) > 2 AND NOT {sql_in('x', K.ENGLISH_STOPWORDS)}) AS kw FROM near),
+ok AS (SELECT * FROM kept WHERE (len(kw) = 0 OR len(list_filter(kw, lambda x: contains(code, x))) > 0) AND CASE WHEN query_id % 2 = 0
+  THEN contains(fp, '.test.') OR contains(fp, '.spec.') OR contains(lower(comment_text), 'test') OR contains(lower(comment_text), 'spec')
+  ELSE NOT (contains(fp, '.test.') AND (contains(comment_text, 'describe(') OR contains(comment_text, 'it('))) END)""") + """
+SELECT query_id, id, round(1 - distance, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM ok QUALIFY rank <= 10""")
+def h11(t):
+    found = Q.find_relevant_comments(_review_queries(t), _history(t), 10, max_distance=1.6, embedder=E)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _pr_files(t):
+    f = files(t.documents)
+    labelled = t.labels.where("toxic = 1").select(F.col("doc_id").alias("file_id"))
+    # The files under review: those labelled toxic; the corpus is everything.
+    return f.join(labelled, "file_id", "left_semi").select(
+        F.col("file_id").alias("query_id"), (F.col("file_id") % 41).alias("pr"), F.lit("/work/all").alias("project_path"), "path", "content")
+
+
+def _stacked(context, keys):
+    rows = None
+    for kind, df in context.items():
+        part = df.select(F.lit(kind).alias("kind"), *keys, F.col("id").cast("string").alias("id"), F.round("similarity", 6).alias("similarity"), "rank"
+                         if "rank" in df.columns else F.col("doc_rank").alias("rank"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("h12_context_for_file")
+def h12(t):
+    context = Q.context_for_files(_pr_files(t).drop("pr"), _code_corpus(t), _chunks(t), _history(t), embedder=E)
+    return _stacked(context, ["query_id"])
+
+
+@query("h13_unified_context")
+def h13(t):
+    return _stacked(Q.unified_context(_pr_files(t), _code_corpus(t), _chunks(t), _history(t), embedder=E), ["pr"])
+
+
+def _raw(t):
+    c = comments(t.conversations)
+    hunk = F.when(F.col("turn") % 3 == 0, F.concat(
+        F.lit("@@ -1,2 +"), (F.col("turn") + 4).cast("string"), F.lit(",3 @@\n-"), F.col("role"), F.lit("\n+new "), F.col("role"), F.lit("\n same")))
+    return c.select(
+        "repository", F.col("conv_id").alias("pr_number"), "id", F.col("comment_text").alias("body"), "author", F.col("file_path").alias("path"), "position",
+        "line", hunk.alias("diff_hunk"), "created_at", "updated_at", "pr_updated_at")
+
+
+ENRICHED = f"""human AS (SELECT * FROM comments WHERE NOT coalesce({sql_in("lower(trim(author))", K.BOT_NAMES)}
+    OR {' OR '.join(f"regexp_matches(author, {quoted('(?i)' + p)})" for p in K.BOT_PATTERNS)}, FALSE)),
+classified AS (SELECT *, CASE WHEN turn % 3 = 0 THEN role END AS code FROM human)"""
+
+
+@query("h14_enrich_comments", with_ctes(COMMENTS, ENRICHED, sql_category()) + f"""
+SELECT id, conv_id AS pr_number, CASE WHEN file_path IS NOT NULL AND position IS NOT NULL THEN 'review' WHEN file_path IS NOT NULL AND line IS NOT NULL THEN 'inline' ELSE 'issue' END AS comment_type,
+  CASE WHEN coalesce(author, '') = '' THEN 'unknown' ELSE author END AS author, coalesce(line, nullif(position, 0)) AS line_number,
+  CASE WHEN turn % 3 = 0 THEN CAST(turn + 4 AS INTEGER) END AS line_range_start, CASE WHEN turn % 3 = 0 THEN CAST(turn + 6 AS INTEGER) END AS line_range_end,
+  code AS original_code, CASE WHEN turn % 3 = 0 THEN 'new ' || role END AS suggested_code, category AS issue_category, rating AS severity,
+  array_to_string({SQL_TAGS}, ',') AS tags FROM rated""")
+def h14(t):
+    out = S.enrich_comments(_raw(t), None, E)
+    return out.select(
+        "id", "pr_number", "comment_type", "author", "line_number", "line_range_start", "line_range_end", "original_code", "suggested_code",
+        "issue_category", "severity", F.array_join("pattern_tags", ",").alias("tags"))
+
+
+SYNCED = """prs AS (SELECT DISTINCT repository, conv_id AS pr_number FROM comments WHERE conv_id % 5 <> 1),
+old AS (SELECT id, repository, conv_id AS pr_number FROM comments WHERE conv_id % 4 = 2 UNION ALL SELECT id || 'x', repository, conv_id FROM comments WHERE conv_id % 5 = 0),
+skipped AS (SELECT repository, pr_number FROM prs WHERE pr_number % 4 = 2 AND pr_number % 5 <> 0 AND pr_number <> 0)"""
+
+
+@query("h15_sync_history", with_ctes(COMMENTS, ENRICHED, SYNCED) + """
+SELECT id, repository, pr_number FROM old WHERE (repository, pr_number) NOT IN (SELECT (repository, pr_number) FROM prs)
+UNION ALL SELECT id, repository, pr_number FROM old WHERE (repository, pr_number) IN (SELECT (repository, pr_number) FROM skipped)
+UNION ALL SELECT id, repository, conv_id FROM human WHERE (repository, conv_id) IN (SELECT (repository, pr_number) FROM prs)
+  AND (repository, conv_id) NOT IN (SELECT (repository, pr_number) FROM skipped)
+UNION ALL SELECT o.id, o.repository, o.pr_number FROM old o JOIN comments c ON c.id = o.id WHERE (o.repository, o.pr_number) IN (SELECT (repository, pr_number) FROM prs)
+  AND (o.repository, o.pr_number) NOT IN (SELECT (repository, pr_number) FROM skipped) AND o.id NOT IN (SELECT id FROM human)""")
+def h15(t):
+    raw = _raw(t).drop("pr_updated_at")
+    prs = comments(t.conversations).select("repository", F.col("conv_id").alias("pr_number")).where("pr_number % 5 <> 1").distinct().select(
+        "repository", "pr_number", F.lit("2024-02-01T00:00:00Z").alias("merged_at"), F.lit("2024-02-01T00:00:00Z").alias("updated_at"),
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit("someone").alias("author"), F.lit(False).alias("draft"))
+    base = raw.select(
+        "id", "repository", F.col("pr_number").cast("long").alias("pr_number"), F.lit("/work/all").alias("project_path"), F.col("body").alias("comment_text"),
+        F.col("created_at"), F.lit(None).cast("string").alias("updated_at"), F.lit("general").alias("issue_category"), F.lit("minor").alias("severity"),
+        F.lit("review").alias("comment_type"), F.lit("a").alias("author"))
+    # Stored: processed pull requests (as new as the current ones), and vanished comments of older ones.
+    processed = base.where("pr_number % 4 = 2").withColumn("pr_updated_at", F.when(
+        F.col("pr_number") % 5 == 0, "2024-01-05T00:00:00Z").otherwise("2024-02-01T00:00:00Z"))
+    vanished = base.where("pr_number % 5 = 0").withColumn("id", F.concat("id", F.lit("x"))).withColumn("pr_updated_at", F.lit("2024-01-05T00:00:00Z"))
+    stored = processed.unionByName(vanished)
+    review, issue = raw.where("path IS NOT NULL"), raw.where("path IS NULL")
+    result = S.sync_history(prs, review, issue, None, stored, "/work/all", F.lit("2024-03-01T00:00:00Z"), embedder=E)
+    return result["comments"].select("id", "repository", "pr_number")
+
+
+def _refresh_input(t):
+    return files(t.documents).select(
+        "project_path", "path", F.when(F.col("file_id") % 29 == 0, " \n").otherwise(F.col("content")).alias("content"),
+        F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("file_id") % 60).cast("string"), 2, "0"), F.lit("Z")).alias("last_modified"), "file_id")
+
+
+@query("h16_refresh_files", with_ctes(FILES, """rin AS (SELECT *, CASE WHEN file_id % 29 = 0 THEN ' ' || chr(10) ELSE content END AS body FROM files),
+known AS (SELECT *, CASE WHEN file_id % 5 = 0 THEN 'old' ELSE substr(md5(body), 1, 8) END AS old_hash FROM rin WHERE file_id % 3 <> 0)""") + """
+SELECT r.path || '#' || substr(md5(body), 1, 8) AS id, count(*) AS n FROM rin r WHERE file_id % 29 <> 0 GROUP BY ALL""")
+def h16_files(t):
+    now = _refresh_input(t)
+    old = now.where("file_id % 3 <> 0").withColumn(
+        "content_hash", F.when(F.col("file_id") % 5 == 0, "old").otherwise(F.substring(F.md5("content"), 1, 8)))
+    stored = old.select(
+        F.concat_ws("#", "path", "content_hash").alias("id"), "content", F.lit("file").alias("type"), F.col("path").alias("name"), "path", "project_path",
+        F.lit("x").alias("language"), "content_hash", "last_modified", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    table, _ = refresh_files(now.drop("file_id"), stored, E)
+    return table.groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("h16_refresh_chunks")
+def h16_chunks(t):
+    now = _refresh_input(t).drop("file_id")
+    current = chunk_documents(now)
+    stored = current.where(~F.col("original_document_path").contains("1")).withColumn("vector", F.lit(None).cast("array<float>"))
+    table = refresh_chunks(now, stored, E)
+    return table.select("id", "project_path", "content_hash", F.col("vector").isNotNull().alias("embedded"))
+
+
+@query("h16_refresh_corpus")
+def h16(t):
+    spark = t.spark
+    corpus = Corpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    now = _refresh_input(t).drop("file_id")
+    refresh_corpus(corpus, now, E)
+    # The second run sees every path again with a third of the contents changed.
+    changed = now.withColumn("content", F.when(F.crc32("path") % 3 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")))
+    return refresh_corpus(corpus, changed, E)
+
+
+@query("h20_chunked_review_plan")
+def h20(t):
+    d = diffs(t.documents).select("pr", F.col("path").alias("file_path"), "content", "diff", "language")
+    _, planned = V.chunked_review_plan(d, ["pr"], 3000)
+    return planned
+
+
+@query("h20_plan_totals", with_ctes(DIFFS) + """
+SELECT pr, count(*) AS n_files, sum(ceil(length(diff) / 3.5))::BIGINT AS diff_tokens, sum(ceil(length(content) / 3.5))::BIGINT AS full_tokens FROM diffs GROUP BY ALL""")
+def h20_totals(t):
+    d = diffs(t.documents).select("pr", F.col("path").alias("file_path"), "content", "diff", "language")
+    decision, _ = V.chunked_review_plan(d, ["pr"], 3000)
+    return decision.select("pr", "n_files", "diff_tokens", "full_tokens")
+
+
+@query("g48_summary_defaults", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'Unknown Project' ELSE event_type END AS name, 'Unknown' AS type, 'Unknown' AS approach, 0 AS n_technologies FROM events""")
+def g48(t):
+    raw = F.concat(F.lit('{"projectName":"'), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")), F.lit('"}'))
+    s = V.summary_defaults(F.from_json(raw, V.SUMMARY_SCHEMA))
+    return t.events.select("event_id", s.alias("s")).select(
+        "event_id", F.col("s.projectName").alias("name"), F.col("s.projectType").alias("type"), F.col("s.stateManagement.approach").alias("approach"),
+        F.size("s.technologies").alias("n_technologies"))
+
+
+@query("g48_fallback_summary", """
+SELECT '/w/' || p_partkey AS project_path, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END AS name,
+  CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type || ',' || p_brand END AS technologies FROM part""")
+def g48_fallback(t):
+    manifest = F.concat(
+        F.lit('{"name":"'), "p_name", F.lit('","dependencies":{"'), "p_type", F.lit('":"1"},"devDependencies":{"'), "p_brand", F.lit('":"2"}}'))
+    projects = t.part.select(F.concat(F.lit("/w/"), "p_partkey").alias("project_path"), F.when(F.col("p_partkey") % 3 != 0, manifest).alias("manifest"))
+    return V.fallback_summary(projects).select(
+        "project_path", F.col("summary.projectName").alias("name"), F.array_join("summary.technologies", ",").alias("technologies"))
+
+
+@query("i1_stream_comments", with_ctes(COMMENTS, ENRICHED, sql_category()) + """
+SELECT id, comment_text, category AS issue_category, rating AS severity FROM rated""")
+def i1(t):
+    spark = t.spark
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.sf_dir)
+    raw = comments(stream).select(
+        "id", "repository", F.col("conv_id").alias("pr_number"), F.lit("/work/all").alias("project_path"), F.col("comment_text").alias("body"), "author",
+        F.col("file_path").alias("path"), "position", "line", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("@@ -1,2 +4,3 @@\n-"), "role")).alias("diff_hunk"),
+        "created_at", "updated_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 43_200 + F.col("turn") * 3_600).alias("event_time"))
+
+    def store(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
+
+    stream_comments(raw, store, f"{root}/checkpoint", E).awaitTermination()
+    return spark.read.parquet(f"{root}/table").select("id", "comment_text", "issue_category", "severity")
+
