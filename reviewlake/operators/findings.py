@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import constants as K
 from reviewlake.functions.predicates import is_dismissed
-from reviewlake.functions.text import or_default
+from reviewlake.functions.text import or_default, truncate_lines
 from reviewlake.operators.topk import top_k
 
 ISSUE_FIELDS = ("type", "severity", "description", "suggestion", "line_numbers", "code_suggestion")
@@ -247,8 +247,6 @@ def render_report(files: DataFrame, issues: DataFrame, style: str = "markdown")
 
 def format_context_items(items: DataFrame, keys: list[str], kind: str = "code") -> DataFrame:
     """Numbered context entries with the similarity to two decimals and long contents cut."""
-    from reviewlake.functions.text import truncate_lines
-
     limit = K.GUIDELINE_TRUNCATE_LINES if kind == "guideline" else K.CODE_TRUNCATE_LINES
     return items.select(
         *keys, F.col("rank").alias("index"), "path",

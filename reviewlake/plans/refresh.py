@@ -12,7 +12,7 @@ from reviewlake.functions import text as T
 from reviewlake.functions.markdown import markdown_chunks
 from reviewlake.operators import corpus as R
 from reviewlake.operators.models import Embedder, HashedWords, embed
-from reviewlake.operators.topk import best_per_key
+from reviewlake.operators.topk import best_per_key, top_k
 from reviewlake.session import materialize
 
 DOC_KEYS = ["project_path", "original_document_path"]
@@ -102,8 +102,6 @@ def refresh_structure(files: DataFrame, stored: DataFrame, embedder: Embedder) -
 
 def best_lines(tree: DataFrame, limit: int = 1000) -> DataFrame:
     """Text of the first lines of each project's tree."""
-    from reviewlake.operators.topk import top_k
-
     first = top_k(tree, ["project_path"], [F.col("sort_key")], limit, "place")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
     return first.groupBy("project_path").agg(F.array_join(lines, "\n").alias("content"))
@@ -123,6 +121,6 @@ def refresh_corpus(corpus, files: DataFrame, embedder: Embedder | None = None, m
     chunks = refresh_chunks(
         admitted, corpus.table("document_chunk_embeddings").join(projects, "project_path", "left_semi"), embedder, mode)
     counters = materialize(R.run_counters(status), "counters")
-    corpus.write("file_embeddings", table)
-    corpus.write("document_chunk_embeddings", chunks)
+    corpus.write("file_embeddings", table, projects)
+    corpus.write("document_chunk_embeddings", chunks, projects)
     return counters

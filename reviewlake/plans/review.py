@@ -9,7 +9,8 @@ from reviewlake.functions import classify as C
 from reviewlake.functions import constants as K
 from reviewlake.functions import diffs as D
 from reviewlake.functions.paths import directory_of
-from reviewlake.functions.text import estimate_tokens
+from reviewlake.functions.predicates import keeps_severity
+from reviewlake.functions.text import estimate_tokens, or_default
 from reviewlake.operators import findings as N
 from reviewlake.operators import planning as G
 from reviewlake.session import materialize
@@ -78,8 +79,6 @@ def chunked_review_plan(files: DataFrame, keys: list[str], budget: int = K.CHUNK
 
 def assemble_review(results: DataFrame, issues: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     """Merge chunk results: status per file, different issues per file, patterns across chunks."""
-    from reviewlake.functions.predicates import keeps_severity
-
     kept = issues.where(keeps_severity("severity"))
     patterns = N.cross_chunk_patterns(kept, keys)
     return {
@@ -90,8 +89,6 @@ def assemble_review(results: DataFrame, issues: DataFrame, keys: list[str]) -> d
 
 def summary_defaults(summary):
     """Column: a project-summary struct with its missing text and list fields filled."""
-    from reviewlake.functions.text import or_default
-
     none = F.array().cast("array<string>")
     lists = ("mainFrameworks", "technologies", "architecturalPatterns", "reviewGuidelines")
     return F.struct(

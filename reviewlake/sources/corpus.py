@@ -64,10 +64,17 @@ class Corpus:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.fieldNames())
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def _drop_partition(self, name: str, project: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/project_path={escaped}")
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def write(self, name: str, df: DataFrame, projects: DataFrame | None = None) -> None:
         """Replace the projects present in ``df``; other projects' partitions stay as they are.
 
         The rows are staged before the partitions are overwritten, so ``df`` may read the table.
+        ``projects`` names the projects the rows stand for: one without any row left is emptied.
         """
         schema = SCHEMAS[name]
         for field in schema:
@@ -79,6 +86,10 @@ class Corpus:
             self.spark.read.schema(schema).parquet(staged).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("project_path").parquet(self.path(name))
         )
+        if projects is not None:
+            left = self.spark.read.schema(schema).parquet(staged).select("project_path").distinct()
+            for row in projects.select("project_path").distinct().join(left, "project_path", "left_anti").toLocalIterator():
+                self._drop_partition(name, row["project_path"])
 
     def upsert(self, name: str, updates: DataFrame, keys=("id", "project_path")) -> None:
         projects = updates.select("project_path").distinct()
@@ -93,24 +104,15 @@ class Corpus:
             rows = self.table(name).where(F.col("project_path") == project)
             deleted[name] = rows.count()
             if deleted[name]:
-                jvm = self.spark.sparkContext._jvm
-                escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)
-                target = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/project_path={escaped}")
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+                self._drop_partition(name, project)
         return deleted
 
     def clear_repository(self, repository: str, project: str) -> int:
         table = self.table("pr_comments").where(F.col("project_path") == project)
-        gone = F.col("repository") == repository
-        deleted = table.where(gone).count()
-        if deleted and deleted == table.count():
-            # Nothing of the project stays: drop its partition.
-            jvm = self.spark.sparkContext._jvm
-            escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)
-            target = jvm.org.apache.hadoop.fs.Path(f"{self.path('pr_comments')}/project_path={escaped}")
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        elif deleted:
-            self.write("pr_comments", table.where(~F.coalesce(gone, F.lit(False))))
+        kept, counted = R.delete_where(table, F.col("repository") == repository)
+        deleted = counted.first()["deleted"]
+        if deleted:
+            self.write("pr_comments", kept, self.spark.createDataFrame([(project,)], "project_path string"))
         return deleted
 
     def store_summary(self, summaries: DataFrame) -> None:

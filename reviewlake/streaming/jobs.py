@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.operators import corpus as R
+from reviewlake.operators.history import validate_comments
 from reviewlake.operators.models import Embedder, HashedWords
 from reviewlake.plans.history import enrich_comments
 from reviewlake.plans.refresh import admit, refresh_chunks, refresh_files
@@ -25,8 +26,12 @@ def stream_comments(
     # updated_at is part of the key: an edited comment is a new version, not a repeat.
     once = raw.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["id", "project_path", "updated_at"])
 
+    embedder = embedder or HashedWords()
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        store(enrich_comments(batch, patches, embedder), batch_id)
+        enriched = enrich_comments(batch, patches, embedder)
+        store(validate_comments(enriched, embedder.dim, F.col("project_path"), now), batch_id)
 
     return once.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
