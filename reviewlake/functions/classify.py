@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,7 +13,14 @@ from reviewlake.functions.text import col, contains_any, estimate_tokens
 
 
 def _hits(text: Column, patterns) -> Column:
-    return reduce(lambda a, b: a + b, (text.rlike(p).cast("int") for p in patterns))
+    """How many of the patterns occur.
+
+    Nearly all are plain words: those are one loop over a literal array, which keeps the generated code
+    small; only real patterns run a regex.
+    """
+    plain = [p.replace("\\+", "+") for p in patterns if not re.search(r"[.*?]", p)]
+    found = F.size(F.filter(F.array(*[F.lit(p) for p in plain]), lambda p: F.contains(text, p)))
+    return reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in patterns if re.search(r"[.*?]", p)], found)
 
 
 def category_scores(comment: Column | str, code: Column | str, path: Column | str) -> dict[str, Column]:

@@ -10,6 +10,8 @@ from reviewlake.operators.knn import knn
 from reviewlake.operators.models import Embedder, embed
 from reviewlake.session import materialize
 
+BROADCAST_WORDS = 500_000
+
 
 def word_set(c: Column | str) -> Column:
     """Distinct lower-cased words of over two characters, punctuation dropped."""
@@ -48,19 +50,22 @@ def best_word_matches(
     sources = members.groupBy("set_id").agg(F.first("words").alias("words"))
     sources, targets = materialize(sources, "left-sets"), materialize(targets, "right-sets")
 
-    frequency = (
-        sources.select(F.explode("words").alias("word")).unionByName(targets.select(F.explode("words").alias("word")))
-        .groupBy("word").agg(F.count("*").alias("df"))
-    )
+    # Any total order of the words will do. Counting on the right side only makes a word it lacks the
+    # rarest of all: it fills a place in the prefix and can never match.
+    frequency = materialize(
+        targets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "word-counts")
+    if frequency.count() <= BROADCAST_WORDS:
+        frequency = F.broadcast(frequency)
 
     def prefixes(df: DataFrame, name: str) -> DataFrame:
         n = F.size("words")
         keep = n - F.ceil(n * threshold - 1e-9) + 1
         words = df.select("set_id", n.alias("n"), keep.alias("keep"), F.explode("words").alias("word")).join(frequency, "word")
-        # A set is one text's words; its prefix is cut from a sorted array, not a window over a hot key.
-        rare_first = F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), F.lit(1), F.first("keep").cast("int"))
-        return words.groupBy("set_id", "n").agg(rare_first.alias("p")).select(
-            F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.explode("p.word").alias("word"))
+        # A set is one text's words, so the list is short.
+        known = words.groupBy("set_id", "n", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("known"))
+        places = (F.col("keep") - (F.col("n") - F.size("known"))).cast("int")
+        return known.where(places > 0).select(
+            F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.explode(F.slice("known", F.lit(1), places)["word"]).alias("word"))
 
     pairs = prefixes(sources, "l").join(prefixes(targets, "r"), "word").where(
         (F.col("r_n") >= F.col("l_n") * threshold - 1e-9) & (F.col("l_n") >= F.col("r_n") * threshold - 1e-9)
