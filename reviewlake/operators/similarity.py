@@ -14,9 +14,8 @@ BROADCAST_WORDS = 500_000
 
 
 def word_set(c: Column | str) -> Column:
-    """Distinct lower-cased words of over two characters, punctuation dropped."""
-    plain = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^A-Za-z0-9_\s]", " ")
-    return F.array_distinct(F.filter(F.split(plain, r"\s+", -1), lambda w: F.length(w) > 2))
+    """Distinct lower-cased runs of over two word characters; everything else separates."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("([A-Za-z0-9_]{3,})"), 1))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
@@ -41,14 +40,15 @@ def best_word_matches(
         raise ValueError("threshold must lie between 0 and 1")
 
     def sets(df: DataFrame, id_col: str) -> DataFrame:
-        words = F.array_sort(word_set(text))
-        return df.select(F.col(id_col).alias("id"), words.alias("words")).where(F.size("words") > 0).withColumn(
-            "set_id", F.md5(F.array_join("words", " ")))
+        words = F.sort_array(word_set(text))
+        return df.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("set_id", F.md5(F.array_join("words", " ")))
 
-    members = sets(left, left_id)
-    targets = sets(right, right_id).groupBy("set_id").agg(F.min("id").alias("match_id"), F.first("words").alias("words"))
-    sources = members.groupBy("set_id").agg(F.first("words").alias("words"))
-    sources, targets = materialize(sources, "left-sets"), materialize(targets, "right-sets")
+    # Sets without words drop out after the write: a filter before it would compute every set twice.
+    members = materialize(sets(left, left_id), "left-words").where(F.size("words") > 0)
+    sources = materialize(members.groupBy("set_id").agg(F.first("words").alias("words")), "left-sets")
+    targets = materialize(
+        sets(right, right_id).groupBy("set_id").agg(F.min("id").alias("match_id"), F.first("words").alias("words")), "right-sets",
+    ).where(F.size("words") > 0)
 
     # Any total order of the words will do. Counting on the right side only makes a word it lacks the
     # rarest of all: it fills a place in the prefix and can never match.
@@ -62,7 +62,7 @@ def best_word_matches(
         keep = n - F.ceil(n * threshold - 1e-9) + 1
         words = df.select("set_id", n.alias("n"), keep.alias("keep"), F.explode("words").alias("word")).join(frequency, "word")
         # A set is one text's words, so the list is short.
-        known = words.groupBy("set_id", "n", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("known"))
+        known = words.groupBy("set_id", "n", "keep").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("known"))
         places = (F.col("keep") - (F.col("n") - F.size("known"))).cast("int")
         return known.where(places > 0).select(
             F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.explode(F.slice("known", F.lit(1), places)["word"]).alias("word"))
@@ -78,7 +78,7 @@ def best_word_matches(
     )
     best = verified.groupBy("l").agg(
         F.min_by(F.struct("match_id", "similarity"), F.struct(-F.col("similarity"), F.col("match_id"))).alias("b"))
-    return members.join(best, members.set_id == best.l).select("id", "b.match_id", "b.similarity")
+    return members.select("id", "set_id").join(best, F.col("set_id") == F.col("l")).select("id", "b.match_id", "b.similarity")
 
 
 def filter_dismissed(

@@ -16,6 +16,7 @@ from reviewlake.operators.topk import best_per_key, top_k
 from reviewlake.session import materialize
 
 DOC_KEYS = ["project_path", "original_document_path"]
+STRUCTURE_LINES = 20_000
 
 
 def admit(files: DataFrame, exclude_globs=(), ignored: DataFrame | None = None) -> DataFrame:
@@ -81,13 +82,13 @@ def refresh_chunks(files: DataFrame, stored: DataFrame, embedder: Embedder, mode
 
 
 def refresh_structure(files: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
-    """Structure rows of projects whose tree changed: a fingerprint of the tree and its top levels' text.
+    """Structure rows of projects whose tree changed.
 
-    The stored text is the two uppermost levels; a whole tree can outgrow a row.
+    The fingerprint covers the whole tree. The text shown for it is one row, so a tree of more than
+    ``STRUCTURE_LINES`` lines ends with the number of lines left out.
     """
-    tree = R.directory_tree(files, ["project_path"])
-    top = R.directory_tree(files, ["project_path"], max_depth=1)
-    listed = best_lines(top)
+    tree = materialize(R.directory_tree(files, ["project_path"]), "tree")
+    listed = tree_text(tree)
     marks = R.inventory_hash(
         tree.select("project_path", F.lit(R.STRUCTURE_TYPE).alias("type"), F.col("sort_key").alias("path"), F.lit("").alias("content_hash")),
         ["project_path"]).select("project_path", F.substring("fingerprint", 1, 8).alias("content_hash"))
@@ -100,11 +101,14 @@ def refresh_structure(files: DataFrame, stored: DataFrame, embedder: Embedder) -
     return embed(rows, "content", "vector", embedder).where("vector IS NOT NULL")
 
 
-def best_lines(tree: DataFrame, limit: int = 1000) -> DataFrame:
-    """Text of the first lines of each project's tree."""
+def tree_text(tree: DataFrame, limit: int = STRUCTURE_LINES) -> DataFrame:
+    """Tree lines of each project joined in order."""
     first = top_k(tree, ["project_path"], [F.col("sort_key")], limit, "place")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
-    return first.groupBy("project_path").agg(F.array_join(lines, "\n").alias("content"))
+    shown = first.groupBy("project_path").agg(F.array_join(lines, "\n").alias("content"))
+    more = tree.groupBy("project_path").agg((F.count("*") - limit).alias("more"))
+    rest = F.when(F.col("more") > 0, F.concat(F.lit("\n... ("), F.col("more").cast("string"), F.lit(" more lines)"))).otherwise("")
+    return shown.join(more, "project_path").select("project_path", F.concat("content", rest).alias("content"))
 
 
 def refresh_corpus(corpus, files: DataFrame, embedder: Embedder | None = None, mode: str = "full", exclude_globs=(), ignored=None) -> DataFrame:

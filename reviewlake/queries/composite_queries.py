@@ -17,18 +17,19 @@ from reviewlake.queries.inputs import COMMENTS, DIFFS, FILES, comments, diffs, f
 from reviewlake.queries.predicate_queries import sql_in
 from reviewlake.queries.registry import query
 from reviewlake.queries.search_queries import DIM, sql_bm25, sql_embedding, sql_knn_components
-from reviewlake.session import shared_dir
+from reviewlake.session import materialize, shared_dir
 from reviewlake.sources.corpus import Corpus
 from reviewlake.streaming.jobs import stream_comments
 
 E = HashedWords(DIM)
 
 
-# One project holds everything, the hardest case for a search partitioned by project.
+# Stored tables hold their vectors, so the corpora are embedded once. One project holds everything, the
+# hardest case for a search partitioned by project.
 def _code_corpus(t):
     f = files(t.documents).select(
         F.col("file_id").alias("id"), F.lit("/work/all").alias("project_path"), "path", F.lit("file").alias("type"), "content")
-    return embed(f, "content", "vector", E)
+    return materialize(embed(f, "content", "vector", E), "corpus-files")
 
 
 def _code_queries(t):
@@ -66,7 +67,7 @@ def _chunks(t):
         d.alias("id"), F.lit("/work/all").alias("project_path"), F.concat(F.lit("docs/"), F.col("source"), F.lit("/g"), F.floor(d / 5), F.lit(".md")).alias(
             "original_document_path"),
         F.concat_ws(" ", F.lit("Guide api"), "source").alias("document_title"), F.lit("").alias("heading_text"), F.col("text").alias("content"))
-    return embed(rows, "content", "vector", E)
+    return materialize(embed(rows, "content", "vector", E), "corpus-chunks")
 
 
 def _doc_queries(t):
@@ -146,7 +147,7 @@ def _history(t):
     c = comments(t.conversations).select(
         "id", F.lit("/work/all").alias("project_path"), "comment_text", "file_path", "pr_number", "author", "created_at",
         F.lit("general").alias("issue_category"), "severity")
-    return embed(c, "comment_text", "combined_embedding", E)
+    return materialize(embed(c, "comment_text", "combined_embedding", E), "corpus-comments")
 
 
 def _review_queries(t):

@@ -211,7 +211,8 @@ def test_report_writers(spark, tmp_path):
     total = spark.read.json(str(tmp_path / "json/summary")).first()
     assert (total["total_files"], total["files_with_issues"], total["total_issues"], total["skipped_files"], total["error_files"]) == (3, 1, 1, 1, 1)
     detail = {r["file_path"]: r for r in spark.read.json(str(tmp_path / "json/details")).collect()}
-    assert detail["b.py"]["error"] == "boom" and detail["a.py"]["review"]["issues"][0]["description"] == "broken" and detail["c.py"]["review"] is None
+    assert detail["b.py"]["error"] == "boom" and detail["a.py"]["n_issues"] == 1 and detail["c.py"]["skipped"]
+    assert rows(spark.read.json(str(tmp_path / "json/issues")), "file_path", "description") == [("a.py", "broken")]
     write_review_text(files, issues, str(tmp_path / "md"))
     text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "md")).collect())
     assert "### a.py" in text and "(Lines: 3)**: broken" in text and "**Error:** boom" in text
