@@ -28,6 +28,8 @@ class Tables:
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The SQL side reads timestamps as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(Tables(spark, sf_dir))
 
         if name in QUERIES:
