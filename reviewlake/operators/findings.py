@@ -245,6 +245,28 @@ def render_report(files: DataFrame, issues: DataFrame, style: str = "markdown")
     return head.unionByName(lines)
 
 
+def render_summary(totals: DataFrame) -> DataFrame:
+    """Head of the report from :func:`review_summary`'s row: counts, with the optional lines only when non-zero."""
+    line = lambda label, c: F.concat(F.lit(f"- **{label}:** "), F.col(c).cast("string"))
+    text = F.concat_ws(
+        "\n", F.lit("## Summary\n"), line("Files Analyzed", "total_files"), line("Files with Issues", "files_with_issues"),
+        F.concat(F.lit("- **Total Issues Found:** "), (F.col("file_level_issues") + F.col("pr_level_issues")).cast("string")),
+        F.when(F.col("skipped_files") > 0, line("Files Skipped", "skipped_files")),
+        F.when(F.col("error_files") > 0, line("Errors", "error_files")),
+    )
+    return totals.select(text.alias("text"))
+
+
+def render_pr_issue() -> Column:
+    """Report text of one pull-request-level issue row (severity, description, files, suggestion)."""
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("- **["), F.upper("severity"), F.lit("] "), severity_emoji("severity"), F.lit("** "), F.col("description")),
+        F.when(F.size("files") > 0, F.concat(F.lit("  - Affected files: "), F.array_join("files", ", "))),
+        F.when(F.length("suggestion") > 0, F.concat(F.lit("  - Suggestion: "), F.col("suggestion"))),
+    )
+
+
 def format_context_items(items: DataFrame, keys: list[str], kind: str = "code") -> DataFrame:
     """Numbered context entries with the similarity to two decimals and long contents cut."""
     limit = K.GUIDELINE_TRUNCATE_LINES if kind == "guideline" else K.CODE_TRUNCATE_LINES

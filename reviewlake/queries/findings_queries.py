@@ -227,6 +227,25 @@ def a11(t):
     return N.render_report(f, issues).groupBy("text").agg(F.count("*").alias("n"))
 
 
+@query("a11_render_summary", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT * FROM findings WHERE l_partkey % 9 = 0),
+n AS (SELECT file_path, count(*) AS n FROM i GROUP BY ALL),
+t AS (SELECT count(*) AS a, count(*) FILTER (WHERE success AND NOT skipped AND n > 0) AS b, sum(n)::BIGINT AS c, count(*) FILTER (WHERE skipped) AS d,
+  count(*) FILTER (WHERE NOT success) AS e FROM reviewed LEFT JOIN n USING (file_path))""") + """
+SELECT '## Summary' || chr(10) || chr(10) || '- **Files Analyzed:** ' || a || chr(10) || '- **Files with Issues:** ' || b || chr(10) || '- **Total Issues Found:** ' || c
+  || CASE WHEN d > 0 THEN chr(10) || '- **Files Skipped:** ' || d ELSE '' END || CASE WHEN e > 0 THEN chr(10) || '- **Errors:** ' || e ELSE '' END AS text FROM t""")
+def a11_summary(t):
+    return N.render_summary(N.review_summary(reviewed(t), findings(t.lineitem).where("l_partkey % 9 = 0")))
+
+
+@query("a11_render_pr_issues", with_ctes(FINDINGS) + f"""
+SELECT '- **[' || upper(severity) || '] ' || CASE lower(severity) {_EMOJI} ELSE {quoted(K.OTHER_EMOJI)} END || '** ' || description
+  || chr(10) || '  - Affected files: ' || file_path || ', b.py' || CASE WHEN suggestion <> '' THEN chr(10) || '  - Suggestion: ' || suggestion ELSE '' END AS text, count(*) AS n
+FROM findings GROUP BY ALL""")
+def a11_pr_issues(t):
+    f = findings(t.lineitem).withColumn("files", F.array("file_path", F.lit("b.py")))
+    return f.select(N.render_pr_issue().alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+
+
 @query("g46_parse_analysis", """
 SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'Error parsing LLM response' WHEN doc_id % 4 = 2 THEN 'No summary provided' ELSE 'about ' || lang END AS summary,
   doc_id % 4 = 1 AS holistic, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE -1 END AS n_issues,
