@@ -1,4 +1,4 @@
 """Operators for training corpora, each with a registered query."""
 
-from reviewlake.llm import repeats, simhash  # noqa: F401
+from reviewlake.llm import decontaminate, repeats, simhash, token_counts  # noqa: F401
 from reviewlake.llm.registry import QUERIES, SQL  # noqa: F401
