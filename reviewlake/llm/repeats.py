@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import WordHashes, gram_hashes, load, pick, stored, utf8
+from reviewlake.llm.common import WordHashes, discard, gram_hashes, load, pick, stored, utf8
 from reviewlake.llm.registry import query
 
 SEED_WORDS = 5
@@ -48,10 +48,10 @@ def seeds(docs: DataFrame) -> DataFrame:
     def run(source):
         known = WordHashes()
         for batch in source:
-            found = [np.unique(window_anchors(known.of(utf8(t or "").split()))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _longs(found)], ["doc_id", "text_key", "anchors"])
+            found = [np.unique(window_anchors(known.of(utf8(t or "").split()))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(found)], ["doc_id", "anchors"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text_key long, anchors array<long>")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, anchors array<long>")
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -60,29 +60,37 @@ def windows(docs: DataFrame) -> DataFrame:
         known = WordHashes()
         for batch in source:
             anchors, hashes = [], []
-            for text, wanted in zip(batch.column(2).to_pylist(), batch.column(3)):
-                words = known.of(utf8(text).split())
+            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2)):
+                words = known.of(utf8(text or "").split())
                 own = window_anchors(words)
                 hit = np.isin(own, _unsigned(wanted))
                 anchors.append(own[hit])
                 hashes.append(gram_hashes(words, MIN_WORDS)[hit])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], _longs(anchors), _longs(hashes)], ["doc_id", "text_key", "anchors", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(anchors), _longs(hashes)], ["doc_id", "anchors", "windows"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, anchors array<long>, windows array<long>")
+    return docs.mapInArrow(run, "doc_id long, anchors array<long>, windows array<long>")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, repeats): hashes of the windows whose words also start in a document with a smaller id."""
-    anchors = stored(seeds(docs), "repeat-seeds").select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
+    """(doc_id, repeats): hashes of the windows whose words also start in a document with a smaller id.
+
+    A window is known by 128 bits, its anchor's hash and its own. Whether it is a repeat depends on the id alone, so rows
+    that share an id may share their list.
+    """
+    sown = stored(seeds(docs), "repeat-seeds")
+    anchors = sown.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    wanted = stored(anchors.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("wanted")), "repeat-anchors")
-    around = stored(windows(docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted")), "repeat-windows")
-    each = around.select("doc_id", "text_key", F.explode(F.arrays_zip("anchors", "windows")).alias("w")).select(
-        "doc_id", "text_key", F.col("w.anchors").alias("anchor"), F.col("w.windows").alias("window"))
+    wanted = stored(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")), "repeat-anchors")
+    discard(sown)
+    around = stored(windows(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")), "repeat-windows")
+    discard(wanted)
+    each = around.select("doc_id", F.explode(F.arrays_zip("anchors", "windows")).alias("w")).select(
+        "doc_id", F.col("w.anchors").alias("anchor"), F.col("w.windows").alias("window"))
     first = each.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     later = each.join(first, ["anchor", "window"]).where("doc_id > low")
-    return stored(later.groupBy("doc_id", "text_key").agg(F.collect_set("window").alias("repeats")), "repeat-found")
+    found = stored(later.groupBy("doc_id").agg(F.collect_set("window").alias("repeats")), "repeat-found")
+    discard(around)
+    return found
 
 
 def covered(words: np.ndarray, repeats: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
@@ -94,15 +102,16 @@ def covered(words: np.ndarray, repeats: np.ndarray, min_words: int = MIN_WORDS)
     return np.cumsum(depth)[:len(words)] > 0
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for.
 
     Words are runs without ASCII white space. A window of 13 words goes if it also starts in a document with a smaller id;
     all windows are judged on the input. A null text has no words. A row with a null id neither removes nor loses words.
     Rows that repeat an id don't remove each other's words; equal rows give equal results.
     """
-    keyed = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    found = repeated_windows(keyed)
+    plain = pick(docs, doc_id="long", text="string")
+    found = repeated_windows(plain)
+    kinds = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string"} | ({"kept_text": "string"} if keep_text else {})
 
     def run(source):
         known, none = WordHashes(), np.empty(0, np.uint64)
@@ -116,13 +125,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined))
-            counts, removed, sha, text = zip(*rows)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()),
-                pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            counts, removed, sha, texts = zip(*rows)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+            if keep_text:
+                columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
-    joined = keyed.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "repeats")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = plain.join(found, "doc_id", "left").select("doc_id", "text", "repeats")
+    return joined.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 
 OP7_SQL = r"""
@@ -145,4 +155,4 @@ FROM words LEFT JOIN kept USING (doc_id)
 
 @query("op7_substring_dedup", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(load(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(load(spark, sf_dir, "documents"), keep_text=False)
