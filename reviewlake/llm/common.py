@@ -20,10 +20,15 @@ BROADCAST_ROWS = 200_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Arrow batches are kept small for the session, as every later plan may carry whole texts."""
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches for the session, as every later plan may carry whole texts, and UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -51,6 +56,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+ROW_KEY = "row_key__"
+
+
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` stored with a key of its own for every row, so that rows with null or repeated ids stay apart."""
+    return stored(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), label)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing later reads: what was made from them is stored itself."""
     for df in tables:

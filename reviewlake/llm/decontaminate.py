@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import ascii_lower_word, load, pick, small, stored
+from reviewlake.llm.common import ROW_KEY, ascii_lower_word, keyed, load, pick, small, stored
 from reviewlake.llm.registry import query
 
 WINDOW = 10
@@ -47,7 +47,7 @@ def build_index(docs: DataFrame, terms: DataFrame, key: str | None = None) -> Da
 
     ``rid`` is the row's own key, so null and repeated ids do no harm; it is drawn once, as the index is written.
     """
-    carry = {"doc_id": "string", "text": "string"} | ({key: "long"} if key else {})
+    carry = ({key: "long"} if key else {}) | {"doc_id": "string", "text": "string"}
     rows = pick(docs, **carry).select("doc_id", (F.col(key) if key else F.monotonically_increasing_id()).alias("rid"), _split(F.col("text")).alias("parts"))
     rows = rows.select("rid", "doc_id", _n_words(F.col("parts")).alias("n_words"), F.concat(F.array(F.lit(_HEAD)), "parts").alias("parts"))
     each = rows.select("rid", "doc_id", "n_words", F.posexplode("parts").alias("pos", "word")).withColumn("word", ascii_lower_word(F.col("word")))
@@ -114,6 +114,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, without the rows that hold a benchmark window."""
+    rows = keyed(docs, "decontaminate-documents")
+    found = decontaminate(rows, benchmark, key=ROW_KEY).where("contaminated").select(F.col("rid").alias(ROW_KEY))
+    return rows.join(small(stored(found, "contaminated")), ROW_KEY, "left_anti").drop(ROW_KEY)
+
+
 _SQL_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 OP5_SQL = rf"""

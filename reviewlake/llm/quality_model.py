@@ -158,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return train([t for _, t, _ in rows], [k for _, _, k in rows])
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with all its columns and ``score`` appended. Only the text is looked at."""
+def scored(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """``docs`` with all its columns and the score appended. Only the text is looked at."""
     at = docs.columns.index("text")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     parts = docs.sparkSession.sparkContext.broadcast(model.packed())
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.toDF(*docs.columns, "score")
+    return out.toDF(*docs.columns, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reviewlake.llm.common import load, pick, stored, utf8
+from reviewlake.llm.common import ROW_KEY, keyed, load, pick, stored, utf8
 from reviewlake.llm.registry import query
 
 SHINGLE_WORDS = 3
@@ -245,6 +246,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def with_fingerprint(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and ``fp__`` appended."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index("text")
+
+    def run(source):
+        for batch in source:
+            values = [_signed(fingerprint(t)) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], [*batch.schema.names, "fp"])
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())])).toDF(*docs.columns, "fp__")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, but of each group only the row with the least id.
+
+    Rows without an id come last in a group; of rows that repeat the least id one stays.
+    """
+    rows = keyed(with_fingerprint(docs), "simhash-documents")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW_KEY))
+    found = components(stored(rows.select(ROW_KEY, F.col("fp__").alias("fp"), order.alias("order")), "simhash-rows"), "order")
+    first = found.where(F.col("order") == F.col("component_id")).select(ROW_KEY)
+    return rows.join(first, ROW_KEY, "left_semi").drop(ROW_KEY, "fp__")
+
+
 @query("op9_simhash_components")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
