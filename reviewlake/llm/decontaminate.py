@@ -58,7 +58,7 @@ def phrase_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rid, wid, start, len) wherever all words of a window stand in a row. ``wanted``: (wid, len, off, term), stored."""
     postings = index.where("term >= 0").select("rid", "pos", "term")
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
-    ranked = wanted.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = wanted.join(small(stored(counts, "term-counts")), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = W.partitionBy("wid").orderBy("n", "off")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("n").over(W.partitionBy("wid")))
     ranked = stored(ranked.where("least > 0").select("wid", "len", "off", "term", "rank"), "ranked-terms")
@@ -93,9 +93,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     item without id makes hits but no item. Rows that repeat an id each give a row.
     """
     windows = stored(item_windows(benchmark, window), "benchmark-windows")
-    spark = docs.sparkSession
-    vocabulary = windows.select("word").distinct().select("word", (F.row_number().over(W.orderBy("word")) - 1).alias("term"))
-    head = spark.range(1).select(F.lit(_HEAD).alias("word"), F.lit(-1).alias("term"))
+    # Numbered where they lie, as they are written: no task sees all terms.
+    vocabulary = windows.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term"))
+    head = docs.sparkSession.range(1).select(F.lit(_HEAD).alias("word"), F.lit(-1).cast("long").alias("term"))
     vocabulary = stored(vocabulary.union(head), "benchmark-terms")
     wanted = windows.select("wid", "len", "off", "word").distinct().join(vocabulary, "word").select("wid", "len", "off", "term")
     index = build_index(docs, small(vocabulary), key)
