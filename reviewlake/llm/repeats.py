@@ -79,17 +79,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     sown = stored(seeds(docs), "repeat-seeds")
     anchors = sown.select("doc_id", F.explode("anchors").alias("anchor"))
+    # Stored before the join: the minima's shuffle is gone by then, and a frequent key's rows can be split.
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = stored(shared, "repeat-shared")
     wanted = stored(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")), "repeat-anchors")
-    discard(sown)
+    discard(sown, shared)
     around = stored(windows(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")), "repeat-windows")
     discard(wanted)
     each = around.select("doc_id", F.explode(F.arrays_zip("anchors", "windows")).alias("w")).select(
         "doc_id", F.col("w.anchors").alias("anchor"), F.col("w.windows").alias("window"))
     first = each.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    first = stored(first.drop("high"), "repeat-first")
     later = each.join(first, ["anchor", "window"]).where("doc_id > low")
     found = stored(later.groupBy("doc_id").agg(F.collect_set("window").alias("repeats")), "repeat-found")
-    discard(around)
+    discard(around, first)
     return found
 
 
