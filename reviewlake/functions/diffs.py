@@ -1,32 +1,40 @@
-"""Unified-diff rules.
+"""Unified-diff rules as Column expressions.
 
-What fits a Column expression is one. The rest are short state machines over the lines of a single
-diff or file (at most 1 MiB), wrapped as vectorised UDFs; Spark partitions the rows.
+Line numbers need no running state: within a hunk, a line that stays is numbered by its rank among those that stay, and the
+j-th removed line at place i has i - j such lines before it. Everything else follows from arrays of lines and hunks.
 """
 
 from __future__ import annotations
 
-import math
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reviewlake.functions import constants as K
 from reviewlake.functions.text import add_line_numbers, col
 
-HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@")
+HEADER = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 HUNK_ANYWHERE = r"@@ -(\d+),?(\d+)? \+(\d+),?(\d+)? @@"
+NO_WINDOW = "_No focused file context windows fit within the chunk token budget; use the diff above for the exact change._"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
 
-NUMBERED = T.ArrayType(T.StructType([T.StructField("line_number", T.IntegerType()), T.StructField("content", T.StringType())]))
-PARSED = T.StructType([
-    T.StructField("added", NUMBERED),
-    T.StructField("removed", T.ArrayType(T.StringType())),
-    T.StructField("context", NUMBERED),
-    T.StructField("changed", T.ArrayType(T.IntegerType())),
-])
+def _joined(*pieces: Column) -> Column:
+    """The pieces that are not empty, a line break between them."""
+    return F.array_join(F.filter(F.array(*pieces), lambda x: x != ""), "\n")
+
+
+def _tokens(length: Column) -> Column:
+    return F.ceil(length / F.lit(K.CHARS_PER_TOKEN)).cast("long")
 
 
 def hunk_range(hunk: Column | str) -> Column:
@@ -57,69 +65,70 @@ def hunk_code(hunk: Column | str) -> Column:
     return F.struct(joined("-").alias("original"), joined("+").alias("suggested"), context.alias("context"))
 
 
-def _walk(diff: str):
-    """Yield (kind, new-file line, text) for every hunk header and every line inside a hunk."""
-    line_no = None
-    for line in (diff or "").split("\n"):
-        if line.startswith("diff --git "):
-            line_no = None
-            continue
-        header = HUNK.match(line)
-        if header:
-            line_no = int(header.group(1))
-            yield "hunk", line_no, line
-        elif line_no is not None and line[:1] in ("+", "-", " ") and line:
-            yield line[0], line_no, line[1:]
-            line_no += line[0] != "-"
-
-
-def parse_diff_text(diff: str, removal_anchors: bool = False, hunk_fallback: bool = False) -> dict:
-    rows = list(_walk(diff))
-    anchors = ("+", "-") if removal_anchors else ("+",)
-    changed = [max(1, n) for kind, n, _ in rows if kind in anchors]
-    if not changed and hunk_fallback:
-        changed = [max(1, n) for kind, n, _ in rows if kind == "hunk"]
-    return {
-        "added": [{"line_number": max(1, n), "content": t} for kind, n, t in rows if kind == "+"],
-        "removed": [t for kind, _, t in rows if kind == "-"],
-        "context": [{"line_number": n, "content": t} for kind, n, t in rows if kind == " "],
-        "changed": changed,
-    }
+def _numbered(body: Column, start: Column) -> Column:
+    """Array of struct(i, mark, line_number, content) for the lines of one hunk; a removed line stands at the place of the
+    next line that stays."""
+    placed = F.transform(body, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+
+    def rows(part: Column, number: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(part, lambda p, rank: F.struct(
+            p["i"].alias("i"), F.substring(p["line"], 1, 1).alias("mark"), number(p["i"], rank).cast("int").alias("line_number"),
+            F.substring(p["line"], 2, 1 << 30).alias("content")))
+
+    stays = rows(F.filter(placed, lambda p: ~p["line"].startswith("-")), lambda i, rank: start + rank)
+    gone = rows(F.filter(placed, lambda p: p["line"].startswith("-")), lambda i, rank: start + i - rank)
+    return F.array_sort(F.concat(stays, gone))
+
+
+def _hunks(diff: Column) -> Column:
+    """The texts of the hunks, each from its header to the next header or file."""
+    parts = F.split(F.coalesce(diff, F.lit("")), rf"(?dm)^(?={HEADER})", -1)
+    return F.transform(F.filter(parts, lambda h: h.rlike(f"^{HEADER}")), lambda h: F.split(h, "(?dm)^diff --git ", 2)[0])
+
+
+def _hunk_start(hunk: Column) -> Column:
+    return F.regexp_extract(hunk, HEADER, 1).cast("int")
+
+
+def diff_lines(diff: Column | str) -> Column:
+    """Array of struct(i, mark, line_number, content): the added, removed and unchanged lines of all hunks, in order."""
+    return F.flatten(F.transform(_hunks(col(diff)), lambda h: _numbered(
+        F.filter(_lines(h), lambda x: x.rlike("^[-+ ]")), _hunk_start(h))))
 
 
 def parse_diff(diff: Column | str, removal_anchors: bool = False, hunk_fallback: bool = False) -> Column:
-    @F.pandas_udf(PARSED)
-    def parse(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            [parse_diff_text(d, removal_anchors, hunk_fallback) for d in s],
-            columns=["added", "removed", "context", "changed"],
-        )
+    """Struct(added, removed, context, changed); ``changed`` are line numbers of added (and removed) lines, or of the hunks."""
+    marks = ("+", "-") if removal_anchors else ("+",)
 
-    return parse(col(diff))
+    def parsed(rows: Column) -> Column:
+        changed = F.transform(F.filter(rows, lambda r: r["mark"].isin(*marks)), lambda r: F.greatest(F.lit(1), r["line_number"]))
+        if hunk_fallback:
+            starts = F.transform(_hunks(col(diff)), lambda h: F.greatest(F.lit(1), _hunk_start(h)))
+            changed = F.when(F.size(changed) > 0, changed).otherwise(starts)
 
+        def numbered(mark: str, least: int) -> Column:
+            return F.transform(F.filter(rows, lambda r: r["mark"] == mark), lambda r: F.struct(
+                F.greatest(F.lit(least), r["line_number"]).alias("line_number"), r["content"].alias("content")))
 
-@F.pandas_udf(T.StructType([T.StructField("original", T.StringType()), T.StructField("suggested", T.StringType())]))
-def patch_code_at_line(patch: pd.Series, line: pd.Series) -> pd.DataFrame:
-    """Code of the first patch line standing at ``line`` of the new file.
+        removed = F.transform(F.filter(rows, lambda r: r["mark"] == "-"), lambda r: r["content"])
+        return F.struct(numbered("+", 1).alias("added"), removed.alias("removed"), numbered(" ", -1 << 31).alias("context"), changed.alias("changed"))
+
+    return _let(diff_lines(diff), parsed)
 
-    A removed line does not advance the counter, so it can stand in front of the line that replaces it.
-    """
-    return pd.DataFrame([_code_at(p, n) for p, n in zip(patch, line)], columns=["original", "suggested"])
 
+def patch_code_at_line(patch: Column | str, line: Column | str) -> Column:
+    """Struct(original, suggested): the first patch line standing at ``line`` of the new file.
 
-def _code_at(patch: str | None, target) -> tuple:
-    if patch is None or target is None or pd.isna(target):
-        return None, None
-    at = 0
-    for line in patch.split("\n"):
-        if line.startswith("@@"):
-            header = re.search(HUNK_ANYWHERE, line)
-            at = int(header.group(3)) if header else at
-        elif at == target:
-            return (line[1:] if line.startswith("-") else None), (line[1:] if line.startswith("+") else None)
-        elif not line.startswith("-"):
-            at += 1
-    return None, None
+    A removed line does not move the place on, so it can stand in front of the line that replaces it.
+    """
+    def first(part: Column) -> Column:
+        start = F.when(part.rlike(f"^(?=@@)[^\\n]*?{HUNK_ANYWHERE}"), F.regexp_extract(part, HUNK_ANYWHERE, 3).cast("int")).otherwise(0)
+        body = F.filter(_lines(F.regexp_replace(part, r"\n\z", "")), lambda x: ~x.startswith("@@"))
+        return F.get(F.filter(_numbered(body, start), lambda r: r["line_number"] == col(line)), F.lit(0))
+
+    parts = F.split(col(patch), rf"(?dm)^(?=@@)(?=[^\n]*?{HUNK_ANYWHERE})", -1)
+    found = F.get(F.filter(F.transform(parts, first), lambda r: r.isNotNull()), F.lit(0))
+    return F.struct(F.when(found["mark"] == "-", found["content"]).alias("original"), F.when(found["mark"] == "+", found["content"]).alias("suggested"))
 
 
 def changed_lines(declared: Column, parsed: Column, n_lines: Column) -> Column:
@@ -133,193 +142,173 @@ def changed_lines(declared: Column, parsed: Column, n_lines: Column) -> Column:
 # --- splitting an oversized diff -------------------------------------------------------------------
 
 
-def _part(header: str, body: str, continued: bool) -> str:
-    return "\n".join(p for p in (header, K.SPLIT_MARKER if continued else "", body) if p)
-
-
-def _line_at(unit: str, offset: int) -> int:
-    """New-file line number shown at a character offset of a hunk."""
-    line_no, end = None, 0
-    for line in unit.split("\n"):
-        end += len(line) + 1
-        header = HUNK.match(line)
-        if header:
-            line_no = int(header.group(1))
-        if line_no is not None and offset < end:
-            break
-        if not header and line_no is not None and line[:1] in ("+", " ") and line:
-            line_no += 1
-    return max(1, line_no or 1)
-
-
-def _prefix(header: str, continued: bool, max_chars: float, hunk: str) -> str:
-    """Header lines that repeat on a cut part, shortened so that they never fill the part."""
-    tail = "\n".join(p for p in (K.SPLIT_MARKER if continued else "", hunk) if p)
-    if len(tail) + 1 >= max_chars:
-        tail = hunk if hunk and len(hunk) + 1 < max_chars else ""
-    if max_chars <= 1 or not (header or tail):
-        return ""
-    room = max(max_chars - (len(tail) + 1 if tail else 0) - 2, 0)
-    text = "\n".join(p for p in (header[: int(room)], tail) if p)
-    return text + "\n" if text else ""
-
-
-def _cut_unit(header: str, unit: str, max_chars: float, continued: bool) -> list[str]:
-    hunk = next((line for line in unit.split("\n") if line.startswith("@@")), "")
-    parts, offset = [], 0
-    while offset < len(unit):
-        moved = ""
-        if offset and hunk:
-            moved = re.sub(r"^(@@ -\d+(?:,\d+)? )\+\d+((?:,\d+)? @@.*)$", rf"\g<1>+{_line_at(unit, offset)}\g<2>", hunk)
-        prefix = _prefix(header, continued or bool(parts), max_chars, moved)
-        step = max(int(max_chars - len(prefix)), 1)
-        parts.append(prefix + unit[offset:offset + step])
-        offset += step
-    return parts
-
-
-def split_diff_text(diff: str | None, token_budget: int) -> list[str]:
-    diff = diff or ""
-    max_chars = token_budget * K.CHARS_PER_TOKEN
-    if math.ceil(len(diff) / K.CHARS_PER_TOKEN) <= token_budget:
-        return [diff]
-    lines = diff.split("\n")
-    starts = [i for i, line in enumerate(lines) if line.startswith("@@")]
-    header = "\n".join(lines[:starts[0]]) if starts else ""
-    bounds = starts + [len(lines)] if starts else [0, len(lines)]
-    units = ["\n".join(lines[a:b]) for a, b in zip(bounds, bounds[1:])]
-    parts, body = [], ""
-    for unit in units:
-        joined = f"{body}\n{unit}" if body else unit
-        if len(_part(header, joined, bool(parts))) <= max_chars:
-            body = joined
-            continue
-        if body:
-            parts.append(_part(header, body, bool(parts)))
-            body = ""
-        if len(_part(header, unit, bool(parts))) <= max_chars:
-            body = unit
-        else:
-            parts += _cut_unit(header, unit, max_chars, bool(parts))
-    if body:
-        parts.append(_part(header, body, bool(parts)))
-    return parts or [diff]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_diff(diff: pd.Series, token_budget: pd.Series) -> pd.Series:
-    return pd.Series([split_diff_text(d, int(b)) for d, b in zip(diff, token_budget)])
+def _repeated_head(header: Column, continued: Column, hunk: Column, room: Column) -> Column:
+    """What stands before a cut piece: header, mark and hunk line, shortened so that they never fill ``room``."""
+    whole = _joined(F.when(continued, K.SPLIT_MARKER).otherwise(""), hunk)
+    tail = F.when(F.length(whole) + 1 < room, whole).when(F.length(hunk) + 1 < room, hunk).otherwise("")
+    left = F.greatest(F.lit(0), F.floor(room - 2 - F.when(tail != "", F.length(tail) + 1).otherwise(0))).cast("int")
+    text = _joined(F.substring(header, F.lit(1), left), tail)
+    return F.when((room <= 1) | (text == ""), "").otherwise(F.concat(text, F.lit("\n")))
+
+
+def _cut(header: Column, unit: Column, room: Column, continued: Column) -> Column:
+    """An oversized unit in pieces of ``room`` characters; hunk lines repeat with the number of the line the piece begins in."""
+    hunk = F.coalesce(F.get(F.filter(_lines(unit), lambda x: x.startswith("@@")), F.lit(0)), F.lit(""))
+    pattern = r"^(@@ -\d+(?:,\d+)? )\+\d+((?:,\d+)? @@.*)$"
+
+    def head_at(offset: Column) -> Column:
+        before = _lines(F.substring(unit, F.lit(1), offset))
+        passed = F.filter(F.slice(before, F.lit(1), F.size(before) - 1), lambda x: x.rlike("^[+ ]"))
+        number = F.greatest(F.lit(1), F.coalesce(F.regexp_extract(hunk, f"^{HEADER}", 1).try_cast("int"), F.lit(1)) + F.size(passed))
+        there = F.when((offset > 0) & (hunk != ""), F.when(
+            hunk.rlike(pattern), F.concat(F.regexp_extract(hunk, pattern, 1), F.lit("+"), number.cast("string"), F.regexp_extract(hunk, pattern, 2))
+        ).otherwise(hunk)).otherwise("")
+        return _repeated_head(header, continued | (offset > 0), there, room)
+
+    # The longest head leaves the shortest step, which bounds the number of pieces.
+    longest = F.length(_repeated_head(header, F.lit(True), F.when(hunk != "", F.concat(hunk, F.lit("0" * 10))).otherwise(""), room))
+    shortest = F.greatest(F.lit(1), F.floor(room - longest))
+    start = F.struct(F.lit(0).alias("offset"), F.array().cast("array<string>").alias("pieces"))
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["offset"]
+        more = _let(head_at(at), lambda head: F.struct(
+            (at + F.greatest(F.lit(1), F.floor(room - F.length(head))).cast("int")).alias("offset"),
+            F.concat(state["pieces"], F.array(F.concat(head, F.substring(unit, at + 1, F.greatest(F.lit(1), F.floor(room - F.length(head))).cast("int"))))).alias("pieces")))
+        return F.when(at < F.length(unit), more).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.length(unit) / shortest).cast("int") + 1), start, step)["pieces"]
+
+
+def split_diff(diff: Column | str, token_budget: Column) -> Column:
+    """Array of texts within the budget: hunks stay whole and share a part while it has room; a larger hunk is cut.
+
+    Which part a hunk goes to depends on the lengths alone: they are folded to part numbers, and the texts follow.
+    """
+    diff, budget = F.coalesce(col(diff), F.lit("")), col(token_budget)
+    room = budget * F.lit(K.CHARS_PER_TOKEN)
+    first = F.concat(F.lit("\n"), diff)
+    pieces = F.split(first, r"\n(?=@@)", -1)
+    header = F.when(F.size(pieces) > 1, F.substring(pieces[0], 2, 1 << 30)).otherwise("")
+    units = F.when(F.size(pieces) > 1, F.slice(pieces, F.lit(2), F.greatest(F.lit(1), F.size(pieces) - 1))).otherwise(F.array(diff))
+
+    def parts(units: Column) -> Column:
+        head = F.when(header != "", F.length(header) + 1).otherwise(0)
+        # Part 0 has no mark of continuation.
+        space = lambda k: room - head - F.when(k > 0, len(K.SPLIT_MARKER) + 1).otherwise(0)
+        start = F.struct(F.lit(-1).alias("k"), F.lit(-1).alias("used"), F.array().cast("array<struct<k:int,cut:boolean>>").alias("places"))
+
+        def place(state: Column, unit: Column) -> Column:
+            size, k, used = F.length(unit), state["k"], state["used"]
+            joins = (used >= 0) & (used + 1 + size <= space(k))
+            cut = ~joins & (size > space(k + 1))
+            number = F.when(joins, k).otherwise(k + 1)
+            return F.struct(number.alias("k"), F.when(joins, used + 1 + size).when(cut, -1).otherwise(size).alias("used"),
+                            F.concat(state["places"], F.array(F.struct(number.alias("k"), cut.alias("cut")))).alias("places"))
+
+        def texts(places: Column) -> Column:
+            rows = F.zip_with(units, places, lambda u, p: F.struct(p["k"].alias("k"), p["cut"].alias("cut"), u.alias("unit")))
+
+            def text(k: Column) -> Column:
+                own = F.filter(rows, lambda r: r["k"] == k)
+                body = F.array_join(F.transform(own, lambda r: r["unit"]), "\n")
+                return F.when(own[0]["cut"], _cut(header, own[0]["unit"], room, k > 0)).otherwise(
+                    F.array(_joined(header, F.when(k > 0, K.SPLIT_MARKER).otherwise(""), body)))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.element_at(places, -1)["k"]), text))
+
+        return _let(F.aggregate(units, start, place)["places"], texts)
+
+    return F.when(_tokens(F.length(diff)) <= budget, F.array(diff)).otherwise(_let(units, parts))
 
 
 # --- focused context of a changed file --------------------------------------------------------------
 
-NO_WINDOW = "_No focused file context windows fit within the chunk token budget; use the diff above for the exact change._"
+
+def line_windows(lines: Column, total: Column, radius: Column) -> Column:
+    """Array of struct(a, b): ``radius`` lines around each of the sorted distinct ``lines``, touching ones merged."""
+    def merged(near: Column) -> Column:
+        opens = F.filter(F.transform(near, lambda w, i: F.when((i == 0) | (w["a"] > F.get(near, i - 1)["b"] + 1), i)), lambda i: i.isNotNull())
+        return _let(opens, lambda o: F.transform(o, lambda i, j: F.struct(
+            F.get(near, i)["a"].alias("a"), F.get(near, F.coalesce(F.get(o, j + 1), F.size(near)) - 1)["b"].alias("b"))))
+
+    return _let(F.transform(lines, lambda n: F.struct(
+        F.greatest(F.lit(1), n - radius).cast("int").alias("a"), F.least(total, n + radius).cast("int").alias("b"))), merged)
 
 
-def _tokens(text_length: int) -> int:
-    return math.ceil(text_length / K.CHARS_PER_TOKEN)
-
-
-def merge_windows(lines: list[int], total: int, radius: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for n in lines:
-        start, end = max(1, n - radius), min(total, n + radius)
-        if out and start <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        elif start <= end:
-            out.append((start, end))
-    return out
-
-
-def _numbered(lines: list[str], start: int) -> str:
-    width = len(str(start + len(lines) - 1))
-    return "\n".join(f"{start + i:>{width}} | {line}" for i, line in enumerate(lines))
-
-
-class _File:
-    """One file's lines with the token costs of rendering windows of it."""
-
-    def __init__(self, content: str, language: str | None, reason: str):
-        self.lines = content.split("\n")
-        self.language = language or ""
-        self.reason = reason
-
-    def preamble(self, windows) -> str:
-        shown = sum(b - a + 1 for a, b in windows)
-        total = len(self.lines)
-        return (
-            "### Focused File Context\nFull file content omitted to control prompt size. "
-            f"Included {shown} of {total} lines around changed hunks; omitted {max(0, total - shown)} unchanged lines.\n"
-            f"Reason: {self.reason}.\n\n"
-        )
-
-    def window(self, index: int, a: int, b: int) -> str:
-        return (f"#### Context Window {index}: lines {a}-{b}\n```{self.language}\n"
-                f"{_numbered(self.lines[a - 1:b], a)}\n```")
-
-    def render(self, windows) -> str:
-        body = "\n\n".join(self.window(i, a, b) for i, (a, b) in enumerate(windows, 1))
-        return self.preamble(windows) + (body or NO_WINDOW)
-
-    def window_cost(self, a: int, b: int) -> int:
-        shell = len(f"#### Context Window 1: lines {a}-{b}\n```{self.language}\n\n```")
-        return _tokens(shell) + _tokens(len(_numbered(self.lines[a - 1:b], a)))
-
-    def cost(self, windows) -> int:
-        head = _tokens(len(self.preamble(windows)))
-        return head + (sum(self.window_cost(a, b) for a, b in windows) if windows else _tokens(len(NO_WINDOW)))
-
-
-def choose_windows(file: _File, anchors: list[int], radius: int, budget: float | None) -> list[tuple[int, int]]:
-    total = len(file.lines)
-    lines = sorted({min(max(n, 1), total) for n in anchors})
-    widest = merge_windows(lines, total, radius)
-    if budget is None:
-        return widest
-    if budget <= 0 or not lines:
-        return []
-    chosen = widest
-    if file.cost(widest) > budget:
-        chosen = merge_windows(lines, total, 0)
-        if file.cost(chosen) > budget:
-            # Not even the bare lines fit: take single lines in order while they do.
-            chosen, used = [], file.cost([])
-            for n in lines:
-                used += file.window_cost(n, n)
-                if used > budget:
-                    break
-                chosen.append((n, n))
-        else:
-            low, high = 0, radius
-            while low <= high:
-                middle = (low + high) // 2
-                trial = merge_windows(lines, total, middle)
-                if file.cost(trial) <= budget:
-                    chosen, low = trial, middle + 1
-                else:
-                    high = middle - 1
-    while chosen and _tokens(len(file.render(chosen))) > budget:
-        chosen = chosen[:-1]
-    return chosen
-
-
-def focused_context_text(content, language, declared, diff, reason, radius=K.CONTEXT_RADIUS, budget=None) -> str:
-    file = _File(content or "", language, reason)
-    anchors = [int(n) for n in (declared if declared is not None else []) if n and n > 0]
-    anchors += parse_diff_text(diff, True, True)["changed"]
-    return file.render(choose_windows(file, anchors or [1], radius, budget))
-
-
-@F.pandas_udf(T.StringType())
 def focused_context(
-    content: pd.Series, language: pd.Series, declared: pd.Series, diff: pd.Series, reason: pd.Series,
-    radius: pd.Series, budget: pd.Series,
-) -> pd.Series:
-    """Rendered windows around the changed lines; a null budget means no limit."""
-    return pd.Series([
-        focused_context_text(c, lang, d, df, why, int(r), None if b is None or pd.isna(b) else float(b))
-        for c, lang, d, df, why, r, b in zip(content, language, declared, diff, reason, radius, budget)
-    ])
+    content: Column | str, language: Column | str, declared: Column, diff: Column | str, reason: Column, radius: Column, budget: Column,
+) -> Column:
+    """Rendered windows around the changed lines; a null budget means no limit.
+
+    The widest radius whose windows fit the budget is taken; if not even the bare lines fit, the first of them that do.
+    """
+    language, text = F.coalesce(col(language), F.lit("")), F.coalesce(col(content), F.lit(""))
+    given = F.filter(F.coalesce(declared, F.array().cast("array<int>")), lambda n: n > 0)
+    found = F.concat(given, parse_diff(diff, True, True)["changed"])
+
+    def view(lines: Column) -> Column:
+        total = F.size(lines)
+        anchors = F.array_sort(F.array_distinct(F.transform(
+            F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(1))), lambda n: F.least(F.greatest(n, F.lit(1)), total))))
+
+        def body(a: Column, b: Column) -> Column:
+            return F.slice(lines, a, b - a + 1)
+
+        def preamble(windows: Column) -> Column:
+            shown = F.aggregate(windows, F.lit(0), lambda n, w: n + w["b"] - w["a"] + 1)
+            return F.format_string(
+                "### Focused File Context\nFull file content omitted to control prompt size. Included %d of %d lines around changed hunks; "
+                "omitted %d unchanged lines.\nReason: %s.\n\n", shown, total, F.greatest(F.lit(0), total - shown), reason)
+
+        def shell(i: Column, a: Column, b: Column, inner: Column) -> Column:
+            return F.concat(F.lit("#### Context Window "), i.cast("string"), F.lit(": lines "), a.cast("string"), F.lit("-"), b.cast("string"),
+                            F.lit("\n```"), language, F.lit("\n"), inner, F.lit("\n```"))
+
+        def shown_window(w: Column, i: Column) -> Column:
+            width = F.length(w["b"].cast("string"))
+            rows = F.transform(body(w["a"], w["b"]), lambda x, j: F.concat(F.lpad((w["a"] + j).cast("string"), width, " "), F.lit(" | "), x))
+            return shell(i + 1, w["a"], w["b"], F.array_join(rows, "\n"))
+
+        def price(w: Column) -> Column:
+            """Tokens of a window: its frame, and its lines with their numbers."""
+            count = w["b"] - w["a"] + 1
+            inner = F.length(F.array_join(body(w["a"], w["b"]), "\n")) + count * (F.length(w["b"].cast("string")) + 3)
+            return _tokens(F.length(shell(F.lit(1), w["a"], w["b"], F.lit("")))) + _tokens(inner)
+
+        def cost(windows: Column) -> Column:
+            prices = F.aggregate(windows, F.lit(0).cast("long"), lambda n, w: n + price(w))
+            return _tokens(F.length(preamble(windows))) + F.when(F.size(windows) > 0, prices).otherwise(_tokens(F.lit(len(NO_WINDOW))))
+
+        none = F.array().cast("array<struct<a:int,b:int>>")
+
+        def bare(anchors: Column) -> Column:
+            """The first lines, each a window of its own, that fit together. A window costs ten tokens at the least."""
+            singles = F.transform(F.slice(anchors, F.lit(1), F.greatest(F.lit(1), F.ceil(budget / 10).cast("int"))), lambda n: F.struct(
+                n.cast("int").alias("a"), n.cast("int").alias("b")))
+            prices = F.transform(singles, price)
+            sums = F.transform(prices, lambda _, i: cost(none) + F.aggregate(F.slice(prices, F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, x: n + x))
+            fit = F.size(F.filter(sums, lambda n: n <= budget))
+            return F.when(fit > 0, F.slice(singles, F.lit(1), F.greatest(F.lit(1), fit))).otherwise(none)
+
+        def chosen(anchors: Column) -> Column:
+            fitting = F.filter(F.sequence(radius.cast("int"), F.lit(0)), lambda r: cost(line_windows(anchors, total, r)) <= budget)
+            return F.when(budget.isNull(), line_windows(anchors, total, radius)).when(budget <= 0, none).otherwise(
+                F.coalesce(_let(F.get(fitting, F.lit(0)), lambda r: F.when(r.isNotNull(), line_windows(anchors, total, r))), bare(anchors)))
+
+        def rendered(windows: Column) -> Column:
+            inner = F.array_join(F.transform(windows, shown_window), "\n\n")
+            return F.concat(preamble(windows), F.when(F.size(windows) > 0, inner).otherwise(NO_WINDOW))
+
+        def trimmed(windows: Column) -> Column:
+            """Without the last windows while the text as a whole is over the budget."""
+            heads = F.transform(F.sequence(F.size(windows), F.lit(0)), lambda k: F.when(k > 0, F.slice(windows, F.lit(1), F.greatest(k, F.lit(1)))).otherwise(none))
+            fits = F.filter(heads, lambda h: (_tokens(F.length(rendered(h))) <= budget) | (F.size(h) == 0))
+            return F.when(budget.isNull() | (_tokens(F.length(rendered(windows))) <= budget), rendered(windows)).otherwise(rendered(fits[0]))
+
+        return _let(_let(anchors, chosen), trimmed)
+
+    return _let(_lines(text), view)
 
 
 def full_context(content: Column | str, language: Column | str) -> Column:

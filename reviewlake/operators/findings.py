@@ -128,8 +128,8 @@ def parse_analysis(raw: Column) -> Column:
     """Struct of summary, issues, cross_file_issues, file_issues, recommendations, holistic and parse_error."""
     j = F.from_json(raw, RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
     filled = j["fileSpecificIssues"].isNotNull() | j["crossFileIssues"].isNotNull() | j["recommendations"].isNotNull()
-    # A text that is no JSON object leaves every field null.
-    bad = raw.isNull() | ~F.coalesce(raw.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False)) | j.isNull()
+    # Well-formed JSON alone counts; a field of another type than expected is null and no error.
+    bad = ~F.coalesce(F.try_parse_json(raw).isNotNull() & raw.rlike(r"^\s*\{"), F.lit(False)) | j.isNull()
     return F.struct(
         F.when(bad, "Error parsing LLM response").otherwise(or_default(j["summary"], "No summary provided")).alias("summary"),
         F.when(~filled | bad, j["issues"]).alias("issues"), F.when(filled, j["crossFileIssues"]).alias("cross_file_issues"),

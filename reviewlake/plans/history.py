@@ -18,12 +18,16 @@ from reviewlake.session import materialize
 def attach_patch_code(comments: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
     """Where the hunk gave no original code, take the code of the file's patch at the comment's line.
 
-    Only comments that need it take part, so the patches of other files are not shuffled to them.
+    Only comments that need it take part, so the patches of other files are not shuffled to them. Of patches landed twice
+    for a file the first counts, by ``landed_at`` if there is one, else the least text; a comment never gives two rows.
     """
     needs = is_blank("original_code") & F.coalesce(F.length("file_path") > 0, F.lit(False))
     rest = comments.where(~needs)
     wanted = comments.where(needs)
-    files = patches.where(~is_blank("patch")).select(*keys, F.col("filename").alias("file_path"), "patch")
+    landed = ["landed_at"] if "landed_at" in patches.columns else []
+    files = patches.where(~is_blank("patch")).select(*keys, F.col("filename").alias("file_path"), "patch", *landed)
+    first = F.min_by("patch", F.struct("landed_at", "patch")) if landed else F.min("patch")
+    files = files.groupBy(*keys, "file_path").agg(first.alias("patch"))
     joined = wanted.join(files, [*keys, "file_path"], "left")
     coded = joined.withColumn("code", D.patch_code_at_line("patch", "line"))
     found = F.col("patch").isNotNull()
@@ -72,13 +76,14 @@ def sync_history(
     """One synchronisation run over landed data.
 
     Filters pull requests, skips those already processed, enriches the rest's comments and merges them
-    into ``stored``; comments that vanished from re-fetched pull requests are dropped.
+    into ``stored``; comments that vanished from re-fetched pull requests are dropped. Only what ``project`` itself has stored
+    makes a pull request count as processed, and the pattern statistics are the project's own.
     Returns the new table, the pull requests processed and the pattern statistics.
     """
     embedder = embedder or HashedWords()
     keys = H.PR_KEYS
     kept = prs.where(B.keep_pull_request(F.col("merged_at"), F.col("author"), F.col("draft"), since, until))
-    todo = H.skip_processed(kept, H.pr_sync_state(stored)).where(~F.col("skip"))
+    todo = H.skip_processed(kept, H.pr_sync_state(stored.where(F.col("project_path") == project))).where(~F.col("skip"))
     todo = materialize(todo.select(*keys, F.col("updated_at").alias("pr_updated_at")), "pull-requests")
     raw = H.union_comments(review_comments, issue_comments).join(todo, keys)
     enriched = enrich_comments(raw, patches, embedder, keys)
@@ -91,4 +96,4 @@ def sync_history(
         merged.where(F.col("project_path") == project), todo, H.live_ids(declared, valid, keys)
     ).select("id", "project_path")
     table = merged.join(stale, ["id", "project_path"], "left_anti")
-    return {"comments": table, "processed": todo, "patterns": H.history_patterns(H.comment_stats(table))}
+    return {"comments": table, "processed": todo, "patterns": H.history_patterns(H.comment_stats(table.where(F.col("project_path") == project)))}

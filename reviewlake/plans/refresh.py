@@ -112,11 +112,14 @@ def tree_text(tree: DataFrame, limit: int = STRUCTURE_LINES) -> DataFrame:
 
 
 def refresh_corpus(corpus, files: DataFrame, embedder: Embedder | None = None, mode: str = "full", exclude_globs=(), ignored=None) -> DataFrame:
-    """Refresh the stored tables from ``files`` and return the run's counters. ``mode='partial'`` never prunes."""
+    """Refresh the stored tables from ``files`` and return the run's counters. ``mode='partial'`` never prunes.
+
+    The run covers every project of ``files``, also one whose files are all refused: a full run empties it.
+    """
     embedder = embedder or HashedWords()
     admitted = best_per_key(admit(files, exclude_globs, ignored), R.FILE_KEYS, [F.col("last_modified").desc(), F.md5("content")])
     admitted = materialize(admitted, "admitted")
-    projects = admitted.select("project_path").distinct()
+    projects = materialize(files.select("project_path").distinct(), "projects")
     stored = corpus.table("file_embeddings").join(projects, "project_path", "left_semi")
     table, status = refresh_files(admitted, stored, embedder, mode)
     structure = refresh_structure(admitted, stored, embedder)

@@ -232,6 +232,7 @@ skipped AS (SELECT repository, pr_number FROM prs WHERE pr_number % 4 = 2 AND pr
 
 @query("h15_sync_history", with_ctes(COMMENTS, ENRICHED, SYNCED) + """
 SELECT id, repository, pr_number FROM old WHERE (repository, pr_number) NOT IN (SELECT (repository, pr_number) FROM prs)
+UNION ALL SELECT id || 'o', repository, conv_id FROM comments WHERE conv_id % 4 = 1
 UNION ALL SELECT id, repository, pr_number FROM old WHERE (repository, pr_number) IN (SELECT (repository, pr_number) FROM skipped)
 UNION ALL SELECT id, repository, conv_id FROM human WHERE (repository, conv_id) IN (SELECT (repository, pr_number) FROM prs)
   AND (repository, conv_id) NOT IN (SELECT (repository, pr_number) FROM skipped)
@@ -250,7 +251,10 @@ def h15(t):
     processed = base.where("pr_number % 4 = 2").withColumn("pr_updated_at", F.when(
         F.col("pr_number") % 5 == 0, "2024-01-05T00:00:00Z").otherwise("2024-02-01T00:00:00Z"))
     vanished = base.where("pr_number % 5 = 0").withColumn("id", F.concat("id", F.lit("x"))).withColumn("pr_updated_at", F.lit("2024-01-05T00:00:00Z"))
-    stored = processed.unionByName(vanished)
+    # Another project has stored some of the same pull requests: for this one they are still to do.
+    other = base.where("pr_number % 4 = 1").withColumn("id", F.concat("id", F.lit("o"))).withColumn("project_path", F.lit("/work/other")).withColumn(
+        "pr_updated_at", F.lit("2024-02-01T00:00:00Z"))
+    stored = processed.unionByName(vanished).unionByName(other)
     review, issue = raw.where("path IS NOT NULL"), raw.where("path IS NULL")
     result = S.sync_history(prs, review, issue, None, stored, "/work/all", F.lit("2024-03-01T00:00:00Z"), embedder=E)
     return result["comments"].select("id", "repository", "pr_number")

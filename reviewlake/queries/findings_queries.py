@@ -256,7 +256,9 @@ def g46(t):
     raw = (
         F.when(n == 0, F.concat(F.lit('{"summary":"about '), "lang", F.lit('",' + issue + "}")))
         .when(n == 1, F.concat(F.lit('{"summary":"about '), "lang", F.lit('","crossFileIssues":[],"fileSpecificIssues":{"a.py":[]},"recommendations":["r"]}')))
-        .when(n == 2, F.lit('{"summary":"",' + issue + "}")).otherwise(F.lit("not json"))
+        .when(n == 2, F.lit('{"summary":"",' + issue + "}"))
+        .when(F.col("doc_id") % 12 == 3, F.lit("not json")).when(F.col("doc_id") % 12 == 7, F.lit("{broken}"))
+        .otherwise(F.lit('{"summary":"x", "issues": [}'))
     )
     parsed = t.documents.select("doc_id", N.parse_analysis(raw).alias("p"))
     size = lambda c: F.coalesce(F.size(c), F.lit(-1))

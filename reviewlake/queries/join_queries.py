@@ -156,7 +156,9 @@ def c7(t):
         F.col("file_id").alias("pr_number"), F.col("file_id").cast("string").alias("filename"),
         F.regexp_replace("diff", r"(?s)^.*?(?=@@)", "").alias("patch"),
     )
-    return attach_patch_code(c, patches, ["pr_number"]).select(
+    # Some patches were landed twice, the second time with a line more.
+    twice = patches.where("pr_number % 3 = 0").withColumn("patch", F.concat("patch", F.lit("\n+late")))
+    return attach_patch_code(c, patches.unionByName(twice), ["pr_number"]).select(
         "conv_id", "turn", F.col("original_code").alias("original"), F.col("suggested_code").alias("suggested")
     )
 

@@ -1,9 +1,12 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.functions import classify as C
+from reviewlake.functions import constants as K
 from reviewlake.functions import context as X
 from reviewlake.functions import diffs as D
 from reviewlake.functions import markdown as M
@@ -225,64 +228,123 @@ def test_globs(value, glob, path, want):
 DIFF = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,3 +10,4 @@ f\n keep\n-gone\n+new\n+more\n tail\n\\ No newline"
 
 
-def test_parse_diff():
-    p = D.parse_diff_text(DIFF)
-    assert p["added"] == [{"line_number": 11, "content": "new"}, {"line_number": 12, "content": "more"}]
+def _reference_lines(diff):
+    """(mark, place, text) line by line, as a reader would number them."""
+    at, out = None, []
+    for line in diff.split("\n"):
+        head = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", line)
+        if line.startswith("diff --git "):
+            at = None
+        elif head:
+            at = int(head[1])
+        elif at is not None and line[:1] in ("+", "-", " ") and line:
+            out.append((line[0], at, line[1:]))
+            at += line[0] != "-"
+    return out
+
+
+def _random_diff(rng):
+    out = ["diff --git a/x b/x\n--- a/x\n+++ b/x"] if rng.random() < 0.6 else []
+    for _ in range(rng.randrange(0, 5)):
+        out.append(f"@@ -{rng.randrange(60)},3 +{rng.randrange(60)} @@" + rng.choice(["", " fn"]))
+        out += [rng.choice(["+", "-", " ", "\\ No", "", "@@ x"]) + "x" * rng.randrange(30) for _ in range(rng.randrange(12))]
+        out += ["diff --git a/y b/y\n+++ q"] if rng.random() < 0.1 else []
+    return "\n".join(out)
+
+
+def test_parse_diff(value):
+    parse = lambda d, *a: value(D.parse_diff(F.lit(d).cast("string"), *a))
+    p = parse(DIFF)
+    assert [tuple(r) for r in p["added"]] == [(11, "new"), (12, "more")]
     assert p["removed"] == ["gone"] and [c["line_number"] for c in p["context"]] == [10, 13]
-    assert p["changed"] == [11, 12]
-    assert D.parse_diff_text(DIFF, removal_anchors=True)["changed"] == [11, 11, 12]
-    only = "@@ -1 +0,0 @@\n keep"
-    assert D.parse_diff_text(only, hunk_fallback=True)["changed"] == [1]
-    assert D.parse_diff_text(None)["changed"] == []
+    assert p["changed"] == [11, 12] and parse(DIFF, True)["changed"] == [11, 11, 12]
+    assert parse("@@ -1 +0,0 @@\n keep", False, True)["changed"] == [1]
+    assert parse(None)["changed"] == []
 
 
-def test_patch_code():
+def test_diff_lines_match_a_reader(spark):
+    rng = random.Random(3)
+    rows = [(i, _random_diff(rng)) for i in range(120)]
+    got = spark.createDataFrame(rows, "i int, d string").select("i", D.diff_lines("d").alias("x")).collect()
+    assert {r.i: [(x.mark, x.line_number, x.content) for x in r.x] for r in got} == {i: _reference_lines(d) for i, d in rows}
+
+
+def test_patch_code(value):
+    at = lambda patch, n: tuple(value(D.patch_code_at_line(F.lit(patch).cast("string"), F.lit(n))))
     patch = "@@ -1,2 +1,2 @@\n a\n-old\n+new\n b"
-    assert D._code_at(patch, 2) == ("old", None)  # the removed line stands in front
-    assert D._code_at(patch, 3) == (None, None)
-    assert D._code_at("@@ -1 +5 @@\n+x", 5) == (None, "x")
-    assert D._code_at(None, 1) == (None, None)
+    assert at(patch, 2) == ("old", None)  # the removed line stands in front
+    assert at(patch, 3) == (None, None)
+    assert at("@@ -1 +5 @@\n+x\n@@ -9 +6 @@\n+y", 6) == (None, "y")
+    assert at("@@ -1 +5 @@\n+x", 5) == (None, "x")
+    assert at(None, 1) == (None, None)
+
 
+def _split(value, diff, budget):
+    return value(D.split_diff(F.lit(diff), F.lit(budget)))
 
-def test_split_diff_keeps_every_line():
+
+def test_split_diff_keeps_every_line(value):
     hunks = [f"@@ -1,3 +{i * 10},3 @@\n" + "\n".join(f"+line {i} {j}" for j in range(20)) for i in range(1, 8)]
     diff = "diff --git a b\n" + "\n".join(hunks)
-    parts = D.split_diff_text(diff, 150)
-    assert len(parts) > 1
-    assert all(len(p) <= 150 * 3.5 for p in parts)
+    parts = _split(value, diff, 150)
+    assert len(parts) > 1 and all(len(p) <= 150 * 3.5 for p in parts)
+    # No part could have taken in the first hunk of the next one.
+    for p, q in zip(parts, parts[1:]):
+        assert len(p) + 1 + len("@@" + q.split("@@ -", 1)[0]) + len(hunks[0]) > 150 * 3.5
     added = [line for p in parts for line in p.split("\n") if line.startswith("+")]
     assert added == [line for line in diff.split("\n") if line.startswith("+")]
-    assert all(p.startswith("diff --git a b\n") for p in parts)
+    assert all(p.startswith("diff --git a b\n") for p in parts) and all(K.SPLIT_MARKER in p for p in parts[1:])
+    assert _split(value, "short", 5) == ["short"] and _split(value, "", 1) == [""]
 
 
-def test_split_diff_cuts_a_huge_hunk():
-    body = "\n".join(f"+{'x' * 30}{i}" for i in range(200))
-    parts = D.split_diff_text("head\n@@ -1,1 +7,200 @@\n" + body, 200)
+def test_split_diff_cuts_a_huge_hunk(value):
+    lines = [f"+{'x' * 30}{i}" for i in range(200)]
+    diff = "head\n@@ -1,1 +7,200 @@\n" + "\n".join(lines)
+    parts = _split(value, diff, 200)
     assert all(len(p) <= 700 for p in parts)
-    starts = [int(p.split("+", 1)[1].split(",")[0]) for p in parts if "@@ -1,1 +" in p]
-    assert starts == sorted(starts) and starts[0] == 7 and starts[-1] > 100
-    kept = "".join(p[len(D._prefix("head", i > 0, 700, next((ln for ln in p.split("\n") if ln.startswith("@@")), "") if i else "")):] for i, p in enumerate(parts))
-    assert kept.replace("head\n", "").endswith(body[-200:])
+    whole, starts = "", []
+    for i, p in enumerate(parts):
+        head = "head\n" if i == 0 else re.match(r"head\n[^\n]*\n@@ -1,1 \+(\d+),200 @@\n", p)
+        if i:
+            # The hunk line names the line in which the piece begins: the header's own line comes before the first.
+            done = whole.split("\n")[1:]
+            assert int(head[1]) == 7 + max(0, len(done) - 1)
+            starts.append(int(head[1]))
+            head = head[0]
+        whole += p[len(head):]
+    assert whole == diff[len("head\n"):] and starts == sorted(starts) and starts[-1] > 100
 
 
 @pytest.mark.parametrize("lines,total,radius,want", [
     ([5, 7, 50], 100, 2, [(3, 9), (48, 52)]), ([1], 3, 10, [(1, 3)]), ([3, 8], 100, 2, [(1, 10)]), ([3, 9], 100, 2, [(1, 5), (7, 11)]), ([], 10, 2, []),
 ])
-def test_merge_windows(lines, total, radius, want):
-    assert D.merge_windows(lines, total, radius) == want
+def test_line_windows(value, lines, total, radius, want):
+    found = value(D.line_windows(F.array(*map(F.lit, lines)).cast("array<int>"), F.lit(total), F.lit(radius)))
+    assert [tuple(w) for w in found] == want
 
 
-def test_focused_context_respects_budget():
+def test_focused_context_respects_budget(spark):
     content = "\n".join(f"line {i} of the file" for i in range(1, 301))
     diff = "@@ -100,1 +100,2 @@\n+a\n+b\n@@ -200,1 +250,1 @@\n+c"
-    full = D.focused_context_text(content, "python", None, diff, "big")
+
+    def shown(cases, content=content, diff=diff):
+        rows = spark.createDataFrame(cases, "radius int, budget double")
+        text = D.focused_context(F.lit(content), F.lit("python"), F.array().cast("array<int>"), F.lit(diff), F.lit("big"), F.col("radius"), F.col("budget"))
+        return {(r.radius, r.budget): r.text for r in rows.select("radius", "budget", text.alias("text")).collect()}
+
+    free = {r: t for (r, _), t in shown([(r, None) for r in range(41)]).items()}
+    full = free[40]
     assert "lines 60-141" in full and "lines 210-290" in full and "Included 163 of 300 lines" in full
-    for budget in (60, 120, 300, 900):
-        text = D.focused_context_text(content, "python", None, diff, "big", budget=budget)
+    assert " 60 | line 60 of the file" in full
+    cost = lambda text: math.ceil(len(text) / 3.5)
+    for (_, budget), text in shown([(40, float(b)) for b in (60, 120, 300, 900, 5000)]).items():
         # Only the preamble itself may be above a budget that holds no window.
-        assert math.ceil(len(text) / 3.5) <= budget or "No focused file context windows fit" in text
-    assert "Context Window" in D.focused_context_text(content, "python", None, diff, "big", budget=300)
-    assert "lines 1-1" in D.focused_context_text("x", None, None, "", "r")
+        assert cost(text) <= budget or "No focused file context windows fit" in text
+        # Rounding up piece by piece costs a few tokens more than the text as a whole.
+        sure = [r for r in free if cost(free[r]) + 6 <= budget]
+        if sure:
+            assert text in free.values() and len(text) >= len(free[max(sure)])
+    assert "lines 1-1" in shown([(40, None)], "x", "")[40, None]
 
 
 def test_markdown_titles():

@@ -371,7 +371,9 @@ def test_parse_analysis(value):
     assert ok["summary"] == "s" and ok["issues"][0]["lineNumbers"] == [1] and not ok["holistic"]
     whole = value(N.parse_analysis(F.lit('{"crossFileIssues":[],"fileSpecificIssues":{"a":[{"type":"t"}]}}')))
     assert whole["holistic"] and whole["summary"] == "No summary provided" and whole["file_issues"]["a"][0]["type"] == "t"
-    assert value(N.parse_analysis(F.lit("nope")))["parse_error"]
+    for broken in ("nope", "{broken}", '{"summary":"x", "issues": [}', "[1]", '{"summary":"x"} tail'):
+        assert value(N.parse_analysis(F.lit(broken)))["parse_error"]
+    assert value(N.parse_analysis(F.lit('{"summary":"s","issues":[{"type":"bug","lineNumbers":"all"}]}')))["summary"] == "s"
 
 
 def test_render_issue_with_code(spark):
