@@ -14,7 +14,6 @@ MAX_DOCUMENT_BYTES = 5 * 1024 * 1024
 CODE_CHUNK_LINES = 20
 CODE_CHUNK_OVERLAP = 5
 COMMENT_DISTANCE_LIMIT = 0.4
-COMMENT_CANDIDATES_PER_CHUNK = 15
 CONTEXT_RADIUS = 40
 MAX_FULL_FILE_TOKENS = 12000
 MAX_TOTAL_FULL_TOKENS = 60000

@@ -44,12 +44,8 @@ _ALLOWED = f"(q.item_id % 3 = 0 OR (q.item_id % 3 = 1) = {_IS_TEST_LIKE.replace(
 CODE_SEARCH = with_ctes(
     FILES, sql_embedding("qe", "benchmark", "item_id", "text"), sql_embedding("de", "files", "file_id", "content"),
     f"pairs AS (SELECT q.item_id AS query_id, c.file_id AS doc_id FROM benchmark q, files c WHERE {_ALLOWED})",
-    sql_bm25("benchmark", "item_id", "text", "files", "file_id", "content", 20, allowed="WHERE (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM pairs)"),
-    sql_knn_components("v", "qe", "item_id", "de", "file_id", 20, "(q.item_id, c.file_id) IN (SELECT (query_id, doc_id) FROM pairs)"),
-    """fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM b_top UNION ALL SELECT query_id, id, rank FROM v) GROUP BY ALL),
-f20 AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
-sims AS (SELECT f20.query_id, f20.doc_id, exp(-2 * round(greatest(qn.nn + cn.nn - 2 * coalesce(dot, 0), 0), 9)) AS similarity
-  FROM f20 JOIN v_qn qn USING (query_id) JOIN v_cn cn ON cn.id = f20.doc_id LEFT JOIN v_dot d ON d.query_id = f20.query_id AND d.id = f20.doc_id)""")
+    sql_knn_components("v", "qe", "item_id", "de", "file_id", 5, "(q.item_id, c.file_id) IN (SELECT (query_id, doc_id) FROM pairs)"),
+    "sims AS (SELECT query_id, id AS doc_id, exp(-2 * distance) AS similarity FROM v)")
 
 
 @query("h8_find_similar_code", CODE_SEARCH + """
@@ -92,7 +88,7 @@ def h9(t):
 
 @query("h9_rerank_docs", with_ctes(
     sql_embedding("qe", "benchmark", "item_id", "text"), sql_embedding("de", "documents", "doc_id", "text"),
-    sql_knn_components("v", "qe", "item_id", "de", "doc_id", 30),
+    sql_knn_components("v", "qe", "item_id", "de", "doc_id", 1_000_000),
     sql_embedding("te", "(SELECT DISTINCT 'Guide api ' || source AS title FROM documents)", "title", "title"),
     """hit AS (SELECT v.query_id, v.id, 1 - distance AS sim, 'Guide api ' || source AS title, source FROM v JOIN documents ON doc_id = id WHERE greatest(0, 1 - distance) >= 0.05),
 n AS (SELECT query_id, count(*) AS n FROM hit GROUP BY ALL),
@@ -157,7 +153,7 @@ def _review_queries(t):
 
 @query("h11_find_relevant_comments", with_ctes(
     COMMENTS, "bq AS (SELECT item_id, text FROM benchmark)", sql_embedding("qe", "bq", "item_id", "text"), sql_embedding("ce", "comments", "id", "comment_text"),
-    sql_knn_components("v", "qe", "item_id", "ce", "id", 15),
+    sql_knn_components("v", "qe", "item_id", "ce", "id", 1_000_000),
     f"""near AS (SELECT v.query_id, v.id, v.distance, c.comment_text, coalesce(c.file_path, '') AS fp, lower(b.text) AS code FROM v JOIN comments c USING (id)
   JOIN benchmark b ON b.item_id = v.query_id WHERE distance <= 1.6),
 kept AS (SELECT *, list_filter(regexp_split_to_array(lower(comment_text), '[^a-zA-Z0-9_]+'), lambda x: length(x) > 2 AND NOT {sql_in('x', K.ENGLISH_STOPWORDS)}) AS kw FROM near),
@@ -171,11 +167,9 @@ def h11(t):
 
 
 def _pr_files(t):
+    """Every file is under review, in pull requests of a few dozen; the corpus is all of them too."""
     f = files(t.documents)
-    labelled = t.labels.where("toxic = 1").select(F.col("doc_id").alias("file_id"))
-    # The files under review: those labelled toxic; the corpus is everything.
-    return f.join(labelled, "file_id", "left_semi").select(
-        F.col("file_id").alias("query_id"), (F.col("file_id") % 41).alias("pr"), F.lit("/work/all").alias("project_path"), "path", "content")
+    return f.select(F.col("file_id").alias("query_id"), (F.col("file_id") % 41).alias("pr"), F.lit("/work/all").alias("project_path"), "path", "content")
 
 
 def _stacked(context, keys):

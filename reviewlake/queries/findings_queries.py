@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions import classify as C
@@ -104,15 +105,15 @@ def reviewed(t):
         F.bool_or("success").alias("success"), F.bool_and(F.col("l_suppkey") % 2 == 0).alias("skipped"))
 
 
-@query("d18_review_summary", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT * FROM findings WHERE l_partkey % 9 = 0),
+@query("d18_review_summary", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT * FROM findings),
 n AS (SELECT file_path, count(*) AS n, count(*) FILTER (WHERE has_code_suggestion) AS nc FROM i GROUP BY ALL)""") + """
 SELECT count(*) AS total_files, count(*) FILTER (WHERE success AND NOT skipped AND n > 0) AS files_with_issues, sum(n)::BIGINT AS file_level_issues,
   sum(nc) FILTER (WHERE success AND NOT skipped)::BIGINT AS issues_with_code, count(*) FILTER (WHERE skipped) AS skipped_files,
-  count(*) FILTER (WHERE NOT success) AS error_files, (SELECT count(*) FROM findings WHERE l_partkey % 50 = 0) AS pr_level_issues
+  count(*) FILTER (WHERE NOT success) AS error_files, (SELECT count(*) FROM findings) AS pr_level_issues
 FROM reviewed LEFT JOIN n USING (file_path)""")
 def d18(t):
     f = findings(t.lineitem)
-    return N.review_summary(reviewed(t), f.where("l_partkey % 9 = 0"), f.where("l_partkey % 50 = 0"))
+    return N.review_summary(reviewed(t), f, f)
 
 
 @query("d19_pr_level_findings", with_ctes(FINDINGS) + """
@@ -198,11 +199,10 @@ def g50(t):
 
 
 @query("g50_format_context", with_ctes(FILES, "r AS (SELECT *, row_number() OVER (PARTITION BY project_path ORDER BY n_chars DESC, file_id) AS rank FROM files)") + """
-SELECT project_path, rank AS index, path, printf('%.2f', round(n_chars / 7919 % 1, 2)) AS similarity, lang AS language, md5(content) AS content FROM r WHERE rank <= 5""")
+SELECT project_path, rank AS index, path, printf('%.2f', round(n_chars / 7919 % 1, 2)) AS similarity, lang AS language, md5(content) AS content FROM r""")
 def g50_items(t):
-    from reviewlake.operators.topk import top_k
-
-    items = top_k(files(t.documents), ["project_path"], [F.col("n_chars").desc(), F.col("file_id")], 5)
+    order = Window.partitionBy("project_path").orderBy(F.col("n_chars").desc(), "file_id")
+    items = files(t.documents).withColumn("rank", F.row_number().over(order))
     items = items.withColumn("similarity", F.col("n_chars") / 7919 % 1).withColumn("language", F.col("lang"))
     return N.format_context_items(items, ["project_path"]).withColumn("content", F.md5("content"))
 
@@ -210,7 +210,7 @@ def g50_items(t):
 _EMOJI = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in K.SEVERITY_EMOJI.items())
 
 
-@query("a11_render_markdown", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT DISTINCT file_path, type, severity, description, suggestion, line_number FROM findings WHERE l_partkey % 9 = 0),
+@query("a11_render_markdown", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT DISTINCT file_path, type, severity, description, suggestion, line_number FROM findings),
 n AS (SELECT file_path, count(*) AS n FROM i GROUP BY ALL),
 heads AS (SELECT '### ' || file_path || chr(10) || chr(10) || CASE WHEN NOT success THEN '**Error:** boom' || chr(10) WHEN skipped THEN '*Skipped (based on exclusion patterns or file type).*' || chr(10)
   WHEN coalesce(n, 0) = 0 THEN '*No actionable issues reported.*' || chr(10) || chr(10) || '**Summary:** all ' || file_path || chr(10)
@@ -222,19 +222,19 @@ FROM i JOIN reviewed USING (file_path) WHERE success AND NOT skipped) GROUP BY A
 def a11(t):
     f = reviewed(t).withColumn("partial", F.lit(False)).withColumn("error", F.when(~F.col("success"), "boom")).withColumn(
         "summary", F.concat(F.lit("all "), "file_path"))
-    issues = findings(t.lineitem).where("l_partkey % 9 = 0").select(
+    issues = findings(t.lineitem).select(
         "file_path", "type", "severity", "description", "suggestion", F.array("line_number").alias("line_numbers")).distinct()
     return N.render_report(f, issues).groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("a11_render_summary", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT * FROM findings WHERE l_partkey % 9 = 0),
+@query("a11_render_summary", with_ctes(FINDINGS, REVIEWED, """i AS (SELECT * FROM findings),
 n AS (SELECT file_path, count(*) AS n FROM i GROUP BY ALL),
 t AS (SELECT count(*) AS a, count(*) FILTER (WHERE success AND NOT skipped AND n > 0) AS b, sum(n)::BIGINT AS c, count(*) FILTER (WHERE skipped) AS d,
   count(*) FILTER (WHERE NOT success) AS e FROM reviewed LEFT JOIN n USING (file_path))""") + """
 SELECT '## Summary' || chr(10) || chr(10) || '- **Files Analyzed:** ' || a || chr(10) || '- **Files with Issues:** ' || b || chr(10) || '- **Total Issues Found:** ' || c
   || CASE WHEN d > 0 THEN chr(10) || '- **Files Skipped:** ' || d ELSE '' END || CASE WHEN e > 0 THEN chr(10) || '- **Errors:** ' || e ELSE '' END AS text FROM t""")
 def a11_summary(t):
-    return N.render_summary(N.review_summary(reviewed(t), findings(t.lineitem).where("l_partkey % 9 = 0")))
+    return N.render_summary(N.review_summary(reviewed(t), findings(t.lineitem)))
 
 
 @query("a11_render_pr_issues", with_ctes(FINDINGS) + f"""

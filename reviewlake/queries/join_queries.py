@@ -295,12 +295,12 @@ def f3(t):
 
 
 @query("f5_jaccard_sets", f"""
-WITH w AS (SELECT doc_id, {JACCARD_WORDS.format(c='text')} AS x, {JACCARD_WORDS.format(c="lang || ' ' || source || ' ' || substr(text, 1, 200)")} AS y FROM documents)
+WITH w AS (SELECT doc_id, {JACCARD_WORDS.format(c='text')} AS x, {JACCARD_WORDS.format(c="lang || ' ' || source || ' ' || replace(text, 'en', 'an')")} AS y FROM documents)
 SELECT doc_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM w""")
 def f5(t):
     from reviewlake.operators.similarity import word_set
 
-    other = F.concat_ws(" ", "lang", "source", F.substring("text", 1, 200))
+    other = F.concat_ws(" ", "lang", "source", F.replace("text", F.lit("en"), F.lit("an")))
     return t.documents.select("doc_id", F.round(set_jaccard(word_set("text"), word_set(other)), 6).alias("jaccard"))
 
 

@@ -9,7 +9,7 @@ from reviewlake.operators.knn import knn, knn_clustered
 from reviewlake.operators.models import HashedWords, embed, keyword_scores, verify_relevance
 from reviewlake.operators.search import bm25, build_text_index, rrf
 from reviewlake.operators.topk import top_k
-from reviewlake.queries.inputs import FILES, files, quoted, with_ctes
+from reviewlake.queries.inputs import FILES, WS_SQL, files, quoted, sql_trim, with_ctes
 from reviewlake.queries.registry import query
 from reviewlake.functions import constants as K
 
@@ -147,11 +147,14 @@ def h1_blocks(t):
     return _rounded(knn(v, v, 3, query_id="id", plan="blocks", block_rows=256, query_block_rows=256))
 
 
-@query("h2_knn_ann", sql_knn(10))
+@query("h2_knn_ann", "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings")
 def h2(t):
-    # Probing every cell must give the exact answer; recall at fewer probes is a unit test.
+    # Three quarters of the cells, of vectors without clusters, must bring back nine tenths of the exact neighbours.
     v = _vectors(t)
-    return _rounded(knn_clustered(v, v, 10, n_probe=4, query_id="id", n_cells=4))
+    near = knn_clustered(v, v, 10, n_probe=9, n_cells=12, query_id="id").select("query_id", "id")
+    exact = knn(v, v, 10, query_id="id").select("query_id", "id")
+    hits = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("n_queries"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("recall_reached"))
 
 
 @query("h3_bm25_search", with_ctes(sql_bm25("benchmark", "item_id", "text", "documents", "doc_id", "text", 5))
@@ -220,14 +223,18 @@ def h6(t):
     )
 
 
-@query("h7_verify_relevance", with_ctes(FILES) + """
-SELECT file_id FROM files WHERE length(content) > 1000""")
+@query("h7_verify_relevance", with_ctes(FILES, f"""s AS (SELECT file_id, regexp_replace({sql_trim('content')}, '[{WS_SQL}]+', ' ', 'g') AS c FROM files),
+v AS (SELECT file_id, 'Comment: ' || CASE WHEN length(c) <= 500 THEN c
+  WHEN regexp_matches(right(c, 100), '(?i)(^|[^A-Za-z0-9_])(fix|bug|issue|error|problem|solution|should|recommend)($|[^A-Za-z0-9_])')
+    THEN substr(c, 1, 300) || '... ' || right(c, 100) ELSE substr(c, 1, 400) END
+  || ' Code: ' || CASE WHEN length(c) > 400 THEN substr(c, 1, 400) || '...' ELSE c END AS v FROM s)""") + """
+SELECT file_id FROM v WHERE length(v) % 7 >= 3""")
 def h7(t):
-    # The scorer rates the verification text; here its length stands in for a model's probability.
+    # The scorer rates the verification text; here a remainder of its length stands in for a model's probability.
     def score(texts):
-        return [min(len(x), 1400) / 1400 for x in texts]
+        return [(len(x) % 7) / 6 for x in texts]
 
-    kept = verify_relevance(files(t.documents).where(F.length("content") > 1000), "content", "content", score, 0.4)
+    kept = verify_relevance(files(t.documents), "content", "content", score, 0.4)
     return kept.select("file_id")
 
 
