@@ -129,7 +129,7 @@ def parse_analysis(raw: Column) -> Column:
     j = F.from_json(raw, RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
     filled = j["fileSpecificIssues"].isNotNull() | j["crossFileIssues"].isNotNull() | j["recommendations"].isNotNull()
     # Well-formed JSON alone counts; a field of another type than expected is null and no error.
-    bad = ~F.coalesce(F.try_parse_json(raw).isNotNull() & raw.rlike(r"^\s*\{"), F.lit(False)) | j.isNull()
+    bad = ~F.coalesce(F.try_parse_json(raw).isNotNull() & raw.rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False)) | j.isNull()
     return F.struct(
         F.when(bad, "Error parsing LLM response").otherwise(or_default(j["summary"], "No summary provided")).alias("summary"),
         F.when(~filled | bad, j["issues"]).alias("issues"), F.when(filled, j["crossFileIssues"]).alias("cross_file_issues"),
@@ -160,12 +160,17 @@ def pr_overview(files: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("total_files"), F.count_if("is_test").alias("test_files"), F.count_if(~F.col("is_test")).alias("source_files"))
 
 
-def dismissed_patterns(feedback: DataFrame, limit: int = 10, order: str = "issue_key") -> DataFrame:
-    """The first dismissed issues, with their reason. ``feedback``: issue_key, original_issue, sentiment, replies."""
+def dismissed_patterns(feedback: DataFrame, limit: int = 10, order: str = "issue_key", keys: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` dismissed issues of each project (``keys``), with their reason.
+
+    ``feedback``: keys, issue_key, original_issue, sentiment, replies. Without keys the table is one project's.
+    """
+    keys = keys or []
     gone = feedback.where(is_dismissed(F.col("sentiment"), F.col("replies"), include_resolved=False))
     first = F.substring(F.try_element_at("replies", F.lit(1)), 1, 100)
-    return gone.orderBy(order).limit(limit).select(
-        order, or_default("original_issue", "Unknown issue").alias("issue"), or_default(first, "Negative feedback").alias("reason"), "sentiment")
+    kept = top_k(gone, keys, [F.col(order)], limit, rank=None) if keys else gone.orderBy(order).limit(limit)
+    return kept.select(
+        *keys, order, or_default("original_issue", "Unknown issue").alias("issue"), or_default(first, "Negative feedback").alias("reason"), "sentiment")
 
 
 def feedback_context(patterns: DataFrame, order: str = "issue_key") -> DataFrame:

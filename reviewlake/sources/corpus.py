@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from reviewlake.operators import corpus as R
 
+#: Rows (with their texts and vectors) that one file of a project holds at most, roughly.
+ROWS_PER_FILE = 100_000
+
 _S, _I = T.StringType(), T.IntegerType()
 _V = T.ArrayType(T.FloatType())
 
@@ -67,7 +70,10 @@ class Corpus:
     def _drop_partition(self, name: str, project: str) -> None:
         jvm = self.spark.sparkContext._jvm
         escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project)
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/project_path={escaped}")
+        self._delete(f"{self.path(name)}/project_path={escaped}")
+
+    def _delete(self, path: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def write(self, name: str, df: DataFrame, projects: DataFrame | None = None) -> None:
@@ -82,14 +88,19 @@ class Corpus:
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
         staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
         df.write.parquet(staged)
+        rows = self.spark.read.schema(schema).parquet(staged)
+        # A project's rows go to as many tasks as they fill files, so the number of files follows the rows and not the tasks.
+        sizes = rows.groupBy("project_path").agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("n_files"))
+        spread = rows.join(sizes, "project_path").withColumn("file_no", F.pmod(F.xxhash64("id"), F.col("n_files")))
         (
-            self.spark.read.schema(schema).parquet(staged).write.mode("overwrite")
+            spread.repartition("project_path", "file_no").drop("n_files", "file_no").select(*rows.columns).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("project_path").parquet(self.path(name))
         )
         if projects is not None:
             left = self.spark.read.schema(schema).parquet(staged).select("project_path").distinct()
             for row in projects.select("project_path").distinct().join(left, "project_path", "left_anti").toLocalIterator():
                 self._drop_partition(name, row["project_path"])
+        self._delete(staged)
 
     def upsert(self, name: str, updates: DataFrame, keys=("id", "project_path")) -> None:
         projects = updates.select("project_path").distinct()

@@ -106,6 +106,11 @@ def test_landed_history_to_store(spark, tmp_path):
         L.load_pull_requests(spark, str(tmp_path / "prs.json")), loaded, loaded.limit(0), None, corpus.table("pr_comments"), "/work/demo/p",
         F.lit("2024-01-06T00:00:00Z"), embedder=E)
     assert again["processed"].count() == 0 and rows(again["comments"], "id") == [("10",)]
+    # Another project has stored nothing of it yet.
+    other = S.sync_history(
+        L.load_pull_requests(spark, str(tmp_path / "prs.json")), loaded, loaded.limit(0), None, corpus.table("pr_comments"), "/work/demo/q",
+        F.lit("2024-01-06T00:00:00Z"), embedder=E)
+    assert other["processed"].count() == 1 and rows(other["comments"], "id", "project_path") == [("10", "/work/demo/p"), ("10", "/work/demo/q")]
     assert corpus.clear_repository("r", "/work/demo/p") == 1 and corpus.table("pr_comments").count() == 0
 
 
@@ -159,6 +164,11 @@ def test_refresh_corpus(spark, tmp_path):
     run([("src/a.js", "let a = 3")])
     assert rows(corpus.table("file_embeddings").where("type = 'file'"), "path", "content") == [("src/a.js", "let a = 3")]
     assert corpus.table("document_chunk_embeddings").count() == 0
+    # A project whose files are all refused is emptied by a full run, and only by that.
+    run([("img/x.png", "z")], "partial")
+    assert corpus.table("file_embeddings").where("type = 'file'").count() == 1
+    run([("img/x.png", "z")])
+    assert corpus.table("file_embeddings").where("type = 'file'").count() == 0
 
 
 def test_unified_context(spark):

@@ -366,6 +366,27 @@ def test_cross_chunk_patterns(spark):
     assert [(r["n_chunks"], r["n_files"]) for r in got] == [(2, 2)]
 
 
+def test_knn_within_finds_all(spark):
+    from reviewlake.operators.knn import knn_within
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (120, 3))
+    df = spark.createDataFrame([(i, [float(x) for x in p], "ab"[i % 2]) for i, p in enumerate(points)], "id int, vector array<double>, grp string")
+    got = {(r.query_id, r.id) for r in knn_within(df, df, 1.5, query_id="id", tenant="grp", start=2).collect()}
+    want = {(i, j) for i in range(120) for j in range(120) if i % 2 == j % 2 and ((points[i] - points[j]) ** 2).sum() <= 1.5}
+    assert got == want
+
+
+def test_patches_landed_twice_give_one_row(spark):
+    from reviewlake.plans.history import attach_patch_code
+
+    c = spark.createDataFrame([(1, 1, "a.py", 5)], "id int, pr int, file_path string, line int").selectExpr(
+        "*", "cast(null as string) original_code", "cast(null as string) suggested_code", "cast(null as string) diff_hunk")
+    patches = spark.createDataFrame([(1, "a.py", "@@ -1 +5 @@\n+x", 2), (1, "a.py", "@@ -1 +5 @@\n+y", 1)], "pr int, filename string, patch string, landed_at int")
+    assert [r.suggested_code for r in attach_patch_code(c, patches, ["pr"]).collect()] == ["y"]
+    assert [r.suggested_code for r in attach_patch_code(c, patches.drop("landed_at"), ["pr"]).collect()] == ["x"]
+
+
 def test_parse_analysis(value):
     ok = value(N.parse_analysis(F.lit('{"summary":"s","issues":[{"type":"bug","lineNumbers":[1]}]}')))
     assert ok["summary"] == "s" and ok["issues"][0]["lineNumbers"] == [1] and not ok["holistic"]
