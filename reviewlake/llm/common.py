@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewlake.session import shared_dir
@@ -48,7 +49,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -76,6 +77,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, label) of the ``most`` rows of each label that come first by a hash of the id, as a stored table.
+
+    Counts per label come first: of a large label only hashes that can be among the first are ranked (about twice as many as
+    asked for), so no task sees a label's rows all together.
+    """
+    space = 1 << 52
+    ids = rows.select("doc_id", F.col(label).alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(space)).alias("place"))
+    counts = small(stored(ids.groupBy("label").agg(F.count("*").alias("n")), "label-counts"))
+    near = ids.join(counts, "label").where(F.col("place") < F.lit(float(space)) * F.least(F.lit(1.0), F.lit(2.0 * most + 100) / F.col("n")))
+    first = W.partitionBy("label").orderBy("place", "doc_id")
+    return stored(near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).select("doc_id", "label"), "label-sample")
+
+
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 

@@ -12,10 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import load, pick, stored, utf8
+from reviewlake.llm.common import hash_sample, load, pick, utf8
 from reviewlake.llm.quality_model import held_out
 from reviewlake.llm.registry import query
 
@@ -181,9 +180,7 @@ def train(chunks: np.ndarray, labels: np.ndarray, languages: list[str], steps: i
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, parts: int = CHUNKS_PER_ROW) -> DataFrame:
     """(lang, part): pieces of at most ``rows`` rows of each language by the order of a hash of the id, none held out."""
     plain = pick(docs, doc_id="long", text="string", lang="string").where("doc_id is not null and lang is not null and text is not null")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = plain.where(~held_out(F.col("doc_id"))).select("doc_id", "lang").withColumn("n", F.row_number().over(first))
-    ids = stored(ids.where(F.col("n") <= rows).select("doc_id", F.col("lang").alias("label")).dropDuplicates(["doc_id"]), "language-sample")
+    ids = hash_sample(plain.where(~held_out(F.col("doc_id"))), "lang", rows).dropDuplicates(["doc_id"])
     found = plain.join(F.broadcast(ids), "doc_id").where("lang = label")
     room = F.greatest(F.lit(1), F.char_length("text") - CHUNK + 1)
     places = F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1 for k in range(parts)))).alias("at")

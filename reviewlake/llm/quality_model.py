@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.llm.common import load, pick, stored, utf8
+from reviewlake.llm.common import hash_sample, load, pick, utf8
 from reviewlake.llm.registry import query
 
 BUCKETS = 1 << 16
@@ -144,8 +143,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS, chars
     """(text, label): at most ``rows`` rows of each label in the order of a hash of the id, none of them held out."""
     marks = pick(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    first = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    marks = stored(marks.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("doc_id", "label"), "quality-sample")
+    marks = hash_sample(marks, "label", rows)
     text = F.coalesce("text", F.lit(""))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.char_length(text) - chars + 1)) + 1
     found = pick(docs, doc_id="long", text="string").join(F.broadcast(marks), "doc_id")
