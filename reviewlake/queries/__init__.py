@@ -9,5 +9,6 @@ from reviewlake.queries import (  # noqa: F401
     rank_queries,
     findings_queries,
     composite_queries,
+    source_queries,
 )
 from reviewlake.queries.registry import QUERIES, SQL  # noqa: F401
