@@ -12,14 +12,14 @@ from reviewlake.plans import history as S
 from reviewlake.plans import retrieval as Q
 from reviewlake.plans import review as V
 from reviewlake.plans.refresh import chunk_documents, refresh_chunks, refresh_corpus, refresh_files
-from reviewlake.queries.function_queries import SQL_CONTEXT, SQL_TAGS, code_contexts, sql_category
-from reviewlake.queries.inputs import COMMENTS, DIFFS, FILES, comments, diffs, files, quoted, with_ctes
-from reviewlake.queries.predicate_queries import sql_in
+from reviewlake.queries.function_queries import SQL_CONTEXT, SQL_TAGS, code_contexts, sql_category, sql_ext, sql_language
+from reviewlake.queries.inputs import COMMENTS, DIFFS, FILES, comments, diffs, files, quoted, sql_any, with_ctes
+from reviewlake.queries.predicate_queries import _NAME, sql_in
 from reviewlake.queries.registry import query
-from reviewlake.queries.search_queries import DIM, sql_bm25, sql_embedding, sql_knn_components
+from reviewlake.queries.search_queries import DIM, sql_embedding, sql_knn_components
 from reviewlake.session import materialize, shared_dir
 from reviewlake.sources.corpus import Corpus
-from reviewlake.streaming.jobs import stream_comments
+from reviewlake.streaming.jobs import stream_comments, stream_documents
 
 E = HashedWords(DIM)
 
@@ -341,9 +341,28 @@ def i1(t):
         F.col("file_path").alias("path"), "position", "line", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("@@ -1,2 +4,3 @@\n-"), "role")).alias("diff_hunk"),
         "created_at", "updated_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 43_200 + F.col("turn") * 3_600).alias("event_time"))
 
+    corpus = Corpus(spark, f"{root}/corpus")
+
     def store(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
+        # Each batch is delivered twice, as after a failure between the write and the commit.
+        for _ in range(2):
+            corpus.upsert("pr_comments", batch)
 
     stream_comments(raw, store, f"{root}/checkpoint", E).awaitTermination()
-    return spark.read.parquet(f"{root}/table").select("id", "comment_text", "issue_category", "severity")
+    return corpus.table("pr_comments").select("id", "comment_text", "issue_category", "severity")
+
+
+@query("i2_stream_documents", with_ctes(FILES, f"f AS (SELECT *, {_NAME} AS name, lower({sql_ext('path')}) AS ext FROM files)") + f"""
+SELECT project_path, path, content_hash_of AS content_hash FROM (SELECT *, substr(md5(content), 1, 8) AS content_hash_of FROM f)
+WHERE NOT ({sql_in('ext', K.BINARY_EXTENSIONS)} OR {sql_any('path', [f'/{d}/' for d in K.SKIP_DIRECTORIES])} OR {sql_in('name', K.SKIP_FILENAMES)}
+  OR regexp_matches(path, '\\.(min|bundle)\\.(js|css)$|\\.generated\\.|\\.d\\.ts$|\\.snap$|\\.config\\.(js|ts|mjs|cjs)$') OR regexp_matches(name, '^\\..*rc(\\.json)?$'))
+  AND {sql_language(sql_ext('path'))} <> 'unknown'""")
+def i2(t):
+    spark = t.spark
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    arriving = files(stream).select("project_path", "path", "content", F.lit("2024-01-01T00:00:00Z").alias("last_modified"))
+    corpus = Corpus(spark, f"{root}/corpus")
+    stream_documents(arriving, corpus, f"{root}/checkpoint", E).awaitTermination()
+    return corpus.table("file_embeddings").select("project_path", "path", "content_hash")
 

@@ -273,3 +273,21 @@ def test_stream_documents(spark, tmp_path):
     assert rows(corpus.table("file_embeddings").where("type = 'file'"), "path", "content") == [
         ("a.js", "two"), ("b.js", "three"), ("g.md", "# T\n## S\nx")]
     assert corpus.table("document_chunk_embeddings").count() == 2
+
+
+def test_a_job_may_start_from_any_folder(tmp_path):
+    """The workers get the package from the session, not from the folder the driver runs in."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys\nsys.path.append({root!r})\nfrom reviewlake.session import build_session\n"
+        "spark = build_session('local[1]', 1, **{'spark.ui.enabled': 'false'})\n"
+        "from reviewlake.operators.models import HashedWords, embed\n"
+        "print('rows', embed(spark.createDataFrame([('a b',)], 't string'), 't', 'v', HashedWords(8)).where('v is not null').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
