@@ -94,14 +94,21 @@ def review_summary(files: DataFrame, issues: DataFrame, pr_issues: DataFrame | N
 
 
 def pr_level_issues(issues: DataFrame, keys: list[str]) -> DataFrame:
-    """Cross-file issues with defaults, without empty ones, each once per (type, severity, text, files, suggestion)."""
-    files = F.array_sort(F.filter(F.coalesce("files", F.array().cast("array<string>")), lambda f: f != ""))
+    """Cross-file issues with defaults, without empty ones, each once per (type, severity, text, files, suggestion).
+
+    Files come from ``files``, else ``affected_files``, else ``file_paths``; of equal issues the least line numbers stay.
+    """
+    none = F.array().cast("array<string>")
+    named = [F.col(c) for c in ("files", "affected_files", "file_paths") if c in issues.columns]
+    files = F.array_sort(F.filter(F.coalesce(*named, none), lambda f: f != ""))
+    lines = F.coalesce(F.col("line_numbers"), F.array().cast("array<int>")) if "line_numbers" in issues.columns else F.array().cast("array<int>")
     filled = issues.select(
-        *keys, or_default("type", "cross-file").alias("type"), or_default("severity", "info").alias("severity"),
+        *keys, or_default("type", "cross-file").alias("type"), F.lit("cross-file").alias("source"), or_default("severity", "info").alias("severity"),
         or_default("description", F.coalesce("message", F.lit("")), falsy="").alias("description"),
-        or_default("suggestion", F.coalesce("recommendation", F.lit("")), falsy="").alias("suggestion"), files.alias("files"),
+        or_default("suggestion", F.coalesce("recommendation", F.lit("")), falsy="").alias("suggestion"), files.alias("files"), lines.alias("line_numbers"),
     )
-    return filled.where(F.col("description") != "").dropDuplicates([*keys, "type", "severity", "description", "suggestion", "files"])
+    return filled.where(F.col("description") != "").groupBy(*keys, "type", "source", "severity", "description", "suggestion", "files").agg(
+        F.min("line_numbers").alias("line_numbers"))
 
 
 def recommendation_text(text: Column, category: Column, suggestion: Column, impact: Column) -> Column:
@@ -120,8 +127,13 @@ def pattern_recommendation(description: Column, suggestion: Column, files: Colum
     )
 
 
-def pr_recommendations(recommendations: DataFrame, keys: list[str]) -> DataFrame:
-    return recommendations.where(F.length("recommendation") > 0).select(*keys, "recommendation").distinct()
+def pr_recommendations(recommendations: DataFrame, keys: list[str], patterns: DataFrame | None = None) -> DataFrame:
+    """Distinct recommendations; ``patterns`` across chunks (keys, description, suggestion, files) are such too."""
+    rows = recommendations.select(*keys, "recommendation")
+    if patterns is not None:
+        rows = rows.unionByName(patterns.select(
+            *keys, pattern_recommendation(F.col("description"), F.col("suggestion"), F.col("files")).alias("recommendation")))
+    return rows.where(F.length("recommendation") > 0).distinct()
 
 
 def parse_analysis(raw: Column) -> Column:

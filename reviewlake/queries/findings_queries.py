@@ -117,24 +117,28 @@ def d18(t):
 
 
 @query("d19_pr_level_findings", with_ctes(FINDINGS) + """
-SELECT DISTINCT pr, CASE WHEN type = 'N' THEN 'cross-file' ELSE type END AS type, CASE WHEN severity = '' THEN 'info' ELSE severity END AS severity,
+SELECT pr, CASE WHEN type = 'N' THEN 'cross-file' ELSE type END AS type, 'cross-file' AS source, CASE WHEN severity = '' THEN 'info' ELSE severity END AS severity,
   CASE WHEN l_partkey % 4 = 0 THEN 'm' || l_suppkey % 5 ELSE description END AS description,
   CASE WHEN suggestion = '' THEN 'rec' ELSE suggestion END AS suggestion,
-  array_to_string(list_sort([file_path, 'src/f' || (l_suppkey % 3) || '.py']), ',') AS files
-FROM findings WHERE NOT (l_partkey % 4 = 0 AND l_suppkey % 5 = 0)""")
+  array_to_string(list_sort(CASE l_partkey % 3 WHEN 0 THEN [file_path, 'src/f' || (l_suppkey % 3) || '.py'] WHEN 1 THEN ['src/a.py'] ELSE ['src/p.py'] END), ',') AS files,
+  min(line_number)::INTEGER AS line_number
+FROM findings WHERE NOT (l_partkey % 4 = 0 AND l_suppkey % 5 = 0) GROUP BY ALL""")
 def d19(t):
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     raw = findings(t.lineitem).select(
         "pr", F.when(F.col("type") == "N", "").otherwise(F.col("type")).alias("type"), "severity",
         F.when(p % 4 == 0, "").otherwise(F.col("description")).alias("description"),
         F.when(s % 5 != 0, F.concat(F.lit("m"), s % 5)).alias("message"), "suggestion", F.lit("rec").alias("recommendation"),
-        F.array("file_path", F.lit(""), F.concat(F.lit("src/f"), s % 3, F.lit(".py"))).alias("files"),
-    )
-    return N.pr_level_issues(raw, ["pr"]).withColumn("files", F.array_join("files", ","))
+        F.when(p % 3 == 0, F.array("file_path", F.lit(""), F.concat(F.lit("src/f"), s % 3, F.lit(".py")))).alias("files"),
+        F.when(p % 3 == 1, F.array(F.lit("src/a.py"))).alias("affected_files"), F.array(F.lit("src/p.py")).alias("file_paths"),
+        F.array(F.col("line_number").cast("int")).alias("line_numbers"))
+    found = N.pr_level_issues(raw, ["pr"]).withColumn("files", F.array_join("files", ","))
+    return found.withColumn("line_number", F.col("line_numbers")[0]).drop("line_numbers")
 
 
 @query("g47_normalise_recommendation", with_ctes(FINDINGS) + """
-SELECT DISTINCT pr, CASE WHEN l_partkey % 3 = 0 THEN description WHEN l_partkey % 3 = 1 THEN type || CASE WHEN suggestion = '' THEN '' ELSE ': ' || suggestion END || ': ' || severity2
+SELECT DISTINCT pr, description || CASE WHEN suggestion = '' THEN '' ELSE ' ' || suggestion END || ' Affected files: ' || file_path AS recommendation FROM findings
+UNION SELECT DISTINCT pr, CASE WHEN l_partkey % 3 = 0 THEN description WHEN l_partkey % 3 = 1 THEN type || CASE WHEN suggestion = '' THEN '' ELSE ': ' || suggestion END || ': ' || severity2
   ELSE '{"category":"","suggestion":"","impact":""}' END AS recommendation FROM (SELECT *, CASE WHEN severity = '' THEN 'x' ELSE severity END AS severity2 FROM findings)""")
 def g47(t):
     kind = F.col("l_partkey") % 3
@@ -142,7 +146,8 @@ def g47(t):
     text = N.recommendation_text(
         F.when(kind == 0, F.col("description")), part(F.col("type")), part(F.col("suggestion")),
         part(F.when(F.col("severity") == "", "x").otherwise(F.col("severity"))))
-    return N.pr_recommendations(findings(t.lineitem).select("pr", text.alias("recommendation")), ["pr"])
+    patterns = findings(t.lineitem).select("pr", "description", "suggestion", F.array("file_path", F.lit("")).alias("files"))
+    return N.pr_recommendations(findings(t.lineitem).select("pr", text.alias("recommendation")), ["pr"], patterns)
 
 
 @query("c12_issues_to_files", """

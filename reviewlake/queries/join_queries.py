@@ -209,15 +209,18 @@ def e14(t):
 
 @query("a14_summaries", """
 WITH s AS (SELECT user_id, ts, event_id, props FROM events)
-SELECT user_id, CAST(json_extract(arg_max(props, (ts, event_id)), '$.k') AS BIGINT) AS k FROM s GROUP BY ALL""")
+SELECT user_id, CAST(json_extract(arg_max(props, (ts, event_id)), '$.k') AS BIGINT) AS k, 'project ' || user_id AS project_name,
+  arg_max(event_id, (ts, event_id))::VARCHAR AS created_at FROM s GROUP BY ALL""")
 def a14(t):
     from reviewlake.sources.corpus import get_summary
 
     table = t.events.select(
         F.col("user_id").cast("string").alias("project_path"), F.col("props").alias("summary"),
-        F.struct("ts", "event_id").cast("string").alias("last_updated"), "user_id", "event_id", "ts",
+        F.concat(F.lit("project "), "user_id").alias("project_name"), F.col("event_id").cast("string").alias("created_at"), "user_id", "event_id", "ts",
     ).withColumn("last_updated", F.concat_ws("#", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
-    return get_summary(table, "k BIGINT").select(F.col("project_path").cast("long").alias("user_id"), "summary.k")
+    about = "summary._metadata."
+    return get_summary(table, "k BIGINT").select(
+        F.col("project_path").cast("long").alias("user_id"), "summary.k", about + "project_name", about + "created_at")
 
 
 @query("d6_corpus_stats", """

@@ -144,6 +144,7 @@ def check_clearable(project: str) -> None:
 
 
 def get_summary(table: DataFrame, schema: str) -> DataFrame:
-    """Newest summary per project, its JSON parsed with ``schema``."""
+    """Newest summary per project, its JSON parsed with ``schema``, with the record's times and name as ``_metadata`` inside."""
     newest = R.latest_record(table, ["project_path"])
-    return newest.withColumn("summary", F.from_json("summary", schema))
+    about = F.struct("created_at", "last_updated", "project_name")
+    return newest.withColumn("summary", F.from_json("summary", schema)).withColumn("summary", F.col("summary").withField("_metadata", about))
