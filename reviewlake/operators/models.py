@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from reviewlake.functions import constants as K
 from reviewlake.functions.text import col, is_blank, truncate_tokens, verification_text, word_pattern
+from reviewlake.operators.text_terms import pattern_candidates
 
 
 class Embedder(Protocol):
@@ -103,6 +104,27 @@ def keyword_scores(text: Column | str, labels=K.DOMAIN_LABELS, min_score: float
     return F.transform(ranked, lambda s: F.struct(s["domain"].alias("domain"), s["confidence"].alias("confidence")))
 
 
+def technology_scores(text: Column | str, candidates: Column, min_score: float = 0.3) -> Column:
+    """Default scorer of technology candidates: n / (n + 1) for n whole-word mentions, best first; ties keep their order.
+
+    Returns ``array<struct<technology, confidence>>``. A model takes its place through the caller's ``technologies``.
+    """
+    text = F.coalesce(col(text), F.lit(""))
+
+    def scored(name: Column, i: Column) -> Column:
+        whole = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])\\Q"), name, F.lit("\\E(?![A-Za-z0-9_])"))
+        n = F.regexp_count(text, whole)
+        return F.struct((n / (n + 1)).alias("confidence"), (-i).alias("order"), name.alias("technology"))
+
+    ranked = F.sort_array(F.filter(F.transform(candidates, scored), lambda s: s["confidence"] >= min_score), asc=False)
+    return F.transform(ranked, lambda s: F.struct(s["technology"].alias("technology"), s["confidence"].alias("confidence")))
+
+
+def mentioned_technologies(text: Column | str) -> Column:
+    """Scores of the technology-like words of a text."""
+    return technology_scores(text, pattern_candidates(text, list(K.ENGLISH_STOPWORDS)))
+
+
 def classifier_udf(score: Callable[[list[str], list[str]], np.ndarray], labels=K.DOMAIN_LABELS, min_score: float = 0.3):
     """Wrap a multi-label scorer ``(texts, labels) -> (n, labels)``; input is cut to its token limit."""
     labels = list(labels)

@@ -209,6 +209,16 @@ def test_dictionary_match(spark):
     assert rows(dictionary_match(docs, terms, "doc_id", "text"), "doc_id", "term") == [(1, "next.js"), (1, "react"), (1, "spring-boot")]
 
 
+def test_technology_scores(value):
+    from reviewlake.operators.models import mentioned_technologies, technology_scores
+
+    text = F.lit("Use Node.js with FastAPI. Node.js and node.js. The C++ (x) way.")
+    got = value(technology_scores(text, F.array(F.lit("FastAPI"), F.lit("Node.js"), F.lit("Vue"), F.lit("(x)"))))
+    assert [(r["technology"], round(r["confidence"], 2)) for r in got] == [("Node.js", 0.75), ("FastAPI", 0.5), ("(x)", 0.5)]
+    assert {r["technology"] for r in value(mentioned_technologies(text))} >= {"Node.js", "FastAPI"}
+    assert value(mentioned_technologies(F.lit(None).cast("string"))) in (None, [])
+
+
 def test_pattern_candidates(value):
     got = value(pattern_candidates(F.lit("Use Node.js with FastAPI. The AWS CLI and scikit-learn run."), ["the", "with", "and", "use"]))
     assert {"Node.js", "FastAPI", "AWS", "CLI", "scikit-learn"} <= set(got) and "The" not in got
