@@ -202,3 +202,11 @@ def is_dismissed(sentiment: Column, replies: Column, include_resolved: bool = Tr
     replied = F.exists(F.coalesce(replies, F.array().cast("array<string>")),
                        lambda r: F.coalesce(F.lower(r).rlike(pattern), F.lit(False)))
     return F.coalesce(sentiment == "negative", F.lit(False)) | replied
+
+
+def passes_threshold(value: Column | str, threshold: float, rule: str) -> Column:
+    """The three rules for a match: ``search`` takes a similarity from the threshold on, ``feedback`` one above it, and
+    ``distance`` a distance up to it. A null never passes."""
+    value = F.col(value) if isinstance(value, str) else value
+    kept = {"search": value >= threshold, "feedback": value > threshold, "distance": value <= threshold}[rule]
+    return F.coalesce(kept, F.lit(False))

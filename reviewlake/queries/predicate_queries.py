@@ -192,8 +192,8 @@ SELECT l_returnflag, count(*) FILTER (WHERE l_tax >= 0.04) AS searched, count(*)
   count(*) FILTER (WHERE l_discount <= 0.04) AS near FROM lineitem GROUP BY ALL""")
 def b15(t):
     return t.lineitem.groupBy("l_returnflag").agg(
-        F.count_if(F.col("l_tax") >= 0.04).alias("searched"), F.count_if(F.col("l_tax") > 0.04).alias("matched"),
-        F.count_if(F.col("l_discount") <= 0.04).alias("near"),
+        F.count_if(B.passes_threshold("l_tax", 0.04, "search")).alias("searched"), F.count_if(B.passes_threshold("l_tax", 0.04, "feedback")).alias("matched"),
+        F.count_if(B.passes_threshold("l_discount", 0.04, "distance")).alias("near"),
     )
 
 

@@ -55,13 +55,17 @@ def e2(t):
     return rows
 
 
-@query("f4_union_context", with_ctes(HITS) + """
-SELECT pr, count(DISTINCT query_id) AS n_files, count(*) AS n_items FROM (SELECT query_id, id, any_value(pr) AS pr FROM hits GROUP BY ALL) GROUP BY ALL""")
+@query("f4_union_context", with_ctes(HITS, "h AS (SELECT query_id, id, any_value(pr) AS pr FROM hits GROUP BY ALL)") + """
+SELECT 'code' AS kind, pr, count(DISTINCT query_id) AS n_files, count(*) AS n_items FROM h GROUP BY ALL
+UNION ALL SELECT 'comments', pr, count(DISTINCT query_id), count(*) FROM h WHERE query_id % 2 = 1 GROUP BY ALL""")
 def f4(t):
     h = hits(t).groupBy("query_id", "id").agg(F.first("pr").alias("pr"))
-    halves = [h.where("query_id % 2 = 0"), h.where("query_id % 2 = 1")]
-    return halves[0].unionByName(halves[1]).groupBy("pr").agg(
+    even, odd = h.where("query_id % 2 = 0"), h.where("query_id % 2 = 1")
+    # Two batches of files; only one of them has comments, with its columns in another order.
+    context = Q.union_context([{"code": even}, {"code": odd.select("pr", "id", "query_id"), "comments": odd}])
+    count = lambda kind: context[kind].groupBy(F.lit(kind).alias("kind"), "pr").agg(
         F.count_distinct("query_id").alias("n_files"), F.count("*").alias("n_items"))
+    return count("code").unionByName(count("comments"))
 
 
 @query("e4_unique_candidates", with_ctes(HITS, """o AS (SELECT query_id, path, id, similarity FROM hits WHERE NOT suffix(path, '.md')
