@@ -84,7 +84,9 @@ def brute_bm25(docs, query, k, allowed=lambda i: True):
     return [(i, s) for i, s in sorted(((i, round(s, 9)) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:k]]
 
 
-def test_bm25_matches_brute_force_with_hot_words(spark):
+@pytest.mark.parametrize("direct", [0, 1 << 30])
+def test_bm25_matches_brute_force_with_hot_words(spark, monkeypatch, direct):
+    monkeypatch.setattr("reviewlake.operators.search.DIRECT_POSTINGS", direct)
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(40)]
     # "the" and "of" are in every document and in every query.
@@ -99,7 +101,9 @@ def test_bm25_matches_brute_force_with_hot_words(spark):
         assert got[qid] == brute_bm25(docs, text, 5)
 
 
-def test_bm25_groups_and_exclusions(spark):
+@pytest.mark.parametrize("direct", [0, 1 << 30])
+def test_bm25_groups_and_exclusions(spark, monkeypatch, direct):
+    monkeypatch.setattr("reviewlake.operators.search.DIRECT_POSTINGS", direct)
     docs = [(i, "alpha beta" if i % 2 else "alpha", "g1" if i < 6 else "g2") for i in range(12)]
     d = spark.createDataFrame(docs, "doc_id int, text string, grp string")
     q = spark.createDataFrame([(1, "alpha beta", ["g1"]), (2, "alpha", ["g1", "g2"])], "query_id int, text string, groups array<string>")
