@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees of their block elements. The trees of a host are aligned by simple tree matching into one wrapper, level by
-level and first per salt, so that a large host is spread. Each wrapper node is a slot. A text that a slot shows on most of the
+level and first in parts, so that a large host is spread. Each wrapper node is a slot. A text that a slot shows on most of the
 host's pages is template; slots whose text varies are content, unless their path or their links mark them as furniture
 (menus, footers, adverts, forms, comments and the like). Counts per slot run over all pages.
 """
@@ -27,7 +27,8 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.6
 #: A slot is a menu if links hold so large a share of its text over all pages of the host.
 LINK_SHARE = 0.6
-SALTS = 16
+#: A host's distinct shapes are aligned in parts of about so many, and the parts' wrappers then with one another.
+SHAPES_PER_TASK = 2000
 #: Elements nested deeper than this belong to the ancestor at this depth; their texts stay.
 MAX_DEPTH = 150
 
@@ -270,7 +271,8 @@ def _induce(rows: pd.DataFrame) -> list:
 
 def wrappers(shapes: DataFrame) -> DataFrame:
     """(host, shape, slots, marked) for every distinct shape of every host: slots[i] is the wrapper node of the shape's node i."""
-    salted = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
+    sizes = small(stored(shapes.groupBy("host").agg(F.ceil(F.count("*") / SHAPES_PER_TASK).alias("salts")), "html-hosts"), 20_000)
+    salted = shapes.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("shape"), F.col("salts")).cast("int")).drop("salts")
 
     def part(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "shape": [json.dumps(_induce(rows))], "n": [int(rows["n"].sum())]})

@@ -83,3 +83,14 @@ def test_every_node_finds_its_place():
     for s in shapes:
         found = H.place(wrapper, s)
         assert -1 not in found and len(set(found)) == len(found)
+
+
+def test_large_hosts_are_aligned_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(H, "SHAPES_PER_TASK", 2)
+    tail = ["<aside><p>x</p></aside>", "<section><p>s {n}</p></section>", "<blockquote>q {n}</blockquote>", "<table><tr><td>c {n}</table>", "<ul><li>l {n}</ul>"]
+    rows = [(n, "http://a.example/", f"<div id=x>Banner of the site</div><main><p>Text {n}</p>" + "".join(
+        tail[i].format(n=n) for i in range(5) if n >> i & 1) + "</main>") for n in range(32)]
+    got = run(spark, rows)
+    for n in range(32):
+        kept = [f"Text {n}", *(w.format(n=n) for i, w in enumerate(["", "s {n}", "q {n}", "c {n}", "l {n}"]) if i and n >> i & 1)]
+        assert got[n] == "\n\n".join(kept)
