@@ -10,7 +10,6 @@ WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEF
 # --- fixed values: budgets and limits ---
 CHARS_PER_TOKEN = 3.5
 MAX_FILE_BYTES = 1024 * 1024
-MAX_DOCUMENT_BYTES = 5 * 1024 * 1024
 CODE_CHUNK_LINES = 20
 CODE_CHUNK_OVERLAP = 5
 COMMENT_DISTANCE_LIMIT = 0.4

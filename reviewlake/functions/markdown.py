@@ -1,4 +1,4 @@
-"""Document chunkers: one document (at most 5 MiB) in, an array of chunk structs out."""
+"""Document chunkers: one document in, an array of chunk structs out."""
 
 from __future__ import annotations
 

@@ -33,8 +33,7 @@ def admit(files: DataFrame, exclude_globs=(), ignored: DataFrame | None = None)
 
 def chunk_documents(files: DataFrame) -> DataFrame:
     """Markdown chunks of the documentation files, as chunk-table rows without vectors."""
-    docs = files.where(
-        B.is_documentation("path") & (F.octet_length("content") <= K.MAX_DOCUMENT_BYTES) & ~T.is_blank("content"))
+    docs = files.where(B.is_documentation("path") & ~T.is_blank("content"))
     cut = docs.select("project_path", "path", "last_modified", markdown_chunks("path", "content").alias("m"))
     rows = cut.select("project_path", "path", "last_modified", F.col("m.title").alias("title"), F.explode("m.chunks").alias("c"))
     return rows.select(
@@ -43,18 +42,23 @@ def chunk_documents(files: DataFrame) -> DataFrame:
         F.col("title").alias("document_title"), F.lit("markdown").alias("language"), T.short_hash("c.content").alias("content_hash"), "last_modified")
 
 
-def refresh_files(files: DataFrame, stored: DataFrame, embedder: Embedder, mode: str = "full") -> tuple[DataFrame, DataFrame]:
-    """(new file table, status per path). ``stored`` is the current file table of these projects."""
+def refresh_files(
+    files: DataFrame, stored: DataFrame, embedder: Embedder, mode: str = "full", embedding_lines: int = K.EMBEDDING_TRUNCATE_LINES,
+) -> tuple[DataFrame, DataFrame]:
+    """(new file table, status per path). ``stored`` is the current file table of these projects.
+
+    ``embedding_lines``: lines of a code file that the embedding model is given."""
     now = files.withColumn("content_hash", T.short_hash("content")).withColumn("is_empty", T.is_blank("content"))
     inventory = materialize(
         R.diff_inventory(now, stored.where((F.col("type") != R.STRUCTURE_TYPE) & F.col("path").isNotNull()).select(*R.FILE_KEYS, "content_hash")),
         "inventory")
     todo = now.join(inventory.where(F.col("status").isin("new", "changed")).select(*R.FILE_KEYS), R.FILE_KEYS, "left_semi")
-    body = F.when(B.is_documentation("path"), F.col("content")).otherwise(T.truncate_lines("content", K.EMBEDDING_TRUNCATE_LINES, "embedding"))
+    # The whole text is stored and searched; only what the embedding model is given of a code file has a limit of lines.
+    given = F.when(B.is_documentation("path"), F.col("content")).otherwise(T.truncate_lines("content", embedding_lines, "embedding"))
     made = todo.select(
-        P.file_id("path", "content_hash").alias("id"), body.alias("content"), F.lit("file").alias("type"), P.basename("path").alias("name"), "path",
+        P.file_id("path", "content_hash").alias("id"), "content", given.alias("__given"), F.lit("file").alias("type"), P.basename("path").alias("name"), "path",
         "project_path", P.language_from_extension(P.extension("path")).alias("language"), "content_hash", "last_modified")
-    made = materialize(embed(made, "content", "vector", embedder), "embedded-files")
+    made = materialize(embed(made, "__given", "vector", embedder).drop("__given"), "embedded-files")
     fresh = made.where("vector IS NOT NULL")
     # Old versions go only when their replacement was embedded.
     outdated = inventory.where("status = 'changed'").join(fresh.select(*R.FILE_KEYS), R.FILE_KEYS, "left_semi")
