@@ -71,6 +71,14 @@ class _Tree(HTMLParser):
         self.text: list[str] = []
         self.linked, self.silent, self.link = 0, [], 0
 
+    def parse_marked_section(self, i, report=1):
+        """An unknown or unclosed section is a comment up to the next >, as browsers take it, and the page goes on."""
+        try:
+            end = super().parse_marked_section(i, report)
+        except AssertionError:
+            end = -1
+        return end if end >= 0 else self.parse_bogus_comment(i)
+
     def flush(self) -> None:
         text = _SPACES.sub(" ", "".join(self.text)).strip()
         if text:

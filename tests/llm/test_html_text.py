@@ -94,3 +94,8 @@ def test_large_hosts_are_aligned_in_parts(spark, monkeypatch):
     for n in range(32):
         kept = [f"Text {n}", *(w.format(n=n) for i, w in enumerate(["", "s {n}", "q {n}", "c {n}", "l {n}"]) if i and n >> i & 1)]
         assert got[n] == "\n\n".join(kept)
+
+
+def test_text_behind_marked_sections_stays():
+    for section in ("<![ note ]>", "<![foo[x]]>", "<![endif]>", "<![if gte mso 9]>", "<![CDATA[x]]>", "<![CDATA[x>", "<![foo[x]]><![ bar>"):
+        assert [t for _, t, _ in H.parse(f"<p>one</p>{section}<p>two</p><div>three</div>")[1]][-2:] == ["two", "three"], section
