@@ -87,13 +87,17 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # --- the field -------------------------------------------------------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.I)
+#: A digit, a sign, a bracketed sign, or a spelt one: "at" before a name with "dot" or a dotted name.
+_TRIGGER = re.compile(
+    r"[0-9@]|[\[({](?:at|dot)[\])}]|(?<!\S)at[ \t]{1,3}(?:(?:[a-z0-9-]{1,63}[ \t]{1,3}dot[ \t]{1,3}){1,5}[a-z0-9-]{1,63}|[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,5})", re.I)
 _WORD = re.compile(r"[^ \t-\r]+")
 _SPACE = re.compile(r"[ \t-\r]")
 #: Long stretches are worked through in pieces of so many words; each piece knows the words around those it answers for.
 ZONE_WORDS = 64
 _AT = re.compile(r"[\[({ ]\s?at\s?[\]}) ]", re.I)
 _DOT = re.compile(r"[\[({ ]\s?dot\s?[\]}) ]", re.I)
+_SPELT = re.compile(r"[^\s@\[({]+(?: at | ?[\[({] ?at ?[\])}] ?)[a-z0-9-]+(?:(?: dot | ?[\[({] ?dot ?[\])}] ?|\.)[a-z0-9-]+)+", re.I)
+_NAMED = re.compile(r"[^\s]*[._0-9-]")
 _ENDING = re.compile(r"[.\])} ][A-Za-z]{2,10}$")
 _TAIL = re.compile(r"[0-9]{3}[). -]*[0-9]{3}[. -]*[0-9]{4}$")
 _HEXISH = re.compile(r"[0-9][a-f]|[a-f][0-9]")
@@ -119,6 +123,8 @@ def segment_features(text: str, start: int, end: int, words: int) -> list[float]
     plain = not any(c.isalpha() for c in span)
     at, dot = "@" in span, bool(_DOT.search(span))
     word_at = bool(_AT.search(span))
+    whole = word_at and bool(_SPELT.fullmatch(span))
+    bare = whole and not dot and " at " in span.lower()
     size = sum(n >= b for b in _BUCKETS)
     before = text[max(0, start - 3):start]
     return [
@@ -129,11 +135,13 @@ def segment_features(text: str, start: int, end: int, words: int) -> list[float]
         float(plain and 16 <= n <= 19 and luhn(digits)), float(plain and 16 <= n <= 19 and not luhn(digits)),
         float(span[:1] == "+"), float("(" in span), float(plain and 10 <= n <= 15 and bool(_TAIL.search(span))), float(plain and len(groups) == 1),
         float(bool(_HEXISH.search(span))), float("=" in before or '"' in before), float(span.count("(") != span.count(")")),
+        float(whole), float(whole and bool(_NAMED.match(span))), float(word_at and not whole), float(bare), float(bare and bool(_NAMED.match(span))),
+        float(word_at and text[end:end + 5].lower() == " dot "),
     ]
 
 
 def zones(text: str) -> list[Zone]:
-    """Zones of the whole text. Words far from any digit or sign are outside with certainty and cost nothing."""
+    """Zones of the whole text. Words far from any digit or sign, spelt signs included, are left outside and cost nothing."""
     out: list[Zone] = []
     done, spot = 0, _TRIGGER.search(text)
     while spot:
@@ -169,11 +177,18 @@ def make_zones(text: str, left: int, right: int) -> list[Zone]:
 
 
 def make_zone(text: str, words: list[tuple[int, int]], core: tuple[int, int]) -> Zone:
-    marked = [bool(_TRIGGER.search(text, a, b)) for a, b in words]
+    marked, at = [False] * len(words), 0
+    for m in _TRIGGER.finditer(text, words[0][0], words[-1][1]) if words else ():
+        while words[at][1] <= m.start():
+            at += 1
+        for i in range(at, len(words)):
+            if words[i][0] >= m.end():
+                break
+            marked[i] = True
     segments, rows = [], []
     for i in range(len(words)):
         for j in range(i + 1, min(len(words), i + SEGMENT_WORDS) + 1):
-            # A span begins and ends with a word of its own; one without digit or sign is none.
+            # A span begins and ends with a word of its own; one without digit or sign, also spelt, is none.
             if not any(marked[i:j]) or words[j - 1][1] - words[i][0] > SPAN_CHARS:
                 continue
             start, end = trim(text, words[i][0], words[j - 1][1])
@@ -280,15 +295,35 @@ def gold_segments(zone: Zone, spans: dict[str, list[tuple[int, int]]]) -> list[t
     return out
 
 
+#: Names with digits become names without, so that digits are no condition of a spelt address.
+_LETTERS = str.maketrans("0123456789", "abcdefghij")
+
+
 def _spelt(address: str, at: str, dot: str) -> str:
     name, _, host = address.partition("@")
     return name + at + host.replace(".", dot)
 
 
+def _plain(address: str) -> str:
+    """Without digits, and at a host of two parts."""
+    name, _, host = address.translate(_LETTERS).partition("@")
+    return name + "@" + ".".join(host.split(".")[-2:])
+
+
+def nameless(text: str) -> str:
+    """The text with "at" and the host in place of its addresses: no address any more."""
+    out, last = [], 0
+    for start, end in emails(text):
+        out += [text[last:start], "at ", text[text.index("@", start) + 1:end]]
+        last = end
+    return "".join([*out, text[last:]])
+
+
 def varied(text: str, spans: dict[str, list[tuple[int, int]]], turn: int) -> tuple[str, dict[str, list[tuple[int, int]]]]:
     """The same text with the signs of its spans written in another way, the ``turn``-th of those known for the kind."""
+    signs = [lambda s: _spelt(s, " at ", " dot "), lambda s: _spelt(s, " [at] ", " [dot] "), lambda s: _spelt(s, "(at)", "."), lambda s: _spelt(s, " at ", ".")]
     ways = {
-        "email": [lambda s: _spelt(s, " at ", " dot "), lambda s: _spelt(s, " [at] ", " [dot] "), lambda s: _spelt(s, "(at)", ".")],
+        "email": [*signs, *(lambda s, way=way: way(_plain(s)) for way in signs)],
         "ip": [lambda s: s.replace(".", "[.]"), lambda s: s, lambda s: s.replace(".", " . ")],
         "card": [lambda s: ".".join(re.findall(".{1,4}", re.sub("[ -]", "", s))), lambda s: " ".join(re.findall(".{1,4}", re.sub("[ -]", "", s))), lambda s: s],
         "phone": [lambda s: re.sub(r"^\+\d+[ .-]*", "", s), lambda s: re.sub(r"[() -]+", ".", re.sub(r"^\+\d+[ .-]*\(?", "", s)), lambda s: re.sub(r"[() -]+", "-", re.sub(r"^\+\d+[ .-]*\(?", "", s))],
@@ -298,7 +333,7 @@ def varied(text: str, spans: dict[str, list[tuple[int, int]]], turn: int) -> tup
         if start < last:
             continue
         out.append(text[last:start])
-        new, begin = ways[kind][turn % 3](text[start:end]), sum(map(len, out))
+        new, begin = ways[kind][turn % len(ways[kind])](text[start:end]), sum(map(len, out))
         out.append(new)
         moved[kind].append((begin, begin + len(new)))
         last = end
@@ -313,7 +348,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> SemiMarkovField:
     texts = [r.near for r in near.orderBy("h", "near").limit(rows).collect()]
     examples = []
     for turn, text in enumerate(texts):
-        for version, spans in ((text, base_spans(text)), varied(text, base_spans(text), turn)):
+        other = nameless(text)
+        turns = (turn, turn + 4) if emails(text) else (turn,)
+        for version, spans in ((text, base_spans(text)), *(varied(text, base_spans(text), t) for t in turns), *([(other, base_spans(other))] if other != text else [])):
             for zone in zones(version)[:8]:
                 gold = gold_segments(zone, spans)
                 if gold is not None:

@@ -103,3 +103,18 @@ def test_rows(spark):
     full = spark.createDataFrame([(1, "me@x.yz", 7, "a"), (2, None, None, "b")], "doc_id long, text string, n_chars long, Text string")
     got = P.mask_private(full)
     assert got.columns == full.columns and [tuple(r) for r in got.collect()] == [(1, "<email>", 7, "a"), (2, None, None, "b")]
+
+
+def test_addresses_without_digits_and_signs(spark):
+    """No digit or sign stands near these addresses."""
+    docs = spark.createDataFrame(list(enumerate(_corpus())), "doc_id long, text string")
+    field = P.fit(docs)
+    texts = ["write to jane.doe at example dot com for the rest", "ask john.smith at mail dot example dot org about it"]
+    spans = ["jane.doe at example dot com", "john.smith at mail dot example dot org"]
+    for text, span in zip(texts, spans):
+        base, added = P.all_spans(text, field)
+        assert not any(base.values()) and [text[s:e] for s, e in added["email"]] == [span]
+    for text in ("we met at noon by the dot on the map", "look at the dot", "at home dot and all"):
+        assert not any(P.all_spans(text, field)[1].values())
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert [r.text for r in P.mask_private(rows, field).orderBy("doc_id").collect()] == ["write to <email> for the rest", "ask <email> about it"]
