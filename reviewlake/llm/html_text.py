@@ -27,6 +27,8 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.6
 #: A slot is a menu if links hold so large a share of its text over all pages of the host.
 LINK_SHARE = 0.6
+#: A part of the wrapper that holds so large a share of the host's varying unlinked text is no furniture, whatever its name.
+MAIN_SHARE = 0.5
 #: A host's distinct shapes are aligned in parts of about so many, and the parts' wrappers then with one another.
 SHAPES_PER_TASK = 2000
 #: Elements nested deeper than this belong to the ancestor at this depth; their texts stay.
@@ -45,14 +47,32 @@ _ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
 _FURNITURE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"}
+#: These are furniture even if they hold most of a host's text.
+_NEVER = {"nav", "footer", "menu", "dialog", "search"}
 _FURNITURE = re.compile(
     r"^(nav\w*|menus?|breadcrumbs?|sidebar|side|footer|foot|masthead|topbar|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notices?|alert|gdpr"
     r"|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|replies|respond|disqus|pagination|pager|skip"
     r"|login|search|form|widget|toolbar|copyright|disclaimer|tags?|teaser|trending|popular)$")
+#: A name of several parts is furniture if its last part is, but for names of states and subjects such as has-sidebar or
+#: category-social, or if only words for boxes and places follow, as in ad-box; not comments-open.
+_STATES = {"has", "have", "is", "no", "not", "with", "without", "category", "cat", "tag", "topic", "type", "format", "status", "hide", "show", "js", "page", "template"}
+_BOXES = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "group", "holder", "icons", "inner", "item", "items", "left", "links",
+    "list", "main", "module", "outer", "panel", "posts", "primary", "right", "row", "secondary", "section", "slot", "title", "top", "unit", "widget", "wrap", "wrapper", "zone",
+}
+#: Behind the sign of an element with a name of furniture.
+MARK = "!"
 _NAMES = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
 
 
+def named_furniture(name: str) -> bool:
+    """Whether a whole class, id or role is a name of furniture."""
+    parts = [p.lower() for p in _NAMES.findall(name)]
+    hits = [i for i, p in enumerate(parts) if _FURNITURE.match(p)]
+    return bool(hits) and (len(parts) == 1 or parts[0] not in _STATES) and all(p in _BOXES for p in parts[hits[-1] + 1:])
+
+
 @dataclass
 class Node:
     """A block element: its name with class and id, its children (blocks, or texts with the share of linked characters)."""
@@ -106,7 +126,8 @@ class _Tree(HTMLParser):
                 return
             names = dict(attrs)
             words = sorted({w.lower() for k in ("class", "id", "role") for w in _NAMES.findall(names.get(k) or "")})
-            node = Node(".".join([tag, *words]))
+            named = tag not in ("html", "body") and any(named_furniture(w) for k in ("class", "id", "role") for w in (names.get(k) or "").split())
+            node = Node(".".join([tag, *words, *([MARK] if named else [])]))
             self.open[-1].children.append(node)
             self.open.append(node)
             self.link = 0
@@ -252,21 +273,44 @@ def place(wrapper: list, shape: list) -> list[int]:
     return out
 
 
-def furniture(shape: list) -> list[bool]:
-    """For every node of a shape whether its path marks it as furniture. A header inside an article is part of it."""
-    out: list[bool] = []
+def furniture(shape: list, free: list[int] | None = None) -> list[bool]:
+    """For every node of a shape (in preorder) whether its path marks it as furniture. A header inside an article is part of it.
 
-    def go(node: list, marked: bool, inside: bool) -> None:
-        tag, *words = node[0].split(".")
-        inside = inside or tag in ("article", "main") or "main" in words
-        marked = marked or tag in _FURNITURE_TAGS or any(_FURNITURE.match(w) for w in words if tag not in ("html", "body"))
-        marked = marked or not inside and (tag == "header" or "header" in words and tag not in ("html", "body"))
-        out.append(marked)
-        for child in node[1]:
-            go(child, marked, inside)
-
-    go(shape, False, False)
-    return out
+    ``free`` has the varying unlinked characters of each node. A mark is not handed down to a child with most of them, nor
+    to one that holds an article or main element if the page has none outside of marked elements.
+    """
+    nodes, parents, order = [], [], [(shape, -1)]
+    while order:
+        node, parent = order.pop()
+        parents.append(parent)
+        at = len(nodes)
+        nodes.append(node)
+        order.extend((c, at) for c in reversed(node[1]))
+    signs = [n[0].split(".") for n in nodes]
+    heads = [s[0] in ("article", "main") for s in signs]
+    weight = list(free or [0] * len(nodes))
+    most = MAIN_SHARE * sum(weight)
+    holds = list(heads)
+    for i in range(len(nodes) - 1, 0, -1):
+        weight[parents[i]] += weight[i]
+        holds[parents[i]] |= holds[i]
+
+    def marks(overrule: bool) -> list[bool]:
+        out, inside, fixed = [], [], []
+        for i, (tag, *words) in enumerate(signs):
+            up = parents[i]
+            within = i > 0 and inside[up] or tag in ("article", "main") or "main" in words
+            own = tag in _FURNITURE_TAGS or MARK in words
+            own |= not within and (tag == "header" or "header" in words and tag not in ("html", "body"))
+            large = weight[i] > most > 0 or overrule and holds[i]
+            never = i > 0 and fixed[up] or tag in _NEVER
+            out.append(never or not large and (own or i > 0 and out[up]))
+            inside.append(within)
+            fixed.append(never)
+        return out
+
+    found = marks(False)
+    return marks(True) if any(heads) and all(m for m, h in zip(found, heads) if h) else found
 
 
 def _induce(rows: pd.DataFrame) -> list:
@@ -277,8 +321,9 @@ def _induce(rows: pd.DataFrame) -> list:
     return wrapper
 
 
-def wrappers(shapes: DataFrame) -> DataFrame:
-    """(host, shape, slots, marked) for every distinct shape of every host: slots[i] is the wrapper node of the shape's node i."""
+def wrappers(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, wrapper), and (host, shape, slots, marked) for every distinct shape of every host: slots[i] is the wrapper node of
+    the shape's node i, marked[i] whether its own path is furniture (for nodes without a wrapper node)."""
     sizes = small(stored(shapes.groupBy("host").agg(F.ceil(F.count("*") / SHAPES_PER_TASK).alias("salts")), "html-hosts"), 20_000)
     salted = shapes.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("shape"), F.col("salts")).cast("int")).drop("salts")
 
@@ -298,7 +343,29 @@ def wrappers(shapes: DataFrame) -> DataFrame:
             yield frame.assign(slots=[place(trees[w], s) for w, s in zip(frame["wrapper"], shapes)],
                                marked=[furniture(s) for s in shapes])[["host", "shape", "slots", "marked"]]
 
-    return stored(shapes.join(done, "host").mapInPandas(align, "host string, shape string, slots array<int>, marked array<boolean>"), "html-slots")
+    return done, stored(shapes.join(done, "host").mapInPandas(align, "host string, shape string, slots array<int>, marked array<boolean>"), "html-slots")
+
+
+def marked_slots(wrapped: DataFrame, free: DataFrame) -> DataFrame:
+    """(host, furniture) from (host, wrapper) and (host, slot, free characters): whether each wrapper node is furniture."""
+    def run(source):
+        for frame in source:
+            out = []
+            for wrapper, found in zip(frame["wrapper"], frame["free"]):
+                tree, order, n = json.loads(wrapper), [], 0
+                order.append(tree)
+                while order:
+                    n += 1
+                    order.extend(order.pop()[1])
+                weight = [0] * n
+                for row in found if found is not None else ():
+                    if row["slot"] >= 0:
+                        weight[row["slot"]] = int(row["free"])
+                out.append(furniture(tree, weight))
+            yield pd.DataFrame({"host": frame["host"], "furniture": out})
+
+    each = free.groupBy("host").agg(F.collect_list(F.struct("slot", "free")).alias("free"))
+    return stored(wrapped.join(each, "host", "left").mapInPandas(run, "host string, furniture array<boolean>"), "html-furniture")
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -330,7 +397,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     rows = parsed(pages)
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"))
-    slots = wrappers(shapes)
+    wrapped, slots = wrappers(shapes)
     placed = rows.join(small(slots, 20_000), ["host", "shape"])
 
     each = placed.select("host", F.xxhash64("texts").alias("page"), F.explode(F.arrays_zip("places", "texts", "linked")).alias("b"), "slots").select(
@@ -348,15 +415,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     template = menus.union(frequent.select("host", "slot", "key")).groupBy("host").agg(
         F.collect_list(F.struct("slot", "key")).alias("gone"))
     gone = stored(template, "html-template")
+    varying = counts.join(frequent.select("host", "slot", "key"), ["host", "slot", "key"], "left_anti").groupBy("host", "slot").agg(
+        F.sum(F.greatest(F.lit(0), F.col("size") - F.col("linked"))).alias("free"))
+    sides = marked_slots(wrapped, varying)
 
-    listed = placed.join(small(gone, 20_000), "host", "left")
+    listed = placed.join(small(gone, 20_000), "host", "left").join(small(sides, 20_000), "host")
     blocks = F.arrays_zip("places", "texts")
     none = F.array().cast(gone.schema["gone"].dataType)
 
     def content(block):
         slot, key = F.element_at("slots", block["places"] + 1), F.xxhash64(block["texts"])
         known = F.exists(F.coalesce("gone", none), lambda g: (g["slot"] == slot) & (g["key"].isNull() | (g["key"] == key)))
-        return ~F.element_at("marked", block["places"] + 1) & ~known
+        side = F.when(slot >= 0, F.get("furniture", slot)).otherwise(F.element_at("marked", block["places"] + 1))
+        return ~side & ~known
 
     text = F.array_join(F.transform(F.filter(blocks, content), lambda b: b["texts"]), "\n\n")
     discard(counts)

@@ -99,3 +99,24 @@ def test_large_hosts_are_aligned_in_parts(spark, monkeypatch):
 def test_text_behind_marked_sections_stays():
     for section in ("<![ note ]>", "<![foo[x]]>", "<![endif]>", "<![if gte mso 9]>", "<![CDATA[x]]>", "<![CDATA[x>", "<![foo[x]]><![ bar>"):
         assert [t for _, t, _ in H.parse(f"<p>one</p>{section}<p>two</p><div>three</div>")[1]][-2:] == ["two", "three"], section
+
+
+def test_the_wrapper_overrules_names(spark):
+    bodies = {
+        "a": "<form id=aspnetForm><div><p>Text of page {n}.</p><p>More of page {n}.</p></div><fieldset><p>Name {n}</p></fieldset></form>",
+        "b": "<div class='content has-sidebar'><p>Text of page {n}.</p><p>More of page {n}.</p></div><div class=sidebar-left><p>Side {n}</p></div>",
+        "c": "<article class='post comments-open category-social'><p>Text of page {n}.</p><p>More of page {n}.</p></article><aside><article><p>Teaser {n}</p></article></aside>",
+        "d": "<div class=widget><div><article><p>Text of page {n}.</p><p>More of page {n}.</p></article></div></div><div id=comments><p>Comment {n}</p></div>",
+        "e": "<div id=related><div><p>Text of page {n}.</p><p>More of page {n}.</p></div></div><nav><p>All of this menu is longer than the text of the page {n}, much longer</p></nav><div class=user-comments>No {n}</div>",
+    }
+    rows = [(100 * k + n, f"http://{h}.example/{n}", f"<body>{body.format(n=n)}</body>") for k, (h, body) in enumerate(bodies.items()) for n in range(8)]
+    got = run(spark, rows)
+    # In e the menu holds most of the text, so nothing speaks against the name of the rest.
+    assert got == {i: "" if i >= 400 else f"Text of page {i % 100}.\n\nMore of page {i % 100}." for i, _, _ in rows}
+
+
+def test_whole_names():
+    for name in ("comments", "user-comments", "ad-box", "comment-body", "sidebar-left", "AdBox-ad"):
+        assert H.named_furniture(name), name
+    for name in ("has-sidebar", "comments-open", "category-social", "aspnetForm", "tag-popular", "content", "post"):
+        assert not H.named_furniture(name), name
