@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import BROADCAST_ROWS, discard, load, pick, small, stored, utf8
+from reviewlake.llm.common import discard, load, pick, stored, utf8
 from reviewlake.llm.registry import query
 
 MIN_CHARS = 10
@@ -62,7 +62,7 @@ def lost_keys(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
     """(doc_id, k0s, k1s), a stored table: the keys whose lines a document loses."""
     hashes = stored(line_hashes(docs, min_chars), "line-hashes")
     common = stored(common_keys(hashes, min_documents), "line-common")
-    later = hashes.join(small(common), _KEY).where("doc_id > low").select("doc_id", F.struct(*_KEY).alias("key"))
+    later = hashes.join(common.hint("shuffle_hash"), _KEY).where("doc_id > low").select("doc_id", F.struct(*_KEY).alias("key"))
     # A set: rows that repeat an id send their keys twice.
     lost = stored(later.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).select(
         "doc_id", *(F.col(f"keys.{k}").alias(f"{k}s") for k in _KEY)), "line-lost")
@@ -104,10 +104,10 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents
                 columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, list(kinds))
 
-    # Lists vary in length, so it is the keys that are counted before a broadcast.
-    n_keys = lost.agg(F.coalesce(F.sum(F.size("k0s")), F.lit(0))).first()[0]
-    side = F.broadcast(lost) if n_keys <= BROADCAST_ROWS else lost
-    joined = plain.join(side, "doc_id", "left").select("doc_id", "text", "k0s", "k1s")
+    # Joined by a shuffle at every size; the lists, not the texts, are what a task holds. Rows without an id would meet in one task.
+    found = plain.where("doc_id is not null").join(lost.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "k0s", "k1s")
+    none = F.lit(None).cast("array<bigint>")
+    joined = found.unionByName(plain.where("doc_id is null").select("doc_id", "text", none.alias("k0s"), none.alias("k1s")))
     return joined.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
 
 

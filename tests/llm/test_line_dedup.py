@@ -50,13 +50,6 @@ def test_matches_brute_force(spark, min_documents):
     assert sum(r[2] for r in got) > 50
 
 
-def test_same_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "small", lambda df: df)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
-    rows = documents()
-    assert run(spark, rows) == brute(rows)
-
-
 def test_a_line_in_every_document_stays_in_the_first(spark):
     rows = [(i, f"own {i} text\nAll rights reserved.\nend") for i in range(300)]
     got = {r[0]: r[2] for r in run(spark, rows)}
