@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"c{df.columns.index(name)}").cast(kind).alias(name) for name, kind in columns.items()))
 
 
+_COLLECTING: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables stored inside the block, for a caller that deletes them once what it made of them is written."""
+    _COLLECTING.append([])
+    try:
+        yield _COLLECTING[-1]
+    finally:
+        _COLLECTING.pop()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and its shuffle files go once it is written."""
     spark = df.sparkSession
@@ -54,6 +68,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for tables in _COLLECTING:
+        tables.append(out)
     return out
 
 
@@ -61,8 +77,15 @@ ROW_KEY = "row_key__"
 
 
 def keyed(docs: DataFrame, label: str) -> DataFrame:
-    """``docs`` stored with a key of its own for every row, so that rows with null or repeated ids stay apart."""
-    return stored(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), label)
+    """``docs`` stored with a key of its own for every row, so that rows with null or repeated ids stay apart.
+
+    The file's columns are numbered, as names that differ in case only can't be written.
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    table = stored(plain.withColumn(ROW_KEY, F.monotonically_increasing_id()), label)
+    out = table.toDF(*docs.columns, ROW_KEY)
+    out.stored_at = table.stored_at
+    return out
 
 
 def discard(*tables: DataFrame) -> None:

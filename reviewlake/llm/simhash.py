@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import load, pick, stored, utf8
+from reviewlake.llm.common import discard, load, pick, stored, utf8
 from reviewlake.llm.registry import query
 
 SHINGLE_WORDS = 3
@@ -202,7 +202,8 @@ def connected(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``pairs`` (a, b): root is the least node reachable.
 
     Alternating star operations on stored tables. Each round hooks a node's neighbours to its least neighbour, so rounds
-    grow with the logarithm of the longest chain; the stars' minima are aggregated before they are shuffled.
+    grow with the logarithm of the longest chain; the stars' minima are aggregated before they are shuffled. The result reads the
+    last round's table, which ``discard`` deletes.
     """
     edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star-edges")
     before = None
@@ -214,13 +215,16 @@ def connected(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u != v").distinct(), "star-edges")
+        last, edges = edges, stored(small.select("e.u", "e.v").where("u != v").distinct(), "star-edges")
+        discard(last, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+    out.stored_at = edges.stored_at
+    return out
 
 
 def components(rows: DataFrame, id_column: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
