@@ -94,11 +94,11 @@ def h9(t):
 n AS (SELECT query_id, count(*) AS n FROM hit GROUP BY ALL),
 td AS (SELECT q.item_id AS query_id, te.title, sum(q.w * te.w) AS dot FROM qe q JOIN te USING (bucket) GROUP BY ALL),
 qn AS (SELECT item_id AS query_id, sqrt(sum(w * w)) AS nn FROM qe GROUP BY ALL), tn AS (SELECT title, sqrt(sum(w * w)) AS nn FROM te GROUP BY ALL),
-ranked AS (SELECT query_id, id, CASE WHEN n >= 3 THEN greatest(0, least(1, sim * 0.3 + CASE WHEN query_id % 2 = 0 THEN 0.4 ELSE -0.1 END
+ranked AS (SELECT query_id, id, sim, CASE WHEN n >= 3 THEN greatest(0, least(1, sim * 0.3 + CASE WHEN query_id % 2 = 0 THEN 0.4 ELSE -0.1 END
     + coalesce(dot, 0) / (qn.nn * tn.nn) * 0.15 + CASE WHEN source = 'src1' THEN 2 / 2.0 ELSE 1 / 2.0 END * 0.1)) ELSE sim END AS similarity
   FROM hit JOIN n USING (query_id) LEFT JOIN td USING (query_id, title) JOIN qn USING (query_id) JOIN tn USING (title))""") + """
 SELECT query_id, id, round(similarity, 5) AS similarity FROM ranked
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) <= 10""")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, round(sim, 9) DESC, id) <= 10""")
 def h9_rerank(t):
     # Every document's context is the same by construction: its title names an API, so its area is Backend.
     chunks = _chunks(t)
@@ -130,7 +130,23 @@ def h10(t):
     return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("h10_rerank_custom")
+@query("h10_rerank_custom", with_ctes(
+    FILES, SQL_CONTEXT, sql_embedding("fe", "files", "file_id", "content"), sql_embedding("ce", "benchmark", "item_id", "text"),
+    sql_embedding("te", "(SELECT 'Rules' AS title)", "title", "title"),
+    "dots AS (SELECT file_id, item_id, sum(fe.w * ce.w) AS dot FROM fe JOIN ce USING (bucket) GROUP BY ALL)",
+    "fn AS (SELECT file_id, sqrt(sum(w * w)) AS nn FROM fe GROUP BY ALL), cn AS (SELECT item_id, sqrt(sum(w * w)) AS nn FROM ce GROUP BY ALL)",
+    "td AS (SELECT file_id, sum(fe.w * te.w) AS tdot FROM fe JOIN te USING (bucket) GROUP BY ALL)",
+    """hit AS (SELECT file_id, item_id, dot / (fn.nn * cn.nn) AS s, coalesce(tdot, 0) / fn.nn AS title FROM dots JOIN fn USING (file_id) JOIN cn USING (item_id)
+  LEFT JOIN td USING (file_id) WHERE dot / (fn.nn * cn.nn) >= 0.3),
+n AS (SELECT file_id, count(*) AS n FROM hit GROUP BY ALL),
+pair AS (SELECT hit.*, n, area, tech, keywords, lower(b.text) AS t, CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda k: contains(lower(b.text), lower(k))))::DOUBLE / len(keywords) END AS ratio
+  FROM hit JOIN n USING (file_id) JOIN ctx USING (file_id) JOIN benchmark b USING (item_id)),
+scored AS (SELECT file_id, item_id, CASE WHEN n < 2 THEN s ELSE greatest(0, least(1, s * 0.4
+  + CASE WHEN area NOT IN ('Unknown', 'General') THEN CASE WHEN contains(t, lower(area)) OR contains(t, regexp_replace(lower(area), '[_-]', ' ', 'g'))
+      THEN 0.3 + CASE WHEN len(list_filter(tech, lambda x: contains(t, lower(x)))) > 0 THEN 0.15 ELSE 0 END WHEN area <> 'GeneralJS_TS' THEN -0.1 ELSE 0 END ELSE 0 END
+  + coalesce(ratio, 0) * 0.1 + title * 0.2 + CASE WHEN length(t) > 2000 AND ratio < 0.3 THEN -0.1 ELSE 0 END)) END AS similarity FROM pair)""") + """
+SELECT file_id AS query_id, item_id AS id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY file_id ORDER BY round(similarity, 9) DESC, item_id) AS rank
+FROM scored QUALIFY rank <= 5""")
 def h10_rerank(t):
     q = code_contexts(t).select(F.col("file_id").alias("query_id"), F.lit("/w").alias("project_path"), "path", "content", "area", "tech", "keywords")
     custom = t.benchmark.select(

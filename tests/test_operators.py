@@ -380,15 +380,56 @@ def test_cross_chunk_patterns(spark):
     assert [(r["n_chunks"], r["n_files"]) for r in got] == [(2, 2)]
 
 
-def test_knn_within_finds_all(spark):
-    from reviewlake.operators.knn import knn_within
+@pytest.mark.parametrize("plan", ["broadcast", "blocks"])
+def test_radius_join_finds_all(spark, plan):
+    from reviewlake.operators import knn as N
 
     rng = np.random.default_rng(4)
-    points = rng.normal(0, 1, (120, 3))
-    df = spark.createDataFrame([(i, [float(x) for x in p], "ab"[i % 2]) for i, p in enumerate(points)], "id int, vector array<double>, grp string")
-    got = {(r.query_id, r.id) for r in knn_within(df, df, 1.5, query_id="id", tenant="grp", start=2).collect()}
-    want = {(i, j) for i in range(120) for j in range(120) if i % 2 == j % 2 and ((points[i] - points[j]) ** 2).sum() <= 1.5}
-    assert got == want
+    points = rng.normal(0, 1, (150, 3))
+    points[40:60] = points[7]  # copies and ties
+    rows = [(i, [float(x) for x in p], "ab"[i % 5 == 0], f"d{i % 4}", f"f{i % 6}") for i, p in enumerate(points)]
+    df = spark.createDataFrame([*rows, (900, None, "a", "d0", "f0"), (901, [0.0, 0.0, 0.0], None, "d0", "f0")],
+                               "id int, vector array<double>, grp string, doc string, file string")
+    pairs = [(a[0], b[0], round(float(((points[a[0]] - points[b[0]]) ** 2).sum()), 9), b[3], a[4]) for a in rows for b in rows if a[2] == b[2]]
+    near = [p for p in pairs if p[2] <= 1.5]
+    sizes = {"plan": plan, "block_rows": 16, "query_block_rows": 40, "query_id": "id", "tenant": "grp"}
+
+    def found(**options):
+        return sorted((r.query_id, r.id, round(r.distance, 7)) for r in N.within(df, df, 1.5, **sizes, **options).collect())
+
+    def want(rows):
+        return sorted((q, i, round(d, 7)) for q, i, d, *_ in rows)
+
+    assert found() == want(near) and len(near) > 500
+
+    def first(rows, key, order, n):
+        groups = {}
+        for row in sorted(rows, key=order):
+            groups.setdefault(key(row), []).append(row)
+        return [row for g in groups.values() for row in g[:n]]
+
+    per = first(near, lambda p: (p[0], p[3]), lambda p: (p[2], p[1]), 2)
+    assert found(per=F.col("doc"), best=2) == want(per)
+    one = first(near, lambda p: (p[4], p[1]), lambda p: (p[2], p[0]), 1)
+    assert found(one_of="file") == want(one)
+    both = first(one, lambda p: (p[4], p[3]), lambda p: (p[2], p[1]), 2)
+    assert found(one_of="file", per=F.col("doc"), best=2) == want(both)
+
+
+def test_equal_final_scores_keep_the_nearest_chunks(spark):
+    from reviewlake.operators.models import HashedWords
+    from reviewlake.plans.retrieval import find_relevant_docs
+
+    # All chunks of the one document are lifted to the cap of 1; the two nearest must win, whatever their ids.
+    chunks = spark.createDataFrame(
+        [(i, "p", "docs/a.md", "api", "", f"t{i}", [1.0, float(9 - i) / 30]) for i in range(10)],
+        "id int, project_path string, original_document_path string, document_title string, heading_text string, content string, vector array<double>")
+    q = spark.createDataFrame([(1, "p", "docs/b.md", "x", [1.0, 0.0], "Backend", ["Node.js"])],
+                              "query_id int, project_path string, path string, text string, vector array<double>, area string, tech array<string>")
+    contexts = spark.createDataFrame([("p", "docs/a.md", False, "api", "Backend", ["node.js"], False)],
+                                     "project_path string, path string, generic boolean, title string, doc_area string, doc_tech array<string>, readme_style boolean")
+    got = find_relevant_docs(q, chunks, contexts, 2, 0.1, embedder=HashedWords(2)).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.rank)] == [9, 8]
 
 
 def test_patches_landed_twice_give_one_row(spark):
