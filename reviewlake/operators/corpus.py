@@ -81,13 +81,30 @@ def replace_documents(existing: DataFrame, current: DataFrame, keys: list[str])
     )
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys=("id", "project_path"), order: list[Column] | None = None) -> DataFrame:
-    """Update matched rows whole, insert the rest. Duplicate keys in ``updates`` keep the first by ``order``."""
+def upsert(target: DataFrame, updates: DataFrame, keys=("id", "project_path"), order: list[Column] | None = None, version: Column | None = None) -> DataFrame:
+    """Update matched rows whole, insert the rest. Duplicate keys in ``updates`` keep the first by ``order``.
+
+    With ``version``, a column of both sides, the newest row of a key wins wherever it comes from: an update that arrives late
+    leaves a newer stored row alone, and a null version is the oldest. Equal versions go to the update, so a replay changes nothing.
+    Of the target, keys and version alone meet the updates; its rows are read once more, for those that stay.
+    """
     keys = list(keys)
-    updates = best_per_key(updates, keys, order) if order else updates.dropDuplicates(keys)
+    if version is None:
+        updates = best_per_key(updates, keys, order) if order else updates.dropDuplicates(keys)
+        return target.join(updates.select(*keys), keys, "left_anti").unionByName(updates, allowMissingColumns=True)
+    rest = [F.xxhash64(*[c for c in updates.columns if c not in keys])]
+    updates = best_per_key(updates.withColumn("__new", version), keys, [F.col("__new").desc_nulls_last(), *(order or rest)])
+    newer = F.col("__old").isNotNull() & (F.col("__new").isNull() | (F.col("__old") > F.col("__new")))
+    kept = target.select(*keys, version.alias("__old")).join(updates.select(*keys, "__new"), keys).where(newer).select(*keys).distinct()
+    updates = updates.drop("__new").join(kept, keys, "left_anti")
     return target.join(updates.select(*keys), keys, "left_anti").unionByName(updates, allowMissingColumns=True)
 
 
+def comment_version() -> Column:
+    """When a comment was last written: its edit, else its creation; null if neither is a time."""
+    return F.coalesce(F.try_to_timestamp("updated_at"), F.try_to_timestamp("created_at"))
+
+
 def delete_where(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     """(rows kept, one-row count of rows deleted). A null predicate keeps the row."""
     hit = F.coalesce(predicate, F.lit(False))

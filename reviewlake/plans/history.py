@@ -76,7 +76,7 @@ def sync_history(
     """One synchronisation run over landed data.
 
     Filters pull requests, skips those already processed, enriches the rest's comments and merges them
-    into ``stored``; comments that vanished from re-fetched pull requests are dropped. Only what ``project`` itself has stored
+    into ``stored``, the newest version of each; comments that vanished from re-fetched pull requests are dropped. Only what ``project`` itself has stored
     makes a pull request count as processed, and the pattern statistics are the project's own.
     Returns the new table, the pull requests processed and the pattern statistics.
     """
@@ -90,7 +90,7 @@ def sync_history(
     valid = materialize(H.validate_comments(enriched, embedder.dim, F.lit(project), now), "comments")
     columns = stored.columns
     updates = valid.select(*[c for c in columns if c in valid.columns])
-    merged = R.upsert(stored, updates, ["id", "project_path"], [F.col("created_at"), F.col("comment_text")])
+    merged = R.upsert(stored, updates, ["id", "project_path"], [F.col("comment_text")], R.comment_version())
     declared = raw.select(*keys, F.col("id").cast("string").alias("id"))
     stale = H.stale_comments(
         merged.where(F.col("project_path") == project), todo, H.live_ids(declared, valid, keys)

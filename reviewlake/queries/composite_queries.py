@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reviewlake.functions import constants as K
+from reviewlake.operators.corpus import comment_version
 from reviewlake.operators.models import HashedWords, embed
 from reviewlake.plans import history as S
 from reviewlake.plans import retrieval as Q
@@ -217,6 +218,13 @@ def _raw(t):
         "line", hunk.alias("diff_hunk"), "created_at", "updated_at", "pr_updated_at")
 
 
+def _with_drafts(raw):
+    """Every comment with a date also as it was before its last edit."""
+    dated = raw.where(comment_version().isNotNull())
+    draft = F.lit("2020-01-01T00:00:00Z")
+    return raw.unionByName(dated.withColumn("body", F.lit("a first draft")).withColumn("updated_at", draft).withColumn("created_at", draft))
+
+
 ENRICHED = f"""human AS (SELECT * FROM comments WHERE NOT coalesce({sql_in("lower(trim(author))", K.BOT_NAMES)}
     OR {' OR '.join(f"regexp_matches(author, {quoted('(?i)' + p)})" for p in K.BOT_PATTERNS)}, FALSE)),
 classified AS (SELECT *, CASE WHEN turn % 3 = 0 THEN role END AS code FROM human)"""
@@ -236,24 +244,25 @@ def h14(t):
 
 
 SYNCED = """prs AS (SELECT DISTINCT repository, conv_id AS pr_number FROM comments WHERE conv_id % 5 <> 1),
-old AS (SELECT id, repository, conv_id AS pr_number FROM comments WHERE conv_id % 4 = 2 UNION ALL SELECT id || 'x', repository, conv_id FROM comments WHERE conv_id % 5 = 0),
+old AS (SELECT id, repository, conv_id AS pr_number, comment_text FROM comments WHERE conv_id % 4 = 2
+  UNION ALL SELECT id || 'x', repository, conv_id, comment_text FROM comments WHERE conv_id % 5 = 0),
 skipped AS (SELECT repository, pr_number FROM prs WHERE pr_number % 4 = 2 AND pr_number % 5 <> 0 AND pr_number <> 0)"""
 
 
 @query("h15_sync_history", with_ctes(COMMENTS, ENRICHED, SYNCED) + """
-SELECT id, repository, pr_number FROM old WHERE (repository, pr_number) NOT IN (SELECT (repository, pr_number) FROM prs)
-UNION ALL SELECT id || 'o', repository, conv_id FROM comments WHERE conv_id % 4 = 1
-UNION ALL SELECT id, repository, pr_number FROM old WHERE (repository, pr_number) IN (SELECT (repository, pr_number) FROM skipped)
-UNION ALL SELECT id, repository, conv_id FROM human WHERE (repository, conv_id) IN (SELECT (repository, pr_number) FROM prs)
+SELECT id, repository, pr_number, comment_text FROM old WHERE (repository, pr_number) NOT IN (SELECT (repository, pr_number) FROM prs)
+UNION ALL SELECT id || 'o', repository, conv_id, comment_text FROM comments WHERE conv_id % 4 = 1
+UNION ALL SELECT id, repository, pr_number, comment_text FROM old WHERE (repository, pr_number) IN (SELECT (repository, pr_number) FROM skipped)
+UNION ALL SELECT id, repository, conv_id, comment_text FROM human WHERE (repository, conv_id) IN (SELECT (repository, pr_number) FROM prs)
   AND (repository, conv_id) NOT IN (SELECT (repository, pr_number) FROM skipped)
-UNION ALL SELECT o.id, o.repository, o.pr_number FROM old o JOIN comments c ON c.id = o.id WHERE (o.repository, o.pr_number) IN (SELECT (repository, pr_number) FROM prs)
+UNION ALL SELECT o.id, o.repository, o.pr_number, o.comment_text FROM old o JOIN comments c ON c.id = o.id WHERE (o.repository, o.pr_number) IN (SELECT (repository, pr_number) FROM prs)
   AND (o.repository, o.pr_number) NOT IN (SELECT (repository, pr_number) FROM skipped) AND o.id NOT IN (SELECT id FROM human)""")
 def h15(t):
-    raw = _raw(t).drop("pr_updated_at")
+    raw = _with_drafts(_raw(t).drop("pr_updated_at"))
     prs = comments(t.conversations).select("repository", F.col("conv_id").alias("pr_number")).where("pr_number % 5 <> 1").distinct().select(
         "repository", "pr_number", F.lit("2024-02-01T00:00:00Z").alias("merged_at"), F.lit("2024-02-01T00:00:00Z").alias("updated_at"),
         F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit("someone").alias("author"), F.lit(False).alias("draft"))
-    base = raw.select(
+    base = _raw(t).select(
         "id", "repository", F.col("pr_number").cast("long").alias("pr_number"), F.lit("/work/all").alias("project_path"), F.col("body").alias("comment_text"),
         F.col("created_at"), F.lit(None).cast("string").alias("updated_at"), F.lit("general").alias("issue_category"), F.lit("minor").alias("severity"),
         F.lit("review").alias("comment_type"), F.lit("a").alias("author"))
@@ -267,7 +276,7 @@ def h15(t):
     stored = processed.unionByName(vanished).unionByName(other)
     review, issue = raw.where("path IS NOT NULL"), raw.where("path IS NULL")
     result = S.sync_history(prs, review, issue, None, stored, "/work/all", F.lit("2024-03-01T00:00:00Z"), embedder=E)
-    return result["comments"].select("id", "repository", "pr_number")
+    return result["comments"].select("id", "repository", "pr_number", "comment_text")
 
 
 def _refresh_input(t):
@@ -360,11 +369,14 @@ def i1(t):
     corpus = Corpus(spark, f"{root}/corpus")
 
     def store(batch, batch_id):
-        # Each batch is delivered twice, as after a failure between the write and the commit.
+        # Each batch is delivered twice, as after a failure between the write and the commit; then older versions come late.
         for _ in range(2):
             corpus.upsert("pr_comments", batch)
+        late = batch.where(comment_version().isNotNull() & (F.col("comment_text") != "a first draft"))
+        corpus.upsert("pr_comments", late.withColumn("comment_text", F.lit("late")).withColumn("updated_at", F.lit("2021-01-01T00:00:00Z")))
 
-    stream_comments(raw, store, f"{root}/checkpoint", E).awaitTermination()
+    # A batch holds several versions of one comment.
+    stream_comments(_with_drafts(raw), store, f"{root}/checkpoint", E).awaitTermination()
     return corpus.table("pr_comments").select("id", "comment_text", "issue_category", "severity")
 
 

@@ -46,6 +46,11 @@ SCHEMAS = {
 }
 
 
+def _version(name: str):
+    """What tells the newer of two rows of one key; None for tables whose rows have no versions."""
+    return R.comment_version() if name == "pr_comments" else None
+
+
 class Corpus:
     """The four tables below one root folder."""
 
@@ -103,9 +108,10 @@ class Corpus:
         self._delete(staged)
 
     def upsert(self, name: str, updates: DataFrame, keys=("id", "project_path")) -> None:
+        """Merge by key; of several versions of a comment, in one batch or late, the newest stays."""
         projects = updates.select("project_path").distinct()
         current = self.table(name).join(projects, "project_path", "left_semi")
-        self.write(name, R.upsert(current, updates, keys))
+        self.write(name, R.upsert(current, updates, keys, version=_version(name)))
 
     def clear_project(self, project: str) -> dict[str, int]:
         """Delete a project's rows from every table; returns the deleted counts. Refuses shallow paths."""

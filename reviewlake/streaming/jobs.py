@@ -20,8 +20,9 @@ def stream_comments(
 ):
     """Enrich landed comments as they arrive and hand each batch to ``store(batch, batch_id)``.
 
-    Repeated deliveries of one comment version within the watermark are dropped; ``store`` upserts by
-    (id, project_path), so a replayed batch changes nothing.
+    Repeated deliveries of one comment version within the watermark are dropped; ``store`` merges by
+    (id, project_path) and version, so a replayed batch changes nothing and an older version that comes late, or in the
+    same batch, never replaces a newer one.
     """
     # updated_at is part of the key: an edited comment is a new version, not a repeat.
     once = raw.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["id", "project_path", "updated_at"])
