@@ -6,14 +6,18 @@ These spans are the coarse cuts. A token that holds only some bytes of a charact
 empty one; such tokens are placed by their decoded bytes. Where tokens of both sides end together the text is cut into groups.
 
 A single space between two signs that are no white space begins a new token on both sides (``Aligner`` checks the vocabulary for it),
-so a text is aligned segment by segment, and a segment seen before is looked up. That gives the same tokens as the whole text.
+so a text is aligned segment by segment: a segment seen before is looked up, and the new ones of a batch are encoded in runs. That gives
+the same tokens as the whole text.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ from reviewlake.llm.token_counts import byte_letters
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-#: Segments a task remembers, and the longest of them in code points.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Segments a task remembers (twice as many while it forgets the older ones), the longest of them in code points, and how many new ones are encoded in one run.
+REMEMBERED, REMEMBERED_CHARS, RUN = 150_000, 64, 2_000
 #: The table of pair counts is broadcast up to so many rows (about 50 bytes each), and joined by a shuffle beyond.
 BROADCAST_PAIRS = 500_000
 #: Into how many keys a pair is split in that shuffle: a frequent pair stands in nearly every document.
@@ -37,25 +41,30 @@ _B_IDS = 1 << 24
 #: Signs next to which a space may share a token with others.
 _UNSURE = "\\s\u180e\u200b-\u200f\u2581\ufeff"
 _CUT = re.compile(f" (?<=[^{_UNSURE}] )(?=[^{_UNSURE}])")
+#: Segments that single spaces may part from others: they begin and end with a sign that is sure.
+_PLAIN = re.compile(f"[^{_UNSURE}](?:.*[^{_UNSURE}])?", re.DOTALL).fullmatch
 
 
-def token_ends(spans: list[tuple[int, int]], pieces: list[bytes]) -> list[int]:
-    """Where each token ends, in bytes: at its span's end if its bytes fill the span, else behind its own decoded bytes."""
-    out, at = [], 0
-    for (begin, end), piece in zip(spans, pieces):
-        at = end if begin == at and end - begin == len(piece) else at + len(piece)
-        out.append(at)
-    return out
+def token_ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each token ends, in bytes. ``spans``: rows (begin, end); ``sizes``: how many bytes each token decodes to.
+
+    A span that its token's bytes fill is a cut. Other tokens share their span's characters with neighbours: they end behind the
+    last cut by as many bytes as they and those between decode to.
+    """
+    clean = spans[:, 1] - spans[:, 0] == sizes
+    done = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(clean, np.arange(len(sizes)), -1))
+    return np.where(last >= 0, spans[last, 1] + done - done[last], done)
 
 
-def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """For each group how many tokens of either side lie before its end."""
-    a_at = {end: i for i, end in enumerate(a_ends, 1)}
-    return [(a_at[end], j) for j, end in enumerate(b_ends, 1) if end in a_at]
+def byte_places(text: str) -> np.ndarray:
+    """Byte offset of every code point of the text, and its length in bytes."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
 
 
 class Aligner(dict):
-    """Segment -> (n_a, n_b, groups as text, pairs of linked ids), or None if the tokens' bytes are not the segment's."""
+    """Segment -> (n_a, n_b, n_groups, groups as text, linked pairs of ids), or None if the tokens' bytes are not the segment's."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -71,57 +80,81 @@ class Aligner(dict):
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.a_text, self.b_text = {i: str(i) for i in self.a_bytes}, list(map(str, range(len(pieces))))
+        self.older: dict[str, tuple | None] = {}
 
     def segments(self, text: str) -> list[str]:
         return _CUT.split(text) if self.splits else [text]
 
-    def __missing__(self, segment: str):
-        found = self.align(segment)
-        if len(segment) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = found
-        return found
-
-    def tokens(self, segment: str) -> tuple[bytes, list[int], list[int], list[int], list[int]] | None:
-        """The bytes of space and segment, and ids and ends of both sides; None if either side's bytes differ from them."""
-        rest = utf8(segment)
+    def tokens(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
+        """Ids and ends of both sides over the bytes of space and text; None if either side's bytes differ from them."""
+        rest = utf8(text)
         data = b" " + rest
-        coded = self.a.encode(" " + segment, add_special_tokens=False)
-        spans = coded.offsets
-        if len(data) != len(segment) + 1:
-            place = np.cumsum([0, 1, *(len(utf8(c)) for c in segment)]).tolist()
-            spans = [(place[begin], place[end]) for begin, end in spans]
-        a_pieces = [self.a_bytes[i] for i in coded.ids]
+        coded = self.a.encode(" " + text, add_special_tokens=False)
+        a = coded.ids
+        a_pieces = list(map(self.a_bytes.__getitem__, a))
         mapped = self.b.encode(rest, return_type="offset_mapping", return_bytes=True)
-        b_pieces = [self.b_bytes[i] for i in mapped["ids"]]
-        # B's spans know nothing of the space that it puts in front.
-        b_spans = [(begin + 1 if i else 0, end + 1) for i, (begin, end) in enumerate(mapped["offsets"])]
+        b = mapped["ids"]
+        b_pieces = list(map(self.b_bytes.__getitem__, b))
         if b"".join(a_pieces) != data or b"".join(b_pieces) != data:
             return None
-        return data, coded.ids, token_ends(spans, a_pieces), mapped["ids"], token_ends(b_spans, b_pieces)
+        spans = [np.fromiter(chain.from_iterable(x), np.int64).reshape(-1, 2) for x in (coded.offsets, mapped["offsets"])]
+        if len(data) != len(text) + 1:
+            spans[0] = byte_places(" " + text)[spans[0]]
+        # B's spans know nothing of the space that it puts in front.
+        spans[1] += 1
+        spans[1][0, 0] = 0
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a_pieces, b_pieces)]
+        return a, token_ends(spans[0], sizes[0]), b, token_ends(spans[1], sizes[1])
+
+    def align(self, run: list[str]) -> list[tuple | None]:
+        """The entry of each segment of a run, encoded with single spaces between them."""
+        found = self.tokens(" ".join(run))
+        ends = np.cumsum([len(utf8(s)) + 1 for s in run])
+        cuts = np.intersect1d(found[1], found[3], assume_unique=True) if found else ends[:0]
+        if not found or not np.isin(ends, cuts).all():
+            # Some segment is none that tokens keep to: each by itself.
+            return [None] if len(run) == 1 else [e for s in run for e in self.align([s])]
+        a, a_ends, b, b_ends = found
+        i, j = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        pairs = np.array(a, np.int64)[i] * _B_IDS + np.array(b, np.int64)[j]
+        a_text, b_text = list(map(self.a_text.__getitem__, a)), list(map(self.b_text.__getitem__, b))
+        i, j = [0, *(i + 1).tolist()], [0, *(j + 1).tolist()]
+        text = [f"{a_text[p]}|{b_text[q]}" if p2 - p == q2 - q == 1 else ",".join(a_text[p:p2]) + "|" + ",".join(b_text[q:q2])
+                for p, p2, q, q2 in zip(i, i[1:], j, j[1:])]
+        out, before = [], 0
+        for g in (np.searchsorted(cuts, ends) + 1).tolist():
+            out.append((i[g] - i[before], j[g] - j[before], g - before, ";".join(text[before:g]), pairs[before:g].tobytes()))
+            before = g
+        return out
+
+    def learn(self, segments: set[str]) -> None:
+        """Remember the short ones of these segments. What was not met again since the last time is forgotten."""
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        new = [s for s in segments if s not in self and len(s) <= REMEMBERED_CHARS and _PLAIN(s)]
+        self.update((s, self.older[s]) for s in new if s in self.older)
+        new = [s for s in new if s not in self.older]
+        for at in range(0, len(new), RUN):
+            self.update(zip(new[at:at + RUN], self.align(new[at:at + RUN])))
 
-    def align(self, segment: str):
-        found = self.tokens(segment)
-        if found is None:
-            return None
-        _, a, a_ends, b, b_ends = found
-        cuts = groups_of(a_ends, b_ends)
-        text, before = [], (0, 0)
-        for i, j in cuts:
-            text.append(",".join(map(str, a[before[0]:i])) + "|" + ",".join(map(str, b[before[1]:j])))
-            before = i, j
-        pairs = np.array([a[i - 1] * _B_IDS + b[j - 1] for i, j in cuts], np.int64)
-        return len(a), len(b), len(cuts), ";".join(text), pairs.tobytes()
-
-    def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """(n_a, n_b, n_groups, groups, pairs of the links) of a whole text."""
-        parts = [self[s] for s in self.segments(text)] if text else [None]
-        if None in parts:
+    def __missing__(self, segment: str):
+        return self.align([segment])[0]
+
+    def document(self, segments: list[str]) -> tuple[int, int, int, str, np.ndarray]:
+        """(n_a, n_b, n_groups, groups, pairs of the links) of a whole text's segments."""
+        parts = [self[s] for s in segments]
+        if not parts or None in parts:
             return 0, 0, 0, "", np.empty(0, np.int64)
         a, b, n, groups, pairs = zip(*parts)
         return sum(a), sum(b), sum(n), ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)
 
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        split = [self.segments(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(split)))
+        return map(self.document, split)
+
 
 @lru_cache(maxsize=2)
 def aligner(vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> Aligner:
@@ -137,10 +170,17 @@ def aligned(docs: DataFrame, keep_groups: bool, vocabulary_a: str = VOCABULARY_A
 
     def run(source):
         model = aligner(vocabulary_a, vocabulary_b)
+        # Nothing here makes cycles, and looking for them among the remembered segments takes a quarter of the time.
+        gc.disable()
+        try:
+            yield from work(model, source)
+        finally:
+            gc.enable()
+
+    def work(model: Aligner, source):
         for batch in source:
             rows = []
-            for text in batch.column(2).to_pylist():
-                n_a, n_b, n_groups, groups, links = model.document(text)
+            for n_a, n_b, n_groups, groups, links in model.documents(batch.column(2).to_pylist()):
                 pairs, times = np.unique(links, return_counts=True)
                 rows.append((n_a, n_b, n_groups, hashlib.sha256(groups.encode()).hexdigest() if n_a else "", pairs, times, groups))
             columns = [pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)]
