@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.text import is_blank, or_default
 from reviewlake.operators.topk import best_per_key
+from reviewlake.session import materialize
 
 FILE_KEYS = ["project_path", "path"]
 STRUCTURE_TYPE = "directory-structure"
@@ -195,7 +196,7 @@ def existing_files(results: DataFrame, inventory: DataFrame, keys: list[str] = F
 
 
 def directory_tree(paths: DataFrame, keys: list[str], path: str = "path", max_depth: int = 5, ignore=()) -> DataFrame:
-    """Tree lines per project, directories before files, as ``(keys, sort_key, line)`` rows.
+    """Tree lines per project, directories before files, as ``(keys, sort_key, line, node, depth, is_dir)`` rows.
 
     Rows, not one text: a project may hold any number of files. Concatenate in ``sort_key`` order to render.
     """
@@ -217,4 +218,36 @@ def directory_tree(paths: DataFrame, keys: list[str], path: str = "path", max_de
     line = F.concat(
         F.repeat(F.lit("    "), depth - 1), F.element_at("at", -1), F.when(F.col("is_dir"), "/").otherwise("")
     )
-    return nodes.select(*keys, sort_key.alias("sort_key"), line.alias("line"))
+    return nodes.select(*keys, sort_key.alias("sort_key"), line.alias("line"), joined.alias("node"), depth.alias("depth"), "is_dir")
+
+
+def pack_tree(tree: DataFrame, keys: list[str], lines: int, max_depth: int = 5) -> DataFrame:
+    """Every line of a tree in exactly one row of about ``lines`` lines: ``tree`` with ``owner`` and ``piece``.
+
+    Subtrees are cut bottom-up: a directory hands its lines to its parent while they are fewer than ``lines``, else it becomes the
+    owner of them; the project ('') owns what is left. An owner of many lines deals its children, each with all it brings, to
+    pieces by a hash of the name, so that no directory, however many files it holds, is packed in one task.
+    """
+    parent = F.regexp_extract("node", "^(.*)/[^/]*$", 1)
+    nodes = tree.withColumn("parent", parent)
+    rest = nodes.where(~F.col("is_dir")).groupBy(*keys, "parent", (F.col("depth") - 1).alias("above")).agg(F.count("*").alias("n"))
+    handed, cuts = rest, None
+    for depth in range(max_depth + 1, 0, -1):
+        inside = handed.where(F.col("above") == depth).groupBy(*keys, F.col("parent").alias("node")).agg(F.sum("n").alias("n"))
+        own = nodes.where(F.col("is_dir") & (F.col("depth") == depth)).select(*keys, "node", "parent")
+        sized = materialize(own.join(inside, [*keys, "node"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1), "tree-level")
+        cut = sized.where(F.col("n") >= lines).select(*keys, F.col("node").alias("owner"), F.lit(depth).alias("owner_depth"), "n")
+        cuts = cut if cuts is None else cuts.unionByName(cut)
+        up = sized.where(F.col("n") < lines).select(*keys, "parent", F.lit(depth - 1).alias("above"), "n")
+        handed = handed.where(F.col("above") < depth).unionByName(up)
+    root = handed.where("above = 0").groupBy(*keys).agg(F.sum("n").alias("n"))
+    cuts = materialize(cuts.unionByName(root.select(*keys, F.lit("").alias("owner"), F.lit(0).alias("owner_depth"), "n")), "tree-cuts")
+    parts = F.split("node", "/", -1)
+    reach = F.col("depth") - F.when(F.col("is_dir"), 0).otherwise(1)
+    above = F.transform(F.sequence(F.lit(0), reach), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    found = nodes.drop("parent").withColumn("owner", F.explode(above)).join(cuts, [*keys, "owner"])
+    best = F.max_by(F.struct("owner", "owner_depth", "n", "depth", "is_dir", "line"), "owner_depth").alias("b")
+    owned = found.groupBy(*keys, "sort_key", "node").agg(best).select(*keys, "sort_key", "node", "b.*")
+    child = F.array_join(F.slice(F.split("node", "/", -1), 1, F.col("owner_depth") + 1), "/")
+    mark = F.conv(F.substring(F.md5(child), 1, 8), 16, 10).cast("long")
+    return owned.withColumn("piece", (mark % F.ceil(F.col("n") / lines)).cast("int")).drop("n", "owner_depth")

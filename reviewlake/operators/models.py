@@ -30,7 +30,11 @@ class Embedder(Protocol):
 
 
 class HashedWords:
-    """Signed feature hashing of words: md5 picks the bucket and the sign, counts add up, L2-normalised."""
+    """Signed feature hashing of words: md5 picks the bucket and the sign, counts add up, L2-normalised.
+
+    No text that is not blank is left without a vector: where the signed counts cancel out the plain counts stand, and a text
+    without words has the empty word.
+    """
 
     def __init__(self, dim: int = 384):
         self.dim = dim
@@ -39,12 +43,16 @@ class HashedWords:
         out = np.zeros((len(texts), self.dim))
         seen: dict[str, tuple[int, float]] = {}
         for row, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
+            slots = []
+            for word in re.findall(r"\w+", text.lower()) or [""]:
                 slot = seen.get(word)
                 if slot is None:
                     digest = hashlib.md5(word.encode()).hexdigest()
                     slot = seen[word] = (int(digest[:8], 16) % self.dim, 1.0 - 2.0 * (int(digest[8], 16) % 2))
+                slots.append(slot)
                 out[row, slot[0]] += slot[1]
+            if not out[row].any():
+                np.add.at(out[row], [bucket for bucket, _ in slots], 1.0)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 

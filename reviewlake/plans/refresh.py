@@ -12,11 +12,12 @@ from reviewlake.functions import text as T
 from reviewlake.functions.markdown import markdown_chunks
 from reviewlake.operators import corpus as R
 from reviewlake.operators.models import Embedder, HashedWords, embed
-from reviewlake.operators.topk import best_per_key, top_k
+from reviewlake.operators.topk import best_per_key
 from reviewlake.session import materialize
 
 DOC_KEYS = ["project_path", "original_document_path"]
-STRUCTURE_LINES = 20_000
+#: Lines of a project's tree that one structure row holds, about.
+STRUCTURE_ROW_LINES = 1_000
 
 
 def admit(files: DataFrame, exclude_globs=(), ignored: DataFrame | None = None) -> DataFrame:
@@ -85,34 +86,29 @@ def refresh_chunks(files: DataFrame, stored: DataFrame, embedder: Embedder, mode
     return table
 
 
-def refresh_structure(files: DataFrame, stored: DataFrame, embedder: Embedder) -> DataFrame:
-    """Structure rows of projects whose tree changed.
+def structure_rows(paths: DataFrame, lines: int = STRUCTURE_ROW_LINES) -> DataFrame:
+    """The trees of projects as rows of about ``lines`` lines: project_path, owner, piece, content, n_lines. No line is left out."""
+    packed = R.pack_tree(materialize(R.directory_tree(paths, ["project_path"]), "tree"), ["project_path"], lines)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sort_key", "line"))), lambda x: x["line"])
+    # A row names the directory it belongs to.
+    head = F.when(F.col("owner") != "", F.concat(F.lit("in "), "owner", F.lit(":\n"))).otherwise("")
+    rows = packed.groupBy("project_path", "owner", "piece").agg(F.array_join(ordered, "\n").alias("content"), F.count("*").alias("n_lines"))
+    return rows.withColumn("content", F.concat(head, "content"))
 
-    The fingerprint covers the whole tree. The text shown for it is one row, so a tree of more than
-    ``STRUCTURE_LINES`` lines ends with the number of lines left out.
-    """
-    tree = materialize(R.directory_tree(files, ["project_path"]), "tree")
-    listed = tree_text(tree)
-    marks = R.inventory_hash(
-        tree.select("project_path", F.lit(R.STRUCTURE_TYPE).alias("type"), F.col("sort_key").alias("path"), F.lit("").alias("content_hash")),
-        ["project_path"]).select("project_path", F.substring("fingerprint", 1, 8).alias("content_hash"))
-    known = stored.where(F.col("type") == R.STRUCTURE_TYPE).select("project_path", "content_hash")
-    changed = marks.join(known, ["project_path", "content_hash"], "left_anti").join(listed, "project_path")
-    title = F.concat(P.basename("project_path"), F.lit(" Project Structure"))
-    rows = changed.select(
-        P.structure_id("project_path").alias("id"), "content", F.lit(R.STRUCTURE_TYPE).alias("type"), title.alias("name"), title.alias("path"),
-        "project_path", F.lit("text").alias("language"), "content_hash", F.lit(None).cast("string").alias("last_modified"))
-    return embed(rows, "content", "vector", embedder).where("vector IS NOT NULL")
 
-
-def tree_text(tree: DataFrame, limit: int = STRUCTURE_LINES) -> DataFrame:
-    """Tree lines of each project joined in order."""
-    first = top_k(tree, ["project_path"], [F.col("sort_key")], limit, "place")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
-    shown = first.groupBy("project_path").agg(F.array_join(lines, "\n").alias("content"))
-    more = tree.groupBy("project_path").agg((F.count("*") - limit).alias("more"))
-    rest = F.when(F.col("more") > 0, F.concat(F.lit("\n... ("), F.col("more").cast("string"), F.lit(" more lines)"))).otherwise("")
-    return shown.join(more, "project_path").select("project_path", F.concat("content", rest).alias("content"))
+def refresh_structure(paths: DataFrame, stored: DataFrame, embedder: Embedder, lines: int = STRUCTURE_ROW_LINES) -> DataFrame:
+    """All structure rows of the projects of ``paths``; rows whose text did not change keep their stored vector."""
+    title = F.concat(P.basename("project_path"), F.lit(" Project Structure"))
+    rows = structure_rows(paths, lines).select(
+        F.concat(P.structure_id("project_path"), F.lit("#"), T.short_hash(F.concat_ws("#", "owner", "piece"))).alias("id"), "content",
+        F.lit(R.STRUCTURE_TYPE).alias("type"), title.alias("name"), title.alias("path"), "project_path", F.lit("text").alias("language"),
+        T.short_hash("content").alias("content_hash"), F.lit(None).cast("string").alias("last_modified"))
+    rows = materialize(rows, "structure")
+    known = stored.where(F.col("type") == R.STRUCTURE_TYPE).select("id", "project_path", "content_hash", "vector")
+    match = ["id", "project_path", "content_hash"]
+    kept = rows.join(known, match)
+    made = embed(rows.join(known.select(*match), match, "left_anti"), "content", "vector", embedder).where("vector IS NOT NULL")
+    return kept.unionByName(made)
 
 
 def refresh_corpus(corpus, files: DataFrame, embedder: Embedder | None = None, mode: str = "full", exclude_globs=(), ignored=None) -> DataFrame:
@@ -126,12 +122,12 @@ def refresh_corpus(corpus, files: DataFrame, embedder: Embedder | None = None, m
     projects = materialize(files.select("project_path").distinct(), "projects")
     stored = corpus.table("file_embeddings").join(projects, "project_path", "left_semi")
     table, status = refresh_files(admitted, stored, embedder, mode)
-    structure = refresh_structure(admitted, stored, embedder)
     columns = stored.columns
-    table = R.upsert(table.select(*columns), structure.select(*columns), ["id", "project_path"])
+    table = materialize(table.where(F.col("type") != R.STRUCTURE_TYPE).select(*columns), "refreshed-files")
+    structure = refresh_structure(table.select("project_path", "path"), stored, embedder)
+    table = table.unionByName(structure.select(*columns))
     chunks = refresh_chunks(
         admitted, corpus.table("document_chunk_embeddings").join(projects, "project_path", "left_semi"), embedder, mode)
     counters = materialize(R.run_counters(status), "counters")
-    corpus.write("file_embeddings", table, projects)
-    corpus.write("document_chunk_embeddings", chunks, projects)
+    corpus.write_all({"file_embeddings": table, "document_chunk_embeddings": chunks}, projects)
     return counters

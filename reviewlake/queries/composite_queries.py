@@ -12,7 +12,7 @@ from reviewlake.operators.models import HashedWords, embed
 from reviewlake.plans import history as S
 from reviewlake.plans import retrieval as Q
 from reviewlake.plans import review as V
-from reviewlake.plans.refresh import chunk_documents, refresh_chunks, refresh_corpus, refresh_files
+from reviewlake.plans.refresh import chunk_documents, refresh_chunks, refresh_corpus, refresh_files, structure_rows
 from reviewlake.queries.function_queries import SQL_CONTEXT, SQL_TAGS, code_contexts, sql_category, sql_ext, sql_language
 from reviewlake.queries.inputs import COMMENTS, DIFFS, FILES, comments, diffs, files, quoted, sql_any, with_ctes
 from reviewlake.queries.predicate_queries import _NAME, sql_in
@@ -308,14 +308,60 @@ def h16_chunks(t):
     return table.select("id", "project_path", "content_hash", F.col("vector").isNotNull().alias("embedded"))
 
 
-@query("h16_refresh_corpus")
+def _sql_packed(lines: int, max_depth: int = 5) -> str:
+    """CTEs ending in ``packed(project, owner, piece, sort_key, line)`` from ``paths(project, path)``."""
+    steps = ["""nodes AS (
+  SELECT DISTINCT project, array_to_string(seg, '/') AS node, len(seg) AS depth, is_dir,
+    CASE WHEN len(seg) > 1 THEN array_to_string(seg[:len(seg) - 1], '/') ELSE '' END AS parent,
+    array_to_string(list_transform(seg, lambda s, i: CASE WHEN i < len(seg) OR is_dir THEN '0' ELSE '1' END || s), chr(1)) AS sort_key,
+    repeat('    ', len(seg) - 1) || seg[len(seg)] || CASE WHEN is_dir THEN '/' ELSE '' END AS line
+  FROM (SELECT project, parts[:k] AS seg, k < len(parts) AS is_dir FROM (
+    SELECT project, string_split(path, '/') AS parts, unnest(range(1, least(len(string_split(path, '/')), """ + str(max_depth + 1) + """) + 1)) AS k FROM paths)))"""]
+    for depth in range(max_depth + 1, 0, -1):
+        below = f"UNION ALL SELECT project, parent AS node, n FROM level{depth + 1} WHERE n < {lines}" if depth <= max_depth else ""
+        steps.append(f"""level{depth} AS (
+  SELECT project, node, any_value(parent) AS parent, {depth} AS depth, count(*) + coalesce(sum(n), 0) - count(n) AS n FROM (
+    SELECT project, node, parent, NULL AS n FROM nodes WHERE is_dir AND depth = {depth}
+    UNION ALL SELECT project, node, NULL, n FROM (SELECT project, parent AS node, 1 AS n FROM nodes WHERE NOT is_dir AND depth = {depth + 1} {below})) GROUP BY ALL)""")
+    every = " UNION ALL ".join(f"SELECT project, node AS owner, depth, n FROM level{d} WHERE n >= {lines}" for d in range(1, max_depth + 2))
+    steps.append(f"""cuts AS ({every} UNION ALL SELECT project, '' AS owner, 0, sum(n) FROM (
+    SELECT project, 1 AS n FROM nodes WHERE NOT is_dir AND depth = 1 UNION ALL SELECT project, n FROM level1 WHERE n < {lines}) GROUP BY project),
+owned AS (
+  SELECT x.project, x.node, sort_key, line, max(struct_pack(d := c.depth, owner := c.owner, n := c.n)) AS o FROM nodes x JOIN cuts c
+  ON x.project = c.project AND (c.owner = '' OR starts_with(x.node, c.owner || '/') OR x.node = c.owner AND is_dir) GROUP BY ALL),
+packed AS (
+  SELECT project, o.owner AS owner, CAST(CAST('0x' || substr(md5(array_to_string(string_split(node, '/')[:o.d + 1], '/')), 1, 8) AS BIGINT)
+    % CAST(ceil(o.n / {lines}.0) AS BIGINT) AS INTEGER) AS piece, sort_key, line FROM owned)""")
+    return ",\n".join(steps)
+
+
+@query("h16_structure_rows", with_ctes(FILES, "paths AS (SELECT DISTINCT project_path AS project, path FROM files)", _sql_packed(12)) + """
+SELECT project AS project_path, owner, piece, count(*) AS n_lines,
+  CASE WHEN owner = '' THEN '' ELSE 'in ' || owner || ':' || chr(10) END || string_agg(line, chr(10) ORDER BY sort_key) AS content FROM packed GROUP BY project, owner, piece""")
+def h16_structure(t):
+    return structure_rows(files(t.documents).select("project_path", "path").distinct(), 12)
+
+
+ADMITTED = f"""NOT ({sql_in('ext', K.BINARY_EXTENSIONS)} OR {sql_any('path', [f'/{d}/' for d in K.SKIP_DIRECTORIES])} OR {sql_in('name', K.SKIP_FILENAMES)}
+  OR regexp_matches(path, '\\.(min|bundle)\\.(js|css)$|\\.generated\\.|\\.d\\.ts$|\\.snap$|\\.config\\.(js|ts|mjs|cjs)$') OR regexp_matches(name, '^\\..*rc(\\.json)?$'))
+  AND {sql_language(sql_ext('path'))} <> 'unknown'"""
+
+
+@query("h16_refresh_corpus", with_ctes(FILES, f"""f AS (SELECT *, {_NAME} AS name, lower({sql_ext('path')}) AS ext,
+    CASE WHEN file_id % 29 = 0 THEN ' ' || chr(10) ELSE content END AS body FROM files),
+once AS (SELECT * FROM f WHERE strlen(body) <= 1048576 AND {ADMITTED} QUALIFY row_number() OVER (PARTITION BY project_path, path ORDER BY file_id % 60 DESC, md5(body)) = 1),
+again AS (SELECT project_path, path, CASE WHEN length(path) % 3 = 0 THEN body || chr(10) || 'more' ELSE body END AS body FROM f
+  WHERE strlen(body) <= 1048571 AND {ADMITTED} QUALIFY row_number() OVER (PARTITION BY project_path, path ORDER BY file_id % 60 DESC,
+    md5(CASE WHEN length(path) % 3 = 0 THEN body || chr(10) || 'more' ELSE body END)) = 1)""") + """
+SELECT CASE WHEN NOT regexp_matches(a.body, '\\S') THEN 'skipped_empty' WHEN a.body = o.body THEN 'skipped_unchanged' ELSE 'processed' END AS status, count(*) AS n
+FROM again a JOIN once o USING (project_path, path) GROUP BY ALL""")
 def h16(t):
     spark = t.spark
     corpus = Corpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
     now = _refresh_input(t).drop("file_id")
     refresh_corpus(corpus, now, E)
     # The second run sees every path again with a third of the contents changed.
-    changed = now.withColumn("content", F.when(F.crc32("path") % 3 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")))
+    changed = now.withColumn("content", F.when(F.length("path") % 3 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content")))
     return refresh_corpus(corpus, changed, E)
 
 

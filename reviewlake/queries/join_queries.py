@@ -314,4 +314,4 @@ SELECT 'web' AS project, array_to_string(list_transform(seg, lambda s, i: CASE W
   repeat('    ', len(seg) - 1) || seg[len(seg)] || CASE WHEN is_dir THEN '/' ELSE '' END AS line FROM n""")
 def g49(t):
     path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "^https?://", "")
-    return R.directory_tree(t.pages.select(F.lit("web").alias("project"), path.alias("path")), ["project"])
+    return R.directory_tree(t.pages.select(F.lit("web").alias("project"), path.alias("path")), ["project"]).select("project", "sort_key", "line")

@@ -19,14 +19,15 @@ TOKENS = "regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')"
 
 def sql_embedding(name: str, source: str, key: str, text: str, dim: int = DIM) -> str:
     """CTEs giving ``name(key, bucket, w)``: the non-zero components of the hashed-word vector."""
-    return f"""{name}_tok AS (SELECT {key}, unnest({TOKENS.format(text=text)}) AS t FROM {source}),
+    tokens = TOKENS.format(text=text)
+    return f"""{name}_tok AS (SELECT {key}, unnest(CASE WHEN len({tokens}) = 0 THEN [''] ELSE {tokens} END) AS t FROM {source} WHERE regexp_matches({text}, '\\S')),
 {name}_raw AS (
-  SELECT {key}, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS bucket,
-         sum(1.0 - 2.0 * (CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2))::DOUBLE AS v
+  SELECT {key}, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS bucket, count(*)::DOUBLE AS plain,
+         sum(1.0 - 2.0 * (CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2))::DOUBLE AS signed
   FROM {name}_tok GROUP BY ALL),
+{name}_v AS (SELECT {key}, bucket, CASE WHEN sum(signed * signed) OVER (PARTITION BY {key}) > 0 THEN signed ELSE plain END AS v FROM {name}_raw),
 {name} AS (
-  SELECT {key}, bucket, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w
-  FROM {name}_raw QUALIFY v <> 0 AND sum(v * v) OVER (PARTITION BY {key}) > 0)"""
+  SELECT {key}, bucket, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM {name}_v QUALIFY v <> 0)"""
 
 
 def sql_bm25(queries: str, q_id: str, q_text: str, docs: str, d_id: str, d_text: str, k: int, prefix: str = "b",

@@ -87,13 +87,25 @@ class Corpus:
         The rows are staged before the partitions are overwritten, so ``df`` may read the table.
         ``projects`` names the projects the rows stand for: one without any row left is emptied.
         """
-        schema = SCHEMAS[name]
-        for field in schema:
+        self.write_all({name: df}, projects)
+
+    def write_all(self, tables: dict[str, DataFrame], projects: DataFrame | None = None) -> None:
+        """:meth:`write` for several tables: all of them are staged before the first partition changes."""
+        staged = {name: self._stage(name, df) for name, df in tables.items()}
+        for name, path in staged.items():
+            self._swap(name, path, projects)
+        for path in staged.values():
+            self._delete(path)
+
+    def _stage(self, name: str, df: DataFrame) -> str:
+        for field in SCHEMAS[name]:
             df = R.ensure_column(df, field.name, field.dataType.simpleString())
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(staged)
-        rows = self.spark.read.schema(schema).parquet(staged)
+        path = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]).write.parquet(path)
+        return path
+
+    def _swap(self, name: str, staged: str, projects: DataFrame | None) -> None:
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(staged)
         # A project's rows go to as many tasks as they fill files, so the number of files follows the rows and not the tasks.
         sizes = rows.groupBy("project_path").agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("n_files"))
         spread = rows.join(sizes, "project_path").withColumn("file_no", F.pmod(F.xxhash64("id"), F.col("n_files")))
@@ -102,10 +114,9 @@ class Corpus:
             .option("partitionOverwriteMode", "dynamic").partitionBy("project_path").parquet(self.path(name))
         )
         if projects is not None:
-            left = self.spark.read.schema(schema).parquet(staged).select("project_path").distinct()
+            left = rows.select("project_path").distinct()
             for row in projects.select("project_path").distinct().join(left, "project_path", "left_anti").toLocalIterator():
                 self._drop_partition(name, row["project_path"])
-        self._delete(staged)
 
     def upsert(self, name: str, updates: DataFrame, keys=("id", "project_path")) -> None:
         """Merge by key; of several versions of a comment, in one batch or late, the newest stays."""

@@ -380,6 +380,28 @@ def test_cross_chunk_patterns(spark):
     assert [(r["n_chunks"], r["n_files"]) for r in got] == [(2, 2)]
 
 
+def test_every_text_that_is_not_blank_has_a_vector():
+    # In one dimension any two words with opposite signs cancel out.
+    vectors = HashedWords(1)([f"w{i} w{j}" for i in range(6) for j in range(6)] + ["!!!", "???"])
+    assert np.allclose(np.abs(vectors), 1.0) and (vectors[-1] == vectors[-2]).all()
+
+
+def test_every_line_of_a_tree_is_in_one_row(spark):
+    rng = random.Random(1)
+    paths = {"/".join(rng.choice("abc") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 7))) + f"/f{i}" for i in range(400)}
+    paths |= {f"flat/g{i}" for i in range(300)}
+    paths = {p.lstrip("/") for p in paths}
+    tree = R.directory_tree(spark.createDataFrame([("p", p) for p in paths] + [("q", "only")], "project_path string, path string"), ["project_path"])
+    rows = R.pack_tree(tree, ["project_path"], 20).collect()
+    assert sorted((r.project_path, r.sort_key) for r in rows) == sorted((r.project_path, r.sort_key) for r in tree.collect())
+    sizes = {}
+    for r in rows:
+        at = r.node if r.is_dir else r.node.rpartition("/")[0]
+        assert r.owner == "" or f"{at}/".startswith(r.owner + "/")
+        sizes[r.project_path, r.owner, r.piece] = sizes.get((r.project_path, r.owner, r.piece), 0) + 1
+    assert max(sizes.values()) <= 60 and len(sizes) > 15
+
+
 @pytest.mark.parametrize("plan", ["broadcast", "blocks"])
 def test_radius_join_finds_all(spark, plan):
     from reviewlake.operators import knn as N
