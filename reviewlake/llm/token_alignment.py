@@ -31,7 +31,7 @@ from reviewlake.llm.token_counts import byte_letters
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Segments a task remembers (twice as many while it forgets the older ones), the longest of them in code points, and how many new ones are encoded in one run.
-REMEMBERED, REMEMBERED_CHARS, RUN = 150_000, 64, 2_000
+REMEMBERED, REMEMBERED_CHARS, RUN = 250_000, 64, 2_000
 #: The table of pair counts is broadcast up to so many rows (about 50 bytes each), and joined by a shuffle beyond.
 BROADCAST_PAIRS = 500_000
 #: Into how many keys a pair is split in that shuffle: a frequent pair stands in nearly every document.
