@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.functions import constants as K
-from reviewlake.functions.text import col, is_blank, truncate_tokens, verification_text, word_pattern
+from reviewlake.functions.text import col, is_blank, truncate_tokens, verification_text, word_pattern, words
 from reviewlake.operators.text_terms import pattern_candidates
 
 
@@ -133,6 +133,18 @@ def mentioned_technologies(text: Column | str) -> Column:
     return technology_scores(text, pattern_candidates(text, list(K.ENGLISH_STOPWORDS)))
 
 
+def dictionary_technologies(terms: Iterable[str], min_score: float = 0.3):
+    """Scorer of the technologies of a fixed list, single words: n / (n + 1) for n occurrences of the word."""
+    names = list(terms)
+
+    def scores(text: Column | str) -> Column:
+        counted = [F.size(words(text)) - F.size(F.array_remove(words(text), name.lower())) for name in names]
+        scored = F.array(*(F.struct(F.lit(t).alias("technology"), (n / (n + 1)).alias("confidence")) for t, n in zip(names, counted)))
+        return F.filter(scored, lambda x: x["confidence"] >= min_score)
+
+    return scores
+
+
 def classifier_udf(score: Callable[[list[str], list[str]], np.ndarray], labels=K.DOMAIN_LABELS, min_score: float = 0.3):
     """Wrap a multi-label scorer ``(texts, labels) -> (n, labels)``; input is cut to its token limit."""
     labels = list(labels)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from reviewlake.functions import constants as K
 from reviewlake.operators.corpus import comment_version
-from reviewlake.operators.models import HashedWords, embed
+from reviewlake.operators.models import HashedWords, dictionary_technologies, embed
 from reviewlake.plans import history as S
 from reviewlake.plans import retrieval as Q
 from reviewlake.plans import review as V
 from reviewlake.plans.refresh import chunk_documents, refresh_chunks, refresh_corpus, refresh_files, structure_rows
-from reviewlake.queries.function_queries import SQL_CONTEXT, SQL_TAGS, code_contexts, sql_category, sql_ext, sql_language
+from reviewlake.queries.function_queries import SQL_CONTEXT, SQL_TAGS, code_contexts, sql_category, sql_doc_context, sql_ext, sql_language
 from reviewlake.queries.inputs import COMMENTS, DIFFS, FILES, comments, diffs, files, quoted, sql_any, with_ctes
 from reviewlake.queries.predicate_queries import _NAME, sql_in
 from reviewlake.queries.registry import query
@@ -110,9 +111,55 @@ def h9_rerank(t):
     return found.select("query_id", "id", F.round("similarity", 5).alias("similarity"))
 
 
-@query("g38_document_contexts")
+TECHNOLOGIES = ("React", "Express", "Django", "flask", "the", "de")
+_GUIDES = """guides AS (SELECT 'docs/' || CASE WHEN doc_id % 13 = 0 THEN 'readme' ELSE 'g' || (doc_id // 50) END || '-' || f.source || '.md' AS path,
+    'Guide api ' || f.source AS title, CASE WHEN doc_id % 7 = 0 THEN 'Installation and Setup' ELSE '' END AS heading, content
+  FROM files f JOIN documents ON doc_id = file_id)"""
+
+
+def _guides(t):
+    """Documentation chunks: one per file, about five to a path, some with a heading."""
+    n = F.col("file_id")
+    name = F.when(n % 13 == 0, "readme").otherwise(F.concat(F.lit("g"), F.floor(n / 50)))
+    return files(t.documents).select(
+        n.alias("id"), F.lit("/work/all").alias("project_path"), F.concat(F.lit("docs/"), name, F.lit("-"), "source", F.lit(".md")).alias("original_document_path"),
+        F.concat_ws(" ", F.lit("Guide api"), "source").alias("document_title"), F.when(n % 7 == 0, "Installation and Setup").otherwise("").alias("heading_text"), "content")
+
+
+def _sql_doc_texts_scores() -> str:
+    rows = []
+    for i, label in enumerate(K.DOMAIN_LABELS):
+        names = [w for w in re.split(r"[^a-z0-9]+", label.lower()) if len(w) > 1]
+        hits = " + ".join(f"CAST(regexp_matches(t, '\\b{n}\\b') AS INTEGER)" for n in names)
+        rows.append(f"SELECT path, {quoted(label)} AS domain, {i} AS ord, max(({hits})::DOUBLE / {len(names)}) AS confidence FROM texts GROUP BY path")
+    return " UNION ALL ".join(rows)
+
+
+def _sql_tech_scores() -> str:
+    def count(name: str) -> str:
+        return f"len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: w = {quoted(name.lower())}))"
+
+    return " UNION ALL ".join(
+        f"SELECT path, {quoted(n)} AS name, max({count(n)} / ({count(n)} + 1.0)) AS confidence FROM texts GROUP BY path" for n in TECHNOLOGIES)
+
+
+@query("g38_document_contexts", with_ctes(FILES, _GUIDES, f"""texts AS (
+  SELECT path, lower(CASE WHEN heading <> '' THEN heading || ' ' ELSE '' END || content) AS t FROM guides
+  UNION ALL SELECT DISTINCT path, lower(title || ' ' || title || ' ' || regexp_extract(path, '([^/]*)\\.md$', 1)) FROM guides),
+dom_rows AS ({_sql_doc_texts_scores()}),
+tech_rows AS ({_sql_tech_scores()}),
+doms AS (SELECT path, list({{'domain': domain, 'confidence': confidence}} ORDER BY confidence DESC, ord) AS doms FROM dom_rows WHERE confidence >= 0.3 GROUP BY path),
+techs AS (SELECT path, list(name ORDER BY confidence DESC, name) AS tech FROM tech_rows WHERE confidence >= 0.35 GROUP BY path),
+points AS (SELECT path, {' + '.join(f"max(CASE WHEN contains(t, {quoted(k)}) THEN {v} ELSE 0 END)" for k, v in K.README_POINTS.items())} AS pts FROM texts GROUP BY path),
+docs AS (SELECT DISTINCT path, lower(path) AS lp, lower(title) AS lt FROM guides),
+dom AS (SELECT docs.*, coalesce(doms, []) AS doms, coalesce(tech, []) AS tech, pts FROM docs LEFT JOIN doms USING (path) LEFT JOIN techs USING (path) JOIN points USING (path)),
+best AS (SELECT *, list_sort({sql_doc_context()}, 'DESC')[1] AS b FROM dom),
+area AS (SELECT *, CASE WHEN b.s >= 0.4 THEN b.n ELSE 'Unknown' END AS area, regexp_matches(path, '(?i)(README|RUNBOOK|CONTRIBUTING|CHANGELOG|LICENSE|SETUP|INSTALL)(\\.md|$)') AS generic FROM best)""") + """
+SELECT path, area AS doc_area, array_to_string(tech, ',') AS doc_tech, generic,
+  (NOT contains(regexp_replace(lp, '/[^/]*$', ''), '/') AND starts_with(lp, 'readme') AND pts >= 3) OR pts >= 5
+    OR area = 'GeneralProjectDoc' OR (area = 'ToolingInternal' AND contains(lp, 'readme') AND pts >= 2) AS readme_style FROM area""")
 def doc_contexts(t):
-    c = Q.document_contexts(_chunks(t))
+    c = Q.document_contexts(_guides(t), technologies=dictionary_technologies(TECHNOLOGIES))
     return c.select("path", "doc_area", F.array_join("doc_tech", ",").alias("doc_tech"), "readme_style", "generic")
 
 

@@ -13,7 +13,7 @@ from reviewlake.functions import paths as P
 from reviewlake.functions import text as T
 from reviewlake.functions import vectors as V
 from reviewlake.operators.models import keyword_scores
-from reviewlake.operators.text_terms import dictionary_match, pattern_candidates, top_keywords
+from reviewlake.operators.text_terms import dictionary_match, tech_candidates, top_keywords
 from reviewlake.queries.inputs import (
     COMMENTS, DIFFS, FILES, WS_SQL, comments, diffs, files, quoted, sql_any, sql_list, sql_trim, with_ctes,
 )
@@ -424,7 +424,7 @@ def g36(t):
     return classified(t).select("id", F.array_join("tags", ",").alias("tags"))
 
 
-def _sql_doc_context() -> str:
+def sql_doc_context() -> str:
     def marks(text, terms):
         return sql_any(text, terms)
 
@@ -451,7 +451,7 @@ DOC_CONTEXT_SQL = with_ctes(FILES, f"""dom AS (SELECT file_id, lower(source || '
     [{{'domain': 'database', 'confidence': 0.3 + file_id % 5 * 0.1}}, {{'domain': 'frontend/UI', 'confidence': 0.5}},
      {{'domain': 'general security', 'confidence': 0.35}}] AS doms,
     CASE WHEN file_id % 3 = 0 THEN ['React', 'Jest'] WHEN file_id % 3 = 1 THEN ['Docker'] ELSE [] END AS tech FROM files),
-best AS (SELECT *, list_sort({_sql_doc_context()}, 'DESC')[1] AS b FROM dom),
+best AS (SELECT *, list_sort({sql_doc_context()}, 'DESC')[1] AS b FROM dom),
 area AS (SELECT *, CASE WHEN b.s >= 0.4 THEN b.n ELSE 'Unknown' END AS area,
   {' + '.join(f"CASE WHEN contains(body, {quoted(k)}) THEN {v} ELSE 0 END" for k, v in K.README_POINTS.items())} AS pts FROM best)""") + """
 SELECT file_id, area, array_to_string(tech, ',') AS tech,
@@ -505,26 +505,61 @@ def g39(t):
     )
 
 
-@query("c13_dictionary_match", with_ctes("""dict AS (SELECT DISTINCT lower(term) AS term FROM (
-    SELECT p_name AS term FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part
-    UNION SELECT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) FROM benchmark) WHERE regexp_matches(lower(term), '^[\\p{L}\\p{N}_ ]+$')),
-txt AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS w, lower(text) AS low FROM documents)""") + """
-SELECT doc_id, term FROM txt, dict WHERE contains(w, ' ' || term || ' ') AND regexp_matches(low, '(^|[^A-Za-z0-9_])' || term || '($|[^A-Za-z0-9_])')""")
-def c13(t):
-    first_two = F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
-    terms = (
+TECH_TERMS = ("c++", ".net", "node.js", "process.env", "React", "@Component", "useState(0)", "require('express')", "django.db", "[a, setA]", "Api", "_", "!!", "é")
+# Every two neighbouring words of every benchmark text, with the signs they carry.
+_DICTIONARY = f"""dict AS (SELECT DISTINCT lower(term) AS term FROM (
+    SELECT p_name AS term FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part UNION SELECT unnest([{', '.join(map(quoted, TECH_TERMS))}])
+    UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(text, ' ') AS w FROM benchmark)))
+  WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}_]')),
+marked AS (SELECT term, CASE WHEN regexp_matches(term, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '(^|[^A-Za-z0-9_])' END || regexp_escape(term)
+    || CASE WHEN regexp_matches(term, '[\\p{{L}}\\p{{N}}_]$') THEN '($|[^\\p{{L}}\\p{{N}}_])' ELSE '($|[^A-Za-z0-9_])' END AS pattern FROM dict),
+near AS MATERIALIZED (SELECT file_id, low, term, pattern FROM (SELECT file_id, lower(content) AS low FROM files), marked WHERE contains(low, term)),
+hits AS (SELECT DISTINCT file_id, term FROM near WHERE CASE WHEN length(low) > 0 THEN regexp_matches(low, pattern) ELSE FALSE END)"""
+
+
+def _dictionary(t):
+    w = F.split("text", " ", -1)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 2), " "))
+    return (
         t.part.select(F.col("p_name").alias("term"))
         .unionByName(t.part.select(F.explode(F.split("p_name", " ")).alias("term")))
-        .unionByName(t.benchmark.select(first_two.alias("term")))
-        .where(F.lower("term").rlike(r"^[\p{L}\p{N}_ ]+$"))
+        .unionByName(t.benchmark.where(F.size(w) > 1).select(F.explode(pairs).alias("term")))
+        .unionByName(t.spark.createDataFrame([(x,) for x in TECH_TERMS], "term string"))
     )
-    return dictionary_match(t.documents, terms, "doc_id", "text")
 
 
-@query("g40_tech_candidates")
+@query("c13_dictionary_match", with_ctes(FILES, _DICTIONARY) + "SELECT file_id AS doc_id, term FROM hits")
+def c13(t):
+    return dictionary_match(files(t.documents), _dictionary(t), "file_id", "content")
+
+
+def _sql_patterns() -> str:
+    stop = "[" + ", ".join(quoted(w) for w in K.ENGLISH_STOPWORDS) + "]"
+    words = "regexp_extract_all(content, '[A-Za-z0-9_]+')"
+    endings = " UNION ALL ".join(
+        f"SELECT file_id, unnest(list_filter(regexp_extract_all(content, '(?i)[A-Za-z0-9_]+\\.{e}[A-Za-z0-9_]*'), lambda x: regexp_matches(x, '(?i)\\.{e}$'))) AS c FROM files"
+        for e in ("js", "py"))
+    # Runs of hyphenated words; a part with a digit or underscore breaks a run.
+    runs = "regexp_extract_all(content, '[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)+')"
+    parts = ("list_transform(string_split(array_to_string(list_transform(string_split(r, '-'), lambda p: CASE WHEN regexp_matches(p, '^[A-Za-z]+$') THEN p ELSE ' ' END), '-'), ' '), "
+             "lambda p: trim(p, '-'))")
+    return f"""shaped AS (
+  SELECT file_id, c FROM ({endings}
+    UNION ALL SELECT file_id, unnest(list_filter({words}, lambda x: regexp_matches(x, '^[A-Z](?:[a-z]*[A-Z])*[a-z]*$'))) FROM files
+    UNION ALL SELECT file_id, unnest(list_filter({parts}, lambda x: contains(x, '-'))) FROM (SELECT file_id, unnest({runs}) AS r FROM files))
+  WHERE length(c) > 2 AND length(c) < 30 AND NOT list_contains({stop}, lower(c))),
+placed AS (SELECT file_id, i, regexp_replace(w, '[.,;:!?''"()\\[\\]{{}}]', '', 'g') AS w FROM (
+  SELECT file_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
+    SELECT file_id, list_filter(regexp_split_to_array(s, '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '') AS ws FROM (
+      SELECT file_id, unnest(regexp_split_to_array(content, '[.!?]+')) AS s FROM files)))),
+capital AS (SELECT file_id, w AS c FROM placed WHERE NOT list_contains({stop}, lower(w))
+  AND (i > 0 AND regexp_matches(w, '^[A-Z][a-zA-Z]+') AND length(w) > 2 AND length(w) < 20 OR regexp_matches(w, '^[A-Z]{{2,6}}$')))"""
+
+
+@query("g40_tech_candidates", with_ctes(FILES, _DICTIONARY, _sql_patterns()) + """
+SELECT file_id AS doc_id, term AS candidate FROM hits UNION SELECT file_id, c FROM shaped UNION SELECT file_id, c FROM capital""")
 def g40(t):
-    found = files(t.documents).select("file_id", F.explode(pattern_candidates("content", K.ENGLISH_STOPWORDS)).alias("candidate"))
-    return found.select("file_id", "candidate")
+    return tech_candidates(files(t.documents), _dictionary(t), "file_id", "content", list(K.ENGLISH_STOPWORDS))
 
 
 @query("d23_top_keywords", f"""

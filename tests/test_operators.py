@@ -213,6 +213,20 @@ def test_dictionary_match(spark):
     assert rows(dictionary_match(docs, terms, "doc_id", "text"), "doc_id", "term") == [(1, "next.js"), (1, "react"), (1, "spring-boot")]
 
 
+def test_automaton_and_join_find_the_same_terms(spark, monkeypatch):
+    from reviewlake.operators import text_terms
+
+    rng = random.Random(5)
+    signs = ["c", "net", "a", "b", "é", "_", "1", "+", "+", ".", "#", " ", " ", "-", "\n", "Ä"]
+    make = lambda n: "".join(rng.choice(signs) for _ in range(rng.randrange(1, n)))
+    docs = spark.createDataFrame([(i, make(60)) for i in range(150)] + [(200, None), (201, ""), (202, "C++, .NET and c+++ x.net")], "doc_id int, text string")
+    terms = spark.createDataFrame([(make(5),) for _ in range(120)] + [("C++",), (".net",), ("net",), ("+",), (None,), ("",)], "term string")
+    found = rows(dictionary_match(docs, terms, "doc_id", "text"), "doc_id", "term")
+    assert {t for i, t in found if i == 202} >= {"c++", ".net", "net"} and len(found) > 300
+    monkeypatch.setattr(text_terms, "AUTOMATON_TERMS", 0)
+    assert sorted(set(rows(dictionary_match(docs, terms, "doc_id", "text"), "doc_id", "term"))) == sorted(set(found))
+
+
 def test_technology_scores(value):
     from reviewlake.operators.models import mentioned_technologies, technology_scores
 
