@@ -227,19 +227,37 @@ def g23(t):
     return t.documents.select("doc_id", F.md5(C.cap_content(F.col("text"), F.lit(200))).alias("capped"))
 
 
-@query("g24_markdown_chunks")
+# Every sixth line is a heading, and some lines open or close a fence, inside which headings are none.
+@query("g24_markdown_chunks", f"""
+WITH src AS (SELECT doc_id, source, list_concat(['# ' || source], list_transform(string_split(text, chr(10)), lambda x, i:
+    CASE WHEN (i - 1) % 11 = 4 THEN '```' WHEN (i - 1) % 6 = 2 THEN '## ' || x ELSE x END)) AS lines FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+each AS (SELECT doc_id, source, line, i, {sql_trim('line')} AS bare FROM (SELECT doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM src)),
+fenced AS (SELECT *, sum(CASE WHEN starts_with(bare, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM each),
+heads AS (SELECT *, NOT inside AND regexp_matches(bare, '^(##|###)[{WS_SQL}]+') AS head FROM fenced),
+numbered AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM heads),
+joined AS (SELECT doc_id, any_value(source) AS title, min(i) + 1 AS start_line, string_agg(line, chr(10) ORDER BY i) AS body,
+  max(CASE WHEN head THEN regexp_replace(bare, '^(##|###)[{WS_SQL}]+', '') END) AS heading FROM numbered GROUP BY doc_id, section)
+SELECT doc_id, {sql_trim('title')} AS title, start_line::INTEGER AS start_line, md5({sql_trim('body')}) AS content_md5, {sql_trim('heading')} AS heading
+FROM joined WHERE {sql_trim('body')} <> ''""")
 def g24(t):
-    heads = F.concat(
-        F.lit("# "), F.col("source"), F.lit("\n"),
-        F.array_join(F.transform(F.split("text", "\n", -1),
-                                 lambda x, i: F.when(i % 6 == 2, F.concat(F.lit("## "), x)).otherwise(x)), "\n"),
-    )
+    marked = lambda x, i: F.when(i % 11 == 4, "```").when(i % 6 == 2, F.concat(F.lit("## "), x)).otherwise(x)
+    heads = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.array_join(F.transform(F.split("text", "\n", -1), marked), "\n"))
     chunked = t.documents.select("doc_id", M.markdown_chunks(F.concat(F.col("source"), F.lit(".md")), heads).alias("m"))
     rows = chunked.select("doc_id", "m.title", F.explode("m.chunks").alias("c"))
     return rows.select("doc_id", "title", "c.start_line", F.md5("c.content").alias("content_md5"), "c.heading")
 
 
-@query("g25_paragraph_chunks")
+@query("g25_paragraph_chunks", f"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\\. ', '.' || chr(10) || chr(10), 'g'), '\\n[{WS_SQL}]*\\n'),
+    lambda s: {sql_trim('s')}), lambda s: s <> '') AS p FROM documents),
+step AS (
+  SELECT doc_id, p, 1 AS i, 0 AS chunk, p[1] AS body FROM parts WHERE len(p) > 0
+  UNION ALL
+  SELECT doc_id, p, i + 1, CASE WHEN closes THEN chunk + 1 ELSE chunk END, CASE WHEN closes THEN p[i + 1] ELSE body || chr(10) || chr(10) || p[i + 1] END
+  FROM (SELECT *, length(body) + length(p[i + 1]) > 1000 AND length(body) > 100 AS closes FROM step WHERE i < len(p)))
+SELECT doc_id, chunk::INTEGER AS chunk_index, (max(chunk) OVER (PARTITION BY doc_id) + 1)::INTEGER AS total_chunks, substr(md5(body), 1, 8) AS chunk_hash,
+  length(body)::INTEGER AS n_chars FROM step QUALIFY i = max(i) OVER (PARTITION BY doc_id, chunk)""")
 def g25(t):
     text = F.regexp_replace("text", r"\. ", ".\n\n")
     rows = t.documents.select("doc_id", F.explode(M.paragraph_chunks(text)).alias("c"))
