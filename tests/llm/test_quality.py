@@ -1,5 +1,6 @@
 """Quality rules and classifier: base counts against brute force, fertility against whole-text encoding, held-out accuracy."""
 
+import base64
 import random
 from collections import Counter
 
@@ -56,10 +57,29 @@ def test_noise_is_rejected_by_its_band(spark):
     noise = " ".join("".join(rng.choice("qxzjkv0189") for _ in range(30)) for _ in range(80))
     emoji = " ".join(chr(0x1F300 + rng.randrange(200)) * 4 + "a" for _ in range(80))
     got = quality_rules.assess(spark.createDataFrame([(1, noise), (2, emoji)], "doc_id long, text string")).collect()
-    assert [r.base_failed for r in got] == [False, False] and [r.kept for r in got][1] is False
+    assert [r.base_failed for r in got] == [False, False] and [r.kept for r in got] == [False, False]
     assert quality_rules.bands_seen(spark.createDataFrame(got)).count() == 1
 
 
+def test_latin_noise_goes_and_prose_stays(spark):
+    rng = random.Random(5)
+    words = lambda signs, size: " ".join("".join(rng.choice(signs) for _ in range(size)) for _ in range(300))
+    coded = "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(80))
+    noise = [words("abcdefghijklmnopqrstuvwxyz", 12), words("abcdefghijklmnopqrstuvwxyz", 6), words("bcdfghjklmnpqrstvwxz", 8), coded]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    assert [(r.base_failed, r.kept) for r in quality_rules.assess(rows).collect()] == [(False, False)] * 4
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = quality_rules.assess(docs).where("not base_failed").collect()
+    assert len(seen) > 800 and all(r.kept for r in seen)
+
+
+def test_empty_long_and_clashing(spark):
+    assert quality_rules.assess(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = " ".join(f"word{i} of text" for i in range(100_000))
+    got = quality_rules.assess(spark.createDataFrame([(1, long, 1), (None, None, 2)], "doc_id long, text string, KEPT int")).collect()
+    assert [(r.doc_id, r.n_words) for r in got] == [(1, 300_000), (None, 0)]
+
+
 def _labelled(spark, n=240):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choice(["river", "stone", "morning", "walk", "quiet", "letter"]) for _ in range(40))
