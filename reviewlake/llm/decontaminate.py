@@ -91,6 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     A null text or item has no words; an item of fewer words than a window is one window; a repeated item counts once, an
     item without id makes hits but no item. Rows that repeat an id each give a row.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     windows = stored(item_windows(benchmark, window), "benchmark-windows")
     # Numbered where they lie, as they are written: no task sees all terms.

@@ -394,6 +394,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page has the empty text. Pages without a host are aligned with one another. A page that repeats another's
     texts counts once where template is told from content, so copies of an article don't make it template.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     rows = parsed(pages)
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"))

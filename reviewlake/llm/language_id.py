@@ -205,6 +205,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if no row is labelled. Rows that repeat
     an id each give a row. The language column is read for training only.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     model = fit(docs)
     plain = pick(docs, doc_id="long", text="string").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

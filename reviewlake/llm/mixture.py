@@ -92,6 +92,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     all sources are ordered (documents of a block by ``rank``). A source gets whole passes while its quota lasts, then the
     documents of one more pass, in its order, of which the tokens before are below what is left. A null source is a source
     of its own; a text without a token is never drawn; equal rows are drawn each. Ties in the order fall to the id, then text.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     rows = pick(docs, doc_id="long", text="string", source="string")
     rows = rows.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), F.md5(F.col("text").cast("binary")).alias("text_key"),

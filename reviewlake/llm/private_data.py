@@ -393,6 +393,7 @@ def find_private(docs: DataFrame, field: SemiMarkovField | None = None) -> DataF
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans), spans (all spans).
 
     A null text is empty. Rows that repeat an id each give a row. Places count code points.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     weights = docs.sparkSession.sparkContext.broadcast((field or fit(docs)).weights)
 

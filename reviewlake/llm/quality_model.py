@@ -177,6 +177,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels may be null, repeated (the lower one counts) or of one class only (the bias alone decides then). A null or blank
     text gets the score of the bias. Rows that repeat an id each give a row.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     found = scored(pick(docs, doc_id="long", text="string"), fit(docs, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -147,6 +147,7 @@ def assess(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary: st
     """Per row: doc_id, the base counts, base_failed, kept, and the measures behind the verdict.
 
     A null or blank text has no words and fails the base rules. Rows that repeat an id each give a row.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     limits = bands or BANDS
     kinds = [("doc_id", "long"), ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),

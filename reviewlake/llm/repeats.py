@@ -1,9 +1,9 @@
-"""Removal of repeated passages by seed and extend on winnowed anchors.
+"""Removal of repeated passages by windows on winnowed anchors.
 
 Seeds are five-word shingles. Every window of the threshold length has one anchor, the least shingle hash inside it, so
-equal windows always share their anchor. Documents meet on anchors that occur in two documents or more; around those the
-match is extended both ways, window by window, as long as the words agree with some smaller document. Overlapping windows
-make up the maximal repeats. A frequent anchor is only ever compared through minima, never as pairs of documents.
+equal windows always share their anchor. On anchors that occur in two documents or more the windows around them are hashed and
+grouped, and a window goes if a document with a smaller id has it too; overlapping windows make up the passages. No match is
+extended from a pair of documents: a frequent anchor is only ever compared through minima, never as pairs.
 """
 
 from __future__ import annotations
@@ -111,6 +111,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     Words are runs without ASCII white space. A window of 13 words goes if it also starts in a document with a smaller id;
     all windows are judged on the input. A null text has no words. A row with a null id neither removes nor loses words.
     Rows that repeat an id don't remove each other's words; equal rows give equal results.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     plain = pick(docs, doc_id="long", text="string")
     found = repeated_windows(plain)

@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     A null or blank text has fingerprint zero and is linked like any other. Rows that repeat an id each give a row. A row
     with a null id takes part in the links; its component is named by the least other id, null if there is none.
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     rows = stored(fingerprints(docs, {id_column: "long"}, text), "simhash-rows")
     return components(rows, id_column).select(

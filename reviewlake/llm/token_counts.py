@@ -219,7 +219,10 @@ def counter(vocabulary: str = VOCABULARY) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_tokens, over_limit. A null text is empty. Rows that repeat an id each give a row."""
+    """Per row: doc_id, n_bytes, n_tokens, over_limit. A null text is empty. Rows that repeat an id each give a row.
+
+    Very long texts are worked whole, an empty table gives no rows, and other columns, whatever their names, are not read.
+    """
     def run(source):
         counts = counter(vocabulary)
         for batch in source:
