@@ -142,42 +142,48 @@ def changed_lines(declared: Column, parsed: Column, n_lines: Column) -> Column:
 # --- splitting an oversized diff -------------------------------------------------------------------
 
 
-def _repeated_head(header: Column, continued: Column, hunk: Column, room: Column) -> Column:
-    """What stands before a cut piece: header, mark and hunk line, shortened so that they never fill ``room``."""
-    whole = _joined(F.when(continued, K.SPLIT_MARKER).otherwise(""), hunk)
-    tail = F.when(F.length(whole) + 1 < room, whole).when(F.length(hunk) + 1 < room, hunk).otherwise("")
-    left = F.greatest(F.lit(0), F.floor(room - 2 - F.when(tail != "", F.length(tail) + 1).otherwise(0))).cast("int")
-    text = _joined(F.substring(header, F.lit(1), left), tail)
-    return F.when((room <= 1) | (text == ""), "").otherwise(F.concat(text, F.lit("\n")))
+def _lead(header: Column, options: list[Column], room: Column) -> Column:
+    """What a cut piece begins with: the header, then the longest option that leaves room for text. The header gives way first."""
+    after = F.get(F.filter(F.array(*options, F.lit("")), lambda t: (t == "") | (F.length(t) < room - 1)), F.lit(0))
+
+    def lines(after: Column) -> Column:
+        taken = F.length(after) + F.when(after == "", 2).otherwise(3)
+        text = _joined(F.substring(header, F.lit(1), F.greatest(F.lit(0), F.floor(room - taken)).cast("int")), after)
+        return F.when((text != "") & (room > 1), F.concat(text, F.lit("\n"))).otherwise("")
+
+    return _let(after, lines)
 
 
 def _cut(header: Column, unit: Column, room: Column, continued: Column) -> Column:
-    """An oversized unit in pieces of ``room`` characters; hunk lines repeat with the number of the line the piece begins in."""
+    """An oversized unit in pieces of ``room`` characters. Later pieces repeat the hunk's line, with the number of the line they begin in.
+
+    Each piece begins with a text whose length its place alone decides but for the digits of that number, so places are folded
+    first, as numbers, and the texts are taken from them.
+    """
     hunk = F.coalesce(F.get(F.filter(_lines(unit), lambda x: x.startswith("@@")), F.lit(0)), F.lit(""))
-    pattern = r"^(@@ -\d+(?:,\d+)? )\+\d+((?:,\d+)? @@.*)$"
-
-    def head_at(offset: Column) -> Column:
-        before = _lines(F.substring(unit, F.lit(1), offset))
-        passed = F.filter(F.slice(before, F.lit(1), F.size(before) - 1), lambda x: x.rlike("^[+ ]"))
-        number = F.greatest(F.lit(1), F.coalesce(F.regexp_extract(hunk, f"^{HEADER}", 1).try_cast("int"), F.lit(1)) + F.size(passed))
-        there = F.when((offset > 0) & (hunk != ""), F.when(
-            hunk.rlike(pattern), F.concat(F.regexp_extract(hunk, pattern, 1), F.lit("+"), number.cast("string"), F.regexp_extract(hunk, pattern, 2))
-        ).otherwise(hunk)).otherwise("")
-        return _repeated_head(header, continued | (offset > 0), there, room)
-
-    # The longest head leaves the shortest step, which bounds the number of pieces.
-    longest = F.length(_repeated_head(header, F.lit(True), F.when(hunk != "", F.concat(hunk, F.lit("0" * 10))).otherwise(""), room))
-    shortest = F.greatest(F.lit(1), F.floor(room - longest))
-    start = F.struct(F.lit(0).alias("offset"), F.array().cast("array<string>").alias("pieces"))
-
-    def step(state: Column, _: Column) -> Column:
-        at = state["offset"]
-        more = _let(head_at(at), lambda head: F.struct(
-            (at + F.greatest(F.lit(1), F.floor(room - F.length(head))).cast("int")).alias("offset"),
-            F.concat(state["pieces"], F.array(F.concat(head, F.substring(unit, at + 1, F.greatest(F.lit(1), F.floor(room - F.length(head))).cast("int"))))).alias("pieces")))
-        return F.when(at < F.length(unit), more).otherwise(state)
-
-    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.length(unit) / shortest).cast("int") + 1), start, step)["pieces"]
+    numbered = hunk.rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
+    digits = F.regexp_extract(hunk, r"\+(\d+)", 1)
+    from_line = F.coalesce(F.regexp_extract(hunk, f"^{HEADER}", 1).try_cast("int"), F.lit(1))
+    at_plus = F.instr(hunk, "+")
+
+    def lead(offset: Column) -> Column:
+        # Lines of the new file that end before the piece.
+        passed = F.regexp_count(F.substring(unit, F.lit(1), offset), F.lit(r"(?m)^[+ ].*\n"))
+        line = F.when(numbered, F.overlay(hunk, F.greatest(F.lit(1), from_line + passed).cast("string"), at_plus + 1, F.length(digits))).otherwise(hunk)
+        line = F.when(offset > 0, line).otherwise("")
+        mark = F.when(continued | (offset > 0), K.SPLIT_MARKER).otherwise("")
+        return _lead(header, [_joined(mark, line), line], room)
+
+    def size(offset: Column) -> Column:
+        return F.greatest(F.lit(1), F.floor(room - F.length(lead(offset)))).cast("int")
+
+    # The longest lead leaves the shortest step, which bounds the number of pieces.
+    longest = F.length(_lead(header, [_joined(F.lit(K.SPLIT_MARKER), F.concat(hunk, F.lit("0" * 10))), F.concat(hunk, F.lit("0" * 10))], room))
+    steps = F.ceil(F.length(unit) / F.greatest(F.lit(1), F.floor(room - longest))).cast("int") + 1
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    folded = F.aggregate(F.sequence(F.lit(1), steps), start, lambda state, _: F.when(state["at"] < F.length(unit), F.struct(
+        (state["at"] + size(state["at"])).alias("at"), F.concat(state["places"], F.array(state["at"])).alias("places"))).otherwise(state))
+    return F.transform(folded["places"], lambda at: F.concat(lead(at), F.substring(unit, at + 1, size(at))))
 
 
 def split_diff(diff: Column | str, token_budget: Column) -> Column:
