@@ -11,6 +11,10 @@ from reviewlake.operators.models import Embedder, embed
 from reviewlake.session import materialize
 
 BROADCAST_WORDS = 500_000
+#: Sets that hold one word, of either side, that a task compares with each other.
+BLOCK = 2_000
+#: Size of a set's bitmap in numbers of 64 bits.
+BITMAP_LONGS = 4
 
 
 def word_set(c: Column | str) -> Column:
@@ -27,14 +31,67 @@ def word_jaccard(a: Column | str, b: Column | str) -> Column:
     return set_jaccard(word_set(a), word_set(b))
 
 
+def word_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Words of both sides, a stored table: in how many sets of each side (``l_df``, ``r_df``) they stand."""
+    def words(df: DataFrame, is_left: bool) -> DataFrame:
+        return df.select(F.explode("words").alias("word"), F.lit(int(is_left)).alias("l"), F.lit(int(not is_left)).alias("r"))
+
+    counts = words(left, True).unionAll(words(right, False)).groupBy("word").agg(F.sum("l").alias("l_df"), F.sum("r").alias("r_df"))
+    return materialize(counts.where((F.col("l_df") > 0) & (F.col("r_df") > 0)), "word-counts")
+
+
+def candidate_sets(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs ``l, r`` of ``set_id`` that hold every pair of sets with a Jaccard similarity above ``threshold``.
+
+    Both sides hold one row per distinct word set: ``set_id, words``. Words are ordered by the pairs they would make (sets of the
+    left times sets of the right), so a word that one side lacks comes first and makes none. Two sets above the threshold share a word
+    within the first ``n - ceil(threshold * n) + 1`` of each; their first common word leaves them enough words behind it
+    (positional filter), and the bitmaps of the words that both sides know differ in no more bits than the words may (suffix filter).
+
+    A word of more than ``block`` sets is many join keys: each side is dealt to parts of about ``block`` rows, and every part of
+    the left meets every part of the right once.
+    """
+    counts = word_counts(left, right)
+    if counts.count() <= BROADCAST_WORDS:
+        counts = F.broadcast(counts)
+
+    def prefixes(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        n, known = F.col("n"), F.col("known")
+        words = df.select("set_id", F.size("words").alias("n"), F.explode("words").alias("word")).join(counts, "word").select(
+            "set_id", "n", "word", own, other, (F.col("l_df") * F.col("r_df")).alias("cost"), F.xxhash64("word").alias("hash"))
+        bit = F.expr("shiftleft(1L, cast(shiftright(hash, 32) & 63 AS int))")
+        # A set is one text's words, so the list is short.
+        ranked = words.groupBy("set_id", "n").agg(
+            F.sort_array(F.collect_list(F.struct("cost", "word", own, other))).alias("ranked"), F.count("*").alias("known"),
+            *(F.bit_or(F.when(F.pmod("hash", F.lit(BITMAP_LONGS)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"{name}_b{i}")
+              for i in range(BITMAP_LONGS)))
+        # Words that the other side lacks come first and fill places of the prefix.
+        places = (known - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+        carried = [f"{name}_n", f"{name}_known", *(f"{name}_b{i}" for i in range(BITMAP_LONGS))]
+        placed = ranked.where(places > 0).withColumnsRenamed({"set_id": name}).select(
+            name, n.alias(f"{name}_n"), known.alias(f"{name}_known"), *carried[2:],
+            F.posexplode(F.slice("ranked", F.lit(1), places)).alias(f"{name}_at", "w"))
+        parts = [F.ceil(F.col(f"w.{c}") / block).cast("int") for c in (own, other)]
+        return placed.select(
+            name, f"{name}_at", *carried, F.col("w.word").alias("word"), F.pmod(F.xxhash64(name), parts[0]).cast("int").alias(f"{own[0]}_part"),
+            F.explode(F.sequence(F.lit(0), parts[1] - 1)).alias(f"{other[0]}_part"))
+
+    need = (F.col("l_n") + F.col("r_n")) * (threshold / (1 + threshold)) - 1e-9
+    apart = sum((F.bit_count(F.col(f"l_b{i}").bitwiseXOR(F.col(f"r_b{i}"))) for i in range(BITMAP_LONGS)), F.lit(0))
+    return prefixes(left, "l", "l_df", "r_df").join(prefixes(right, "r", "r_df", "l_df"), ["word", "l_part", "r_part"]).where(
+        (F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * threshold - 1e-9)
+        & (F.least(F.col("l_known") - F.col("l_at"), F.col("r_known") - F.col("r_at")) >= need)
+        & (F.col("l_known") + F.col("r_known") - apart >= 2 * need)
+    ).select("l", "r").distinct()
+
+
 def best_word_matches(
-    left: DataFrame, right: DataFrame, threshold: float, left_id: str = "id", right_id: str = "id", text: str = "text"
+    left: DataFrame, right: DataFrame, threshold: float, left_id: str = "id", right_id: str = "id", text: str = "text", block: int = BLOCK
 ) -> DataFrame:
     """Per left row its most similar right row by word Jaccard above ``threshold``: ``id, match_id, similarity``.
 
     Exact set-similarity join. Equal word sets collapse to one first, so a block of copies is compared
-    once. Words are ordered from rare to common; two sets above the threshold must share one of the
-    first few, so only those are joined, with the length filter, and the candidates are then verified.
+    once; ``candidate_sets`` names the pairs that can be similar, and these are verified.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
@@ -49,29 +106,9 @@ def best_word_matches(
     targets = materialize(
         sets(right, right_id).groupBy("set_id").agg(F.min("id").alias("match_id"), F.first("words").alias("words")), "right-sets",
     ).where(F.size("words") > 0)
-
-    # Any total order of the words will do. Counting on the right side only makes a word it lacks the
-    # rarest of all: it fills a place in the prefix and can never match.
-    frequency = materialize(
-        targets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "word-counts")
-    if frequency.count() <= BROADCAST_WORDS:
-        frequency = F.broadcast(frequency)
-
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        n = F.size("words")
-        keep = n - F.ceil(n * threshold - 1e-9) + 1
-        words = df.select("set_id", n.alias("n"), keep.alias("keep"), F.explode("words").alias("word")).join(frequency, "word")
-        # A set is one text's words, so the list is short.
-        known = words.groupBy("set_id", "n", "keep").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("known"))
-        places = (F.col("keep") - (F.col("n") - F.size("known"))).cast("int")
-        return known.where(places > 0).select(
-            F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.explode(F.slice("known", F.lit(1), places)["word"]).alias("word"))
-
-    pairs = prefixes(sources, "l").join(prefixes(targets, "r"), "word").where(
-        (F.col("r_n") >= F.col("l_n") * threshold - 1e-9) & (F.col("l_n") >= F.col("r_n") * threshold - 1e-9)
-    ).select("l", "r").distinct()
     verified = (
-        pairs.join(sources.select(F.col("set_id").alias("l"), F.col("words").alias("lw")), "l")
+        candidate_sets(sources, targets, threshold, block)
+        .join(sources.select(F.col("set_id").alias("l"), F.col("words").alias("lw")), "l")
         .join(targets.select(F.col("set_id").alias("r"), F.col("words").alias("rw"), "match_id"), "r")
         .select("l", "match_id", set_jaccard(F.col("lw"), F.col("rw")).alias("similarity"))
         .where(F.col("similarity") > threshold)

@@ -12,7 +12,7 @@ from reviewlake.operators import planning as G
 from reviewlake.operators.knn import cell_plan, knn, knn_clustered
 from reviewlake.operators.models import HashedWords, classifier_udf, complete, embed, verify_relevance
 from reviewlake.operators.search import bm25, build_text_index, rrf
-from reviewlake.operators.similarity import best_word_matches, filter_dismissed
+from reviewlake.operators.similarity import best_word_matches, candidate_sets, filter_dismissed
 from reviewlake.operators.text_terms import dictionary_match, pattern_candidates
 from reviewlake.operators.topk import top_k
 
@@ -152,6 +152,36 @@ def test_best_word_matches_is_exact(spark):
         assert got.keys() == want.keys() and all(got[i] == want[i] for i in want)
 
 
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_best_word_matches_with_a_word_in_every_row(spark, block):
+    """One word stands in all rows of the left and many of the right; long sets fill the bitmaps, short ones barely use them."""
+    rng = random.Random(11)
+    vocab = [f"term{i}" for i in range(900)]
+    texts = [" ".join(["common", *rng.sample(vocab, rng.choice((1, 3, 8, 40, 600)))]) for _ in range(70)]
+    near = [" ".join(w for w in t.split() if rng.random() > 0.3) for t in texts[:25]]
+    left, right = list(enumerate(texts)), list(enumerate(near + texts[40:45] + [" ".join(rng.sample(vocab, 5)) for _ in range(20)] + ["", "a b"]))
+    a, b = spark.createDataFrame(left, "id int, text string"), spark.createDataFrame(right, "id int, text string")
+    jaccard = {(i, j): len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split())) for i, x in left for j, y in right if len(y) > 3}
+    for threshold in (0.3, 0.5, 0.7):
+        want = {}
+        for (i, j), s in sorted(jaccard.items()):
+            if s > threshold and s > want.get(i, (0, 0))[1]:
+                want[i] = (j, s)
+        got = {r["id"]: (r["match_id"], pytest.approx(r["similarity"])) for r in best_word_matches(a, b, threshold, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[i] == want[i] for i in want)
+
+
+def test_candidate_sets_are_few(spark):
+    rng = random.Random(3)
+    vocab = [f"term{i}" for i in range(300)]
+    side = [[(str(i), ["common", *rng.sample(vocab, 20)]) for i in range(200)] for _ in range(2)]
+    side[1][:20] = [(str(i), words[:18] + ["new"]) for i, (_, words) in enumerate(side[0][:20])]
+    left, right = (spark.createDataFrame(s, "set_id string, words array<string>") for s in side)
+    found = {(r["l"], r["r"]) for r in candidate_sets(left, right, 0.3).collect()}
+    want = {(i, j) for i, x in side[0] for j, y in side[1] if len(set(x) & set(y)) / len(set(x) | set(y)) > 0.3}
+    assert len(want) >= 20 and want <= found and len(found) <= 10 * len(want)
+
+
 def test_filter_dismissed_semantic(spark):
     issues = spark.createDataFrame([("a", "unused variable in loop"), ("b", "missing null check")], "id string, text string")
     gone = spark.createDataFrame([("d", "unused variable in loop")], "id string, text string")
