@@ -284,6 +284,12 @@ def test_diff_inventory(spark):
         ("a", "new"), ("b", "unchanged"), ("c", "changed"), ("d", "skipped_empty"), ("e", "deleted")]
 
 
+def test_diff_inventory_compares_each_version_of_a_path(spark):
+    now = spark.createDataFrame([("p", "a", "1"), ("p", "a", "2"), ("p", "a", "2")], P)
+    old = spark.createDataFrame([("p", "a", "1"), ("p", "a", "0")], P)
+    assert rows(R.diff_inventory(now, old), "content_hash", "status") == [("1", "unchanged"), ("2", "changed"), ("2", "changed")]
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("1", "p", "a"), ("2", "p", "b"), ("1", "q", "z")], "id string, project_path string, v string")
     new = spark.createDataFrame([("1", "p", "A"), ("3", "p", "c"), ("1", "p", "AA")], "id string, project_path string, v string")
