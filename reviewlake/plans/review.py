@@ -19,12 +19,17 @@ from reviewlake.session import materialize
 def plan_contexts(files: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the context plan of each changed file: mode, reason, diff / full / context / total tokens.
 
-    ``files``: keys, file_path, content, diff, language. Only files shown in part have windows rendered.
+    ``files``: keys, file_path, content, diff, language. Only files shown in part have windows rendered. A path may come several
+    times: every row is planned by itself, and ``row_id`` tells them apart, in the order of path and text.
     """
-    sized = files.withColumn("diff_tokens", estimate_tokens("diff")).withColumn("full_tokens", estimate_tokens("content"))
-    # The knapsack works on the token counts alone; texts join back by key.
-    plans = G.plan_file_context(sized.select(*keys, "file_path", "full_tokens", "diff_tokens"), keys, "file_path")
-    rows = sized.join(plans.select(*keys, "file_path", "mode", "reason"), [*keys, "file_path"])
+    text = F.md5(F.concat_ws("\0", "diff", "content", "language"))
+    row_id = F.concat_ws("\0", "file_path", text, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    # Stored, as the numbers of equal rows must stay the same between the passes.
+    numbered = materialize(files.withColumn("row_id", row_id), "review-files")
+    sized = numbered.withColumn("diff_tokens", estimate_tokens("diff")).withColumn("full_tokens", estimate_tokens("content"))
+    # The knapsack works on the token counts alone; texts join back by row.
+    plans = G.plan_file_context(sized.select(*keys, "row_id", "full_tokens", "diff_tokens"), keys, "row_id")
+    rows = sized.join(plans.select("row_id", "mode", "reason"), "row_id")
     declared = F.array().cast("array<int>")
     focused = D.focused_context(
         F.col("content"), F.col("language"), declared, F.col("diff"), F.col("reason"), F.lit(K.CONTEXT_RADIUS), F.lit(None).cast("double"))
@@ -70,8 +75,10 @@ def chunked_review_plan(files: DataFrame, keys: list[str], budget: int = K.CHUNK
     decision = materialize(G.pr_token_estimate(planned.withColumnRenamed("context_tokens", "planned_tokens"), keys), "decisions")
     large = decision.where("should_chunk").select(*keys)
     split = split_oversized(planned.join(large, keys, "left_semi"), budget).withColumn("change_size", C.change_size("diff"))
-    order = [directory_of("file_path"), F.col("change_size").desc(), F.col("file_path"), F.col("part")]
-    packed = G.pack_files(split, keys, order, "tokens", budget)
+    order = [directory_of("file_path"), F.col("change_size").desc(), F.col("row_id"), F.col("part")]
+    # Packing needs the sizes alone; stored, so that no text is split or rendered twice.
+    sizes = materialize(split.select(*keys, "file_path", "row_id", "mode", "part", "n_parts", "tokens", "change_size"), "split-files")
+    packed = G.pack_files(sizes, keys, order, "tokens", budget)
     small = planned.join(large, keys, "left_anti").select(
         *keys, "file_path", "mode", F.lit(1).alias("part"), F.lit(1).alias("n_parts"), F.col("total_tokens").alias("tokens"), F.lit(1).cast("long").alias("chunk_id"))
     return decision, packed.select(*keys, "file_path", "mode", "part", "n_parts", "tokens", "chunk_id").unionByName(small)

@@ -211,6 +211,13 @@ def test_chunked_review_plan(spark):
     assert sums.where("t > 2000 AND n > 1").count() == 0
 
 
+def test_chunked_review_plan_counts_each_row_of_a_path_once(spark):
+    data = [(1, "README.md", f"text {i % 3}", f"@@ -1 +1 @@\n+text {i % 3}", "text") for i in range(6)]
+    df = spark.createDataFrame(data, "pr int, file_path string, content string, diff string, language string")
+    decision, plan = V.chunked_review_plan(df, ["pr"], 2000)
+    assert rows(decision, "pr", "n_files", "full_tokens") == [(1, 6, 12)] and plan.count() == 6
+
+
 def test_report_writers(spark, tmp_path):
     files = spark.createDataFrame(
         [("a.py", True, False, False, None, "fine", "python"), ("b.py", False, False, False, "boom", None, None), ("c.py", True, True, False, None, None, None)],
