@@ -196,6 +196,16 @@ def test_unified_context(spark):
     assert one.groupBy("query_id").count().where("count > 3").count() == 0
 
 
+def test_equal_custom_chunks_go_by_id(spark):
+    # The second vector is the first but for the last bits of one component.
+    chunks = spark.createDataFrame([(2, "/w", "R", "x", [0.6, 0.8 + 1e-12]), (1, "/w", "R", "x", [0.6, 0.8])],
+                                   "id int, project_path string, document_title string, content string, embedding array<double>")
+    q = spark.createDataFrame([(1, "/w", "a.js", [0.0, 1.0], "Unknown", [], [])],
+                              "query_id int, project_path string, path string, vector array<double>, area string, tech array<string>, keywords array<string>")
+    got = find_custom_chunks(q, chunks, rerank=False, embedder=E)
+    assert rows(got, "rank", "id") == [(1, 1), (2, 2)]
+
+
 def test_chunked_review_plan(spark):
     big = "\n".join(f"row {i} of a long source file" for i in range(4000))
     diff = "diff --git a b\n" + "\n".join(f"@@ -{i},1 +{i},2 @@\n+changed {i}" for i in range(1, 4000, 40))
