@@ -191,6 +191,18 @@ def test_filter_dismissed_semantic(spark):
     assert matches.first()["similarity"] == pytest.approx(1.0, abs=1e-6)
 
 
+def test_filter_dismissed_compares_unit_vectors_as_stored(spark):
+    class Stored(HashedWords):
+        def __call__(self, texts):
+            return np.array([[1.0, 0.0] if t == "a" else [0.4000001, 0.9165151] for t in texts])
+
+    a = spark.createDataFrame([("i", "a")], "id string, text string")
+    d = spark.createDataFrame([("d", "b")], "id string, text string")
+    w = np.array([0.4000001, 0.9165151], dtype=np.float32).astype(float)
+    _, matches = filter_dismissed(a, d, 0.5, Stored(2))
+    assert matches.first()["similarity"] == pytest.approx(1 - (((1 - w[0]) ** 2 + w[1] ** 2) / 4), abs=2e-10)
+
+
 # --- models ----------------------------------------------------------------------------------------
 
 
