@@ -11,6 +11,7 @@ from reviewlake.operators import history as H
 from reviewlake.operators import planning as G
 from reviewlake.operators.knn import cell_plan, knn, knn_clustered
 from reviewlake.operators.findings import format_context_items
+from reviewlake.operators.keyfiles import validate_key_files
 from reviewlake.operators.models import HashedWords, classifier_udf, complete, embed, verify_relevance
 from reviewlake.operators.search import bm25, build_text_index, rrf
 from reviewlake.operators.similarity import best_word_matches, candidate_sets, filter_dismissed
@@ -318,6 +319,12 @@ def test_upsert_is_idempotent(spark):
     assert rows(R.upsert(once, new, order=[F.col("v").desc()]), "id", "v") == rows(once, "id", "v")
 
 
+def test_validate_key_files_counts_a_path_once(spark):
+    keys = spark.createDataFrame([("p", "a"), ("p", "b")], "project_path string, path string")
+    live = spark.createDataFrame([("p", "a")] * 3, "project_path string, path string")
+    assert rows(validate_key_files(keys, live), "path", "rediscover") == [("a", True)]
+
+
 def test_prune_is_a_fixpoint(spark):
     old = spark.createDataFrame([("p", "a", "file"), ("p", "b", "file"), ("p", "s", "directory-structure"), ("p", None, "file")],
                                 "project_path string, path string, type string")
