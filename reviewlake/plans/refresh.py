@@ -46,14 +46,16 @@ def chunk_documents(files: DataFrame) -> DataFrame:
 def refresh_files(
     files: DataFrame, stored: DataFrame, embedder: Embedder, mode: str = "full", embedding_lines: int = K.EMBEDDING_TRUNCATE_LINES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(new file table, status per path). ``stored`` is the current file table of these projects.
+    """(new file table, status per row of ``files`` and deleted path). ``stored`` is the current file table of these projects.
 
+    ``files`` may hold several versions of a path: each is compared, embedded and kept by its own hash.
     ``embedding_lines``: lines of a code file that the embedding model is given."""
     now = files.withColumn("content_hash", T.short_hash("content")).withColumn("is_empty", T.is_blank("content"))
     inventory = materialize(
         R.diff_inventory(now, stored.where((F.col("type") != R.STRUCTURE_TYPE) & F.col("path").isNotNull()).select(*R.FILE_KEYS, "content_hash")),
         "inventory")
-    todo = now.join(inventory.where(F.col("status").isin("new", "changed")).select(*R.FILE_KEYS), R.FILE_KEYS, "left_semi")
+    versions = [*R.FILE_KEYS, "content_hash"]
+    todo = now.join(inventory.where(F.col("status").isin("new", "changed")).select(*versions), versions, "left_semi")
     # The whole text is stored and searched; only what the embedding model is given of a code file has a limit of lines.
     given = F.when(B.is_documentation("path"), F.col("content")).otherwise(T.truncate_lines("content", embedding_lines, "embedding"))
     made = todo.select(
@@ -61,13 +63,20 @@ def refresh_files(
         "project_path", P.language_from_extension(P.extension("path")).alias("language"), "content_hash", "last_modified")
     made = materialize(embed(made, "__given", "vector", embedder).drop("__given"), "embedded-files")
     fresh = made.where("vector IS NOT NULL")
-    # Old versions go only when their replacement was embedded.
-    outdated = inventory.where("status = 'changed'").join(fresh.select(*R.FILE_KEYS), R.FILE_KEYS, "left_semi")
-    table = R.upsert(stored.join(outdated.select(*R.FILE_KEYS), R.FILE_KEYS, "left_anti"), fresh, ["id", "project_path"])
+    failed = made.where("vector IS NULL").select(*versions, F.lit(True).alias("failed")).distinct()
+    live = inventory.where(~F.col("status").isin("deleted", "skipped_empty")).select(*versions)
+    # Old versions go only when their replacement was embedded; a version that is current stays beside the new one.
     if mode == "full":
-        table = R.prune_files(table, inventory.where(~F.col("status").isin("deleted", "skipped_empty")))
-    failed = made.where("vector IS NULL").select(*R.FILE_KEYS, F.lit(True).alias("failed"))
-    status = inventory.join(failed, R.FILE_KEYS, "left").select(
+        settled = live.join(failed.join(fresh, R.FILE_KEYS, "left_anti"), R.FILE_KEYS, "left_anti")
+    else:
+        settled = inventory.where("status = 'changed'").join(fresh, R.FILE_KEYS, "left_semi")
+    old = stored.where((F.col("type") != R.STRUCTURE_TYPE) & F.col("path").isNotNull()).select("id", *versions)
+    outdated = old.join(settled.select(*R.FILE_KEYS), R.FILE_KEYS, "left_semi").join(live, versions, "left_anti")
+    keys = ["id", "project_path"]
+    table = R.upsert(stored.join(outdated.select(*keys), keys, "left_anti"), fresh, keys)
+    if mode == "full":
+        table = R.prune_files(table, live)
+    status = inventory.join(failed, versions, "left").select(
         *R.FILE_KEYS,
         F.when(F.col("failed"), "failed_embedding").when(F.col("status").isin("new", "changed"), "processed")
         .when(F.col("status") == "unchanged", "skipped_unchanged").otherwise(F.col("status")).alias("status"))

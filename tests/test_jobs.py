@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reviewlake.operators.models import HashedWords
 from reviewlake.plans import history as S
 from reviewlake.plans import review as V
-from reviewlake.plans.refresh import refresh_corpus
+from reviewlake.plans.refresh import refresh_corpus, refresh_files
 from reviewlake.plans.retrieval import find_custom_chunks, find_similar_code, unified_context
 from reviewlake.sources import landed as L
 from reviewlake.sources.corpus import SCHEMAS, Corpus, check_clearable
@@ -275,6 +275,16 @@ def test_stream_comments_is_idempotent(spark, tmp_path):
     assert [(r["id"], r["comment_text"], r["issue_category"]) for r in got] == [("1", "edited, sanitize", "security")]
 
 
+def test_refresh_files_keeps_each_version_of_a_path(spark):
+    now = spark.createDataFrame([("/w/p", "R.md", t, "1") for t in ("one", "two", " ")], FILES)
+    fresh, _ = refresh_files(now, Corpus(spark, "/nowhere").table("file_embeddings"), E)
+    assert rows(fresh, "path", "content") == [("R.md", "one"), ("R.md", "two")]
+    stored = fresh.where("content = 'one'").unionByName(fresh.where("content = 'one'").withColumn("id", F.lit("R.md#old")).withColumn("content_hash", F.lit("old")))
+    table, status = refresh_files(now, stored, E)
+    assert rows(table, "path", "content", "id") == rows(fresh, "path", "content", "id")
+    assert rows(status, "status") == [("processed",), ("skipped_empty",), ("skipped_unchanged",)]
+
+
 def test_stream_documents(spark, tmp_path):
     (tmp_path / "in").mkdir()
     corpus = Corpus(spark, str(tmp_path / "c"))
