@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.operators.knn import within
 from reviewlake.operators.models import HashedWords
 from reviewlake.plans import history as S
+from reviewlake.plans import retrieval
 from reviewlake.plans import review as V
 from reviewlake.plans.refresh import refresh_corpus, refresh_files
 from reviewlake.plans.retrieval import find_custom_chunks, find_similar_code, unified_context
@@ -275,6 +277,25 @@ def test_stream_comments_is_idempotent(spark, tmp_path):
     assert [(r["id"], r["comment_text"], r["issue_category"]) for r in got] == [("1", "edited, sanitize", "security")]
 
 
+def test_documents_of_one_kind_send_no_more_than_the_limit(spark, monkeypatch):
+    sent = []
+
+    def counted(*args, **kwargs):
+        out = within(*args, **kwargs)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "within", counted)
+    data = [(i, "/w", f"docs/g{i}.md", "Guide", "", f"x{i}", [1.0, i / 10]) for i in range(30)]
+    chunks = spark.createDataFrame(data, "id int, project_path string, original_document_path string, document_title string, heading_text string, content string, vector array<double>")
+    contexts = chunks.select("project_path", F.col("original_document_path").alias("path"), F.lit("Guide").alias("title"), F.lit(False).alias("generic"),
+                             F.lit("Backend").alias("doc_area"), F.array(F.lit("x")).alias("doc_tech"), F.lit(False).alias("readme_style"))
+    q = spark.createDataFrame([(1, "/w", "docs/q.js", "x", [1.0, 0.0], "Backend", ["x"])],
+                              "query_id int, project_path string, path string, text string, vector array<double>, area string, tech array<string>")
+    got = retrieval.find_relevant_docs(q, chunks, contexts, 4, 0.05, embedder=E)
+    assert rows(got, "rank", "id") == [(1, 0), (2, 1), (3, 2), (4, 3)] and sent == [4]
+
+
 def test_refresh_files_keeps_each_version_of_a_path(spark):
     now = spark.createDataFrame([("/w/p", "R.md", t, "1") for t in ("one", "two", " ")], FILES)
     fresh, _ = refresh_files(now, Corpus(spark, "/nowhere").table("file_embeddings"), E)
