@@ -10,6 +10,7 @@ from reviewlake.plans import retrieval
 from reviewlake.plans import review as V
 from reviewlake.plans.refresh import refresh_corpus, refresh_files
 from reviewlake.plans.retrieval import find_custom_chunks, find_similar_code, unified_context
+from reviewlake.queries.registry import Tables
 from reviewlake.sources import landed as L
 from reviewlake.sources.corpus import SCHEMAS, Corpus, check_clearable
 from reviewlake.sources.files import expand_patterns, load_exclusions, scan_files
@@ -332,6 +333,20 @@ def test_stream_documents_stores_equally_new_versions(spark, tmp_path):
     assert rows(corpus.table("file_embeddings"), "content") == [("one",), ("two",)]
 
 
+def test_a_table_streams_from_a_file_and_from_a_folder(spark, tmp_path):
+    import shutil
+
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "folder/t.parquet"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    shutil.copy(next((tmp_path / "one").glob("*.parquet")), tmp_path / "file/t.parquet")
+    for kind in ("folder", "file"):
+        out = str(tmp_path / f"out-{kind}")
+        Tables(spark, str(tmp_path / kind)).stream("t").writeStream.option("checkpointLocation", str(tmp_path / f"ck-{kind}")).trigger(
+            availableNow=True).format("parquet").start(out).awaitTermination()
+        assert rows(spark.read.parquet(out), "id") == [(i,) for i in range(7)]
+
+
 def test_a_job_may_start_from_any_folder(tmp_path):
     """The workers get the package from the session, not from the folder the driver runs in."""
     import os
