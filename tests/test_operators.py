@@ -51,6 +51,40 @@ def test_knn_is_exact(spark, plan, block):
     assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == brute(data, 4)
 
 
+def test_knn_over_several_tiles(spark, monkeypatch):
+    from reviewlake.operators import knn as N
+
+    data = vectors(spark, 160)
+    df = spark.createDataFrame(data, "id int, tenant string, vector array<float>")
+    want = brute([(r["id"], r["tenant"], r["vector"]) for r in df.collect()], 4)
+    monkeypatch.setattr(N, "TILE_FLOATS", 1)
+    monkeypatch.setattr(N, "MIN_SLICE_ROWS", 8)
+    got = knn(df, df, 4, query_id="id", tenant="tenant", plan="blocks", block_rows=40, query_block_rows=20)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_small_cells_share_tiles():
+    from reviewlake.operators.knn import _tiled
+
+    rng = np.random.default_rng(5)
+    pivots, sizes = rng.normal(size=(200, 8)), rng.integers(0, 60, 200)
+    sizes[7] = 900
+    tiles = _tiled(pivots, sizes, 500)
+    held = np.bincount(tiles, sizes)
+    assert held[tiles[7]] == 900 and np.delete(held, tiles[7]).max() <= 500
+    # Far fewer tiles than cells: a query travels once for each.
+    assert len(held) <= 2 * (sizes.sum() // 500) + 2
+
+
+def test_knn_orders_copies_by_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.6, 0.8]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>")
+    want = brute([(i, "", v) for i, v in rows], 5)
+    for plan in ("broadcast", "blocks"):
+        got = knn(df, df, 5, query_id="id", plan=plan, block_rows=16, query_block_rows=16)
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == want
+
+
 def test_knn_more_than_there_are(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "id int, vector array<double>")
     for plan in ("broadcast", "blocks"):
