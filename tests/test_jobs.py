@@ -363,3 +363,29 @@ def test_a_job_may_start_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("first", [1, 20])
+def test_comments_are_looked_through_from_the_nearest(spark, monkeypatch, first):
+    code = ["alpha beta gamma delta", "beta gamma epsilon", "alpha zeta"]
+    said = ["alpha", "beta missing", "gamma delta test", "unrelated words", "alpha beta", "zeta spec gamma", "delta", "epsilon alpha", "beta beta test"]
+    files = spark.createDataFrame([(i, "/p", t, i == 1) for i, t in enumerate(code)], "query_id int, project_path string, content string, is_test boolean")
+    notes = [(f"c{i}", "/p", t, "a.test.js" if i == 4 else None) for i, t in enumerate(said)]
+    notes = spark.createDataFrame(notes, "id string, project_path string, comment_text string, file_path string")
+    notes = retrieval.embed(notes, "comment_text", "combined_embedding", E)
+    vectors = {t: E([t])[0] for t in code + said}
+    want = set()
+    for i, c in enumerate(code):
+        near = []
+        for j, t in enumerate(said):
+            fits = i != 1 or "test" in t or "spec" in t or j == 4
+            d = round(float(((vectors[c].astype("float32").astype(float) - vectors[t].astype("float32").astype(float)) ** 2).sum()), 9)
+            if fits and d <= 1.9 and any(len(w) > 2 and w in c for w in t.split()):
+                near.append((d, f"c{j}"))
+        want |= {(i, c_id, rank) for rank, (_, c_id) in enumerate(sorted(near)[:2], 1)}
+    monkeypatch.setattr(retrieval, "FIRST_NEAREST", first)
+    if first > 1:
+        # The nearest suffice: nothing is left open for a radius join of all pairs.
+        monkeypatch.setattr(retrieval, "within", None)
+    got = retrieval.find_relevant_comments(files, notes, 2, max_distance=1.9, embedder=E)
+    assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == want
