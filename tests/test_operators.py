@@ -591,3 +591,14 @@ def test_render_issue_with_code(spark):
     text = df.select(N.render_issue(df).alias("t")).first()["t"]
     assert text.startswith("- **[HIGH] \U0001F525 (Lines: 3)**: d") and "(lines 1-2):**" in text and "  x\n  y\n  ```" in text
     assert "New:\n      x\n      y" in df.select(N.render_issue(df, "text").alias("t")).first()["t"]
+
+
+def test_scorers_work_a_text_out_once(spark):
+    from reviewlake.operators.models import dictionary_technologies, keyword_scores
+
+    df = spark.createDataFrame([(1, "The Database and the API"), (2, "databases, react react"), (3, None)], "id int, text string")
+    out = df.select("id", keyword_scores("text").alias("d"), dictionary_technologies(("React", "the"))("text").alias("t"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("coalesce(text") == 1 and plan.count("regexp_extract_all(") == 1
+    got = {r["id"]: ([x["domain"] for x in r["d"]], [(x["technology"], round(x["confidence"], 3)) for x in r["t"]]) for r in out.where("id < 3").collect()}
+    assert got == {1: (["database", "API"], [("the", 0.667)]), 2: ([], [("React", 0.667)])}
