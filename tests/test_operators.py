@@ -602,3 +602,16 @@ def test_scorers_work_a_text_out_once(spark):
     assert plan.count("coalesce(text") == 1 and plan.count("regexp_extract_all(") == 1
     got = {r["id"]: ([x["domain"] for x in r["d"]], [(x["technology"], round(x["confidence"], 3)) for x in r["t"]]) for r in out.where("id < 3").collect()}
     assert got == {1: (["database", "API"], [("the", 0.667)]), 2: ([], [("React", 0.667)])}
+
+
+def test_index_tasks_count_bounded_texts(spark, monkeypatch):
+    from reviewlake.operators import search
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} text{i} common") for i in range(200)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "word3 common"), (2, "text9")], "query_id int, text string")
+    want = {tuple(r) for r in search.bm25(asked, search.build_text_index(docs), 5).collect()}
+    monkeypatch.setattr(search, "PART_BYTES", 60)
+    index = search.build_text_index(docs)
+    # Tasks grow in number with the texts, not in size: no file holds the postings of more than a few documents.
+    assert len(index.postings.inputFiles()) > 4 * spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in search.bm25(asked, index, 5).collect()} == want
