@@ -154,32 +154,45 @@ def _cut(header: Column, unit: Column, room: Column, continued: Column) -> Colum
     """An oversized unit in pieces of ``room`` characters. Later pieces repeat the hunk's line, with the number of the line they begin in.
 
     Each piece begins with a text whose length its place alone decides but for the digits of that number, so places are folded
-    first, as numbers, and the texts are taken from them.
+    first, as numbers, and the texts are taken from them. The fold counts the lines that end before a piece as it goes.
     """
     hunk = F.coalesce(F.get(F.filter(_lines(unit), lambda x: x.startswith("@@")), F.lit(0)), F.lit(""))
-    numbered = hunk.rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
-    digits = F.regexp_extract(hunk, r"\+(\d+)", 1)
-    from_line = F.coalesce(F.regexp_extract(hunk, f"^{HEADER}", 1).try_cast("int"), F.lit(1))
-    at_plus = F.instr(hunk, "+")
-
-    def lead(offset: Column) -> Column:
-        # Lines of the new file that end before the piece.
-        passed = F.regexp_count(F.substring(unit, F.lit(1), offset), F.lit(r"(?m)^[+ ].*\n"))
-        line = F.when(numbered, F.overlay(hunk, F.greatest(F.lit(1), from_line + passed).cast("string"), at_plus + 1, F.length(digits))).otherwise(hunk)
-        line = F.when(offset > 0, line).otherwise("")
-        mark = F.when(continued | (offset > 0), K.SPLIT_MARKER).otherwise("")
-        return _lead(header, [_joined(mark, line), line], room)
-
-    def size(offset: Column) -> Column:
-        return F.greatest(F.lit(1), F.floor(room - F.length(lead(offset)))).cast("int")
-
-    # The longest lead leaves the shortest step, which bounds the number of pieces.
-    longest = F.length(_lead(header, [_joined(F.lit(K.SPLIT_MARKER), F.concat(hunk, F.lit("0" * 10))), F.concat(hunk, F.lit("0" * 10))], room))
-    steps = F.ceil(F.length(unit) / F.greatest(F.lit(1), F.floor(room - longest))).cast("int") + 1
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
-    folded = F.aggregate(F.sequence(F.lit(1), steps), start, lambda state, _: F.when(state["at"] < F.length(unit), F.struct(
-        (state["at"] + size(state["at"])).alias("at"), F.concat(state["places"], F.array(state["at"])).alias("places"))).otherwise(state))
-    return F.transform(folded["places"], lambda at: F.concat(lead(at), F.substring(unit, at + 1, size(at))))
+    head = lambda hunk: F.struct(
+        hunk.alias("line"), hunk.rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@").alias("numbered"), F.length(F.regexp_extract(hunk, r"\+(\d+)", 1)).alias("digits"),
+        F.coalesce(F.regexp_extract(hunk, f"^{HEADER}", 1).try_cast("int"), F.lit(1)).alias("from_line"), F.instr(hunk, "+").alias("at_plus"),
+        # The longest lead leaves the shortest step, which bounds the number of pieces.
+        F.length(_lead(header, [_joined(F.lit(K.SPLIT_MARKER), F.concat(hunk, F.lit("0" * 10))), F.concat(hunk, F.lit("0" * 10))], room)).alias("longest"))
+
+    def pieces(h: Column) -> Column:
+        def lead(at: Column, passed: Column) -> Column:
+            line = F.when(h["numbered"], F.overlay(h["line"], F.greatest(F.lit(1), h["from_line"] + passed).cast("string"), h["at_plus"] + 1, h["digits"]))
+            line = F.when(at > 0, line.otherwise(h["line"])).otherwise("")
+            mark = F.when(continued | (at > 0), K.SPLIT_MARKER).otherwise("")
+            return _lead(header, [_joined(mark, line), line], room)
+
+        def place(state: Column, _: Column) -> Column:
+            # Lines of the new file that end before a piece: of the text since the last line that was counted.
+            at, since, passed = state["at"], state["since"], state["passed"]
+            size = F.greatest(F.lit(1), F.floor(room - F.length(lead(at, passed)))).cast("int")
+
+            def after(size: Column) -> Column:
+                ended = F.substring(unit, at + 1, size).contains("\n")
+                seen = F.substring(unit, since + 1, at + size - since)
+                return F.struct(
+                    (at + size).alias("at"),
+                    F.when(ended, since + F.length(seen) - F.length(F.substring_index(seen, "\n", -1))).otherwise(since).alias("since"),
+                    (passed + F.when(ended, F.regexp_count(seen, F.lit(r"(?m)^[+ ].*\n"))).otherwise(0)).alias("passed"),
+                    F.concat(state["places"], F.array(F.struct(at.alias("at"), passed.alias("passed"), size.alias("size")))).alias("places"))
+
+            return F.when(at < F.length(unit), _let(size, after)).otherwise(state)
+
+        steps = F.ceil(F.length(unit) / F.greatest(F.lit(1), F.floor(room - h["longest"]))).cast("int") + 1
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("since"), F.lit(0).alias("passed"),
+                         F.array().cast("array<struct<at:int,passed:int,size:int>>").alias("places"))
+        folded = F.aggregate(F.sequence(F.lit(1), steps), start, place)
+        return F.transform(folded["places"], lambda p: F.concat(lead(p["at"], p["passed"]), F.substring(unit, p["at"] + 1, p["size"])))
+
+    return _let(_let(hunk, head), pieces)
 
 
 def split_diff(diff: Column | str, token_budget: Column) -> Column:
@@ -189,12 +202,13 @@ def split_diff(diff: Column | str, token_budget: Column) -> Column:
     """
     diff, budget = F.coalesce(col(diff), F.lit("")), col(token_budget)
     room = budget * F.lit(K.CHARS_PER_TOKEN)
-    first = F.concat(F.lit("\n"), diff)
-    pieces = F.split(first, r"\n(?=@@)", -1)
-    header = F.when(F.size(pieces) > 1, F.substring(pieces[0], 2, 1 << 30)).otherwise("")
-    units = F.when(F.size(pieces) > 1, F.slice(pieces, F.lit(2), F.greatest(F.lit(1), F.size(pieces) - 1))).otherwise(F.array(diff))
 
-    def parts(units: Column) -> Column:
+    def split(pieces: Column) -> Column:
+        header = F.when(F.size(pieces) > 1, F.substring(pieces[0], 2, 1 << 30)).otherwise("")
+        units = F.when(F.size(pieces) > 1, F.slice(pieces, F.lit(2), F.greatest(F.lit(1), F.size(pieces) - 1))).otherwise(F.array(diff))
+        return _let(header, lambda header: _let(units, lambda units: parts(header, units)))
+
+    def parts(header: Column, units: Column) -> Column:
         head = F.when(header != "", F.length(header) + 1).otherwise(0)
         # Part 0 has no mark of continuation.
         space = lambda k: room - head - F.when(k > 0, len(K.SPLIT_MARKER) + 1).otherwise(0)
@@ -208,20 +222,21 @@ def split_diff(diff: Column | str, token_budget: Column) -> Column:
             return F.struct(number.alias("k"), F.when(joins, used + 1 + size).when(cut, -1).otherwise(size).alias("used"),
                             F.concat(state["places"], F.array(F.struct(number.alias("k"), cut.alias("cut")))).alias("places"))
 
-        def texts(places: Column) -> Column:
-            rows = F.zip_with(units, places, lambda u, p: F.struct(p["k"].alias("k"), p["cut"].alias("cut"), u.alias("unit")))
-
-            def text(k: Column) -> Column:
-                own = F.filter(rows, lambda r: r["k"] == k)
+        def text(rows: Column, k: Column) -> Column:
+            def of(own: Column) -> Column:
                 body = F.array_join(F.transform(own, lambda r: r["unit"]), "\n")
-                return F.when(own[0]["cut"], _cut(header, own[0]["unit"], room, k > 0)).otherwise(
+                return F.when(own[0]["cut"], _let(own[0]["unit"], lambda unit: _cut(header, unit, room, k > 0))).otherwise(
                     F.array(_joined(header, F.when(k > 0, K.SPLIT_MARKER).otherwise(""), body)))
 
-            return F.flatten(F.transform(F.sequence(F.lit(0), F.element_at(places, -1)["k"]), text))
+            return _let(F.filter(rows, lambda r: r["k"] == k), of)
+
+        def texts(places: Column) -> Column:
+            rows = F.zip_with(units, places, lambda u, p: F.struct(p["k"].alias("k"), p["cut"].alias("cut"), u.alias("unit")))
+            return _let(rows, lambda rows: F.flatten(F.transform(F.sequence(F.lit(0), F.element_at(places, -1)["k"]), lambda k: text(rows, k))))
 
         return _let(F.aggregate(units, start, place)["places"], texts)
 
-    return F.when(_tokens(F.length(diff)) <= budget, F.array(diff)).otherwise(_let(units, parts))
+    return F.when(_tokens(F.length(diff)) <= budget, F.array(diff)).otherwise(_let(F.split(F.concat(F.lit("\n"), diff), r"\n(?=@@)", -1), split))
 
 
 # --- focused context of a changed file --------------------------------------------------------------

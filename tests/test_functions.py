@@ -315,6 +315,14 @@ def test_split_diff_cuts_a_huge_hunk(value):
     assert whole == diff[len("head\n"):] and starts == sorted(starts) and starts[-1] > 100
 
 
+def test_split_diff_reads_its_text_a_bounded_number_of_times(value):
+    """The split of the diff is worked out once, whatever refers to it; lines are counted from piece to piece."""
+    assert str(D.split_diff("diff", F.lit(9))).count("(?=@@)") == 1
+    lines = [f"+{'x' * 30}{i}" for i in range(2_000)]
+    parts = _split(value, "head\n@@ -1,1 +7,200 @@\n" + "\n".join(lines), 200)
+    assert len(parts) > 100 and int(re.match(r"head\n[^\n]*\n@@ -1,1 \+(\d+)", parts[-1])[1]) > 1_980
+
+
 @pytest.mark.parametrize("lines,total,radius,want", [
     ([5, 7, 50], 100, 2, [(3, 9), (48, 52)]), ([1], 3, 10, [(1, 3)]), ([3, 8], 100, 2, [(1, 10)]), ([3, 9], 100, 2, [(1, 5), (7, 11)]), ([], 10, 2, []),
 ])
