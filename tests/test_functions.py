@@ -279,6 +279,14 @@ def test_patch_code(value):
     assert at(None, 1) == (None, None)
 
 
+def test_white_space_is_taken_from_the_ends_only(value):
+    """A last line end that is no white space here (U+0085) ends no text."""
+    assert len(K.WS_CHARS) == 25 and all(re.fullmatch(f"[{K.WS}]", x) for x in K.WS_CHARS)
+    assert value(T.trim_ws(F.lit(f"{K.WS_CHARS}a b{K.WS_CHARS}"))) == "a b"
+    assert value(T.trim_ws(F.lit("a \x85"))) == "a \x85" and value(T.trim_ws(F.lit(None).cast("string"))) is None
+    assert value(T.slugify(F.lit(f" A{K.WS_CHARS}\u00e9 b--c! "))) == "a-b-c"
+
+
 def _split(value, diff, budget):
     return value(D.split_diff(F.lit(diff), F.lit(budget)))
 
