@@ -615,3 +615,18 @@ def test_index_tasks_count_bounded_texts(spark, monkeypatch):
     # Tasks grow in number with the texts, not in size: no file holds the postings of more than a few documents.
     assert len(index.postings.inputFiles()) > 4 * spark.sparkContext.defaultParallelism
     assert {tuple(r) for r in search.bm25(asked, index, 5).collect()} == want
+
+
+def test_python_workers_get_small_batches(spark, tmp_path):
+    """A query of whole texts hands them to Python in batches of few rows; the next query has its own number."""
+    from reviewlake.queries import registry
+
+    sizes = F.pandas_udf(lambda s: s * 0 + len(s), "long")
+    spark.range(0, 3000, 1, 1).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "test_batches"
+    try:
+        for rows in (registry.TEXT_BATCH_ROWS, registry.BATCH_ROWS):
+            registry.query(name, None, rows)(lambda t: t.documents.coalesce(1).select(sizes("id").alias("n")))
+            assert max(r.n for r in registry.QUERIES.pop(name)(spark, str(tmp_path)).collect()) == min(rows, 3000)
+    finally:
+        registry.QUERIES.pop(name, None)
