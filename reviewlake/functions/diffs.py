@@ -112,6 +112,26 @@ def parse_diff(diff: Column | str, removal_anchors: bool = False, hunk_fallback:
     return _let(diff_lines(diff), parsed)
 
 
+def changed_numbers(diff: Column | str) -> Column:
+    """The ``changed`` lines of ``parse_diff(diff, True, True)``, in no order: line numbers alone, without the lines' texts."""
+    def numbers(hunk: Column) -> Column:
+        marks = F.filter(F.transform(_lines(hunk), lambda x: F.substring(x, 1, 1)), lambda m: m.isin("-", "+", " "))
+
+        def of(start: Column, placed: Column) -> Column:
+            stays = F.transform(F.filter(placed, lambda p: p["mark"] != "-"), lambda p, rank: F.when(p["mark"] == "+", start + rank))
+            gone = F.transform(F.filter(placed, lambda p: p["mark"] == "-"), lambda p, rank: start + p["i"] - rank)
+            return F.concat(F.filter(stays, lambda n: n.isNotNull()), gone)
+
+        placed = F.transform(marks, lambda m, i: F.struct(m.alias("mark"), i.alias("i")))
+        return _let(_hunk_start(hunk), lambda start: _let(placed, lambda placed: of(start, placed)))
+
+    def changed(hunks: Column) -> Column:
+        found = _let(F.flatten(F.transform(hunks, numbers)), lambda n: F.when(F.size(n) > 0, n).otherwise(F.transform(hunks, _hunk_start)))
+        return F.transform(found, lambda n: F.greatest(F.lit(1), n))
+
+    return _let(_hunks(col(diff)), changed)
+
+
 def patch_code_at_line(patch: Column | str, line: Column | str) -> Column:
     """Struct(original, suggested): the first patch line standing at ``line`` of the new file.
 
@@ -262,9 +282,9 @@ def focused_context(
     """
     language, text = F.coalesce(col(language), F.lit("")), F.coalesce(col(content), F.lit(""))
     given = F.filter(F.coalesce(declared, F.array().cast("array<int>")), lambda n: n > 0)
-    found = F.concat(given, parse_diff(diff, True, True)["changed"])
+    found = F.concat(given, changed_numbers(diff))
 
-    def view(lines: Column) -> Column:
+    def view(lines: Column, found: Column) -> Column:
         total = F.size(lines)
         anchors = F.array_sort(F.array_distinct(F.transform(
             F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(1))), lambda n: F.least(F.greatest(n, F.lit(1)), total))))
@@ -303,15 +323,25 @@ def focused_context(
             """The first lines, each a window of its own, that fit together. A window costs ten tokens at the least."""
             singles = F.transform(F.slice(anchors, F.lit(1), F.greatest(F.lit(1), F.ceil(budget / 10).cast("int"))), lambda n: F.struct(
                 n.cast("int").alias("a"), n.cast("int").alias("b")))
-            prices = F.transform(singles, price)
-            sums = F.transform(prices, lambda _, i: cost(none) + F.aggregate(F.slice(prices, F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, x: n + x))
-            fit = F.size(F.filter(sums, lambda n: n <= budget))
-            return F.when(fit > 0, F.slice(singles, F.lit(1), F.greatest(F.lit(1), fit))).otherwise(none)
+
+            def fitting(prices: Column, base: Column) -> Column:
+                sums = F.transform(prices, lambda _, i: base + F.aggregate(F.slice(prices, F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, x: n + x))
+                fit = F.size(F.filter(sums, lambda n: n <= budget))
+                return F.when(fit > 0, F.slice(singles, F.lit(1), F.greatest(F.lit(1), fit))).otherwise(none)
+
+            return _let(F.transform(singles, price), lambda prices: _let(cost(none), lambda base: fitting(prices, base)))
+
+        def first(over: Column, kind: str, make: Callable[[Column], Column]) -> Column:
+            """The first of ``make`` that is not null; those behind it are not worked out."""
+            return F.aggregate(over, F.lit(None).cast(kind), lambda made, x: F.when(made.isNotNull(), made).otherwise(make(x)))
 
         def chosen(anchors: Column) -> Column:
-            fitting = F.filter(F.sequence(radius.cast("int"), F.lit(0)), lambda r: cost(line_windows(anchors, total, r)) <= budget)
-            return F.when(budget.isNull(), line_windows(anchors, total, radius)).when(budget <= 0, none).otherwise(
-                F.coalesce(_let(F.get(fitting, F.lit(0)), lambda r: F.when(r.isNotNull(), line_windows(anchors, total, r))), bare(anchors)))
+            # From this radius on the windows are the whole file.
+            gaps = F.transform(anchors, lambda n, i: F.coalesce(F.floor((F.get(anchors, i + 1) - n) / 2).cast("int"), F.lit(0)))
+            whole = F.greatest(anchors[0] - 1, total - F.element_at(anchors, -1), F.array_max(gaps))
+            fitting = first(F.sequence(F.least(radius.cast("int"), whole), F.lit(0)), "array<struct<a:int,b:int>>", lambda r: _let(
+                line_windows(anchors, total, r), lambda w: F.when(cost(w) <= budget, w)))
+            return F.when(budget.isNull(), line_windows(anchors, total, radius)).when(budget <= 0, none).otherwise(F.coalesce(fitting, bare(anchors)))
 
         def rendered(windows: Column) -> Column:
             inner = F.array_join(F.transform(windows, shown_window), "\n\n")
@@ -319,13 +349,14 @@ def focused_context(
 
         def trimmed(windows: Column) -> Column:
             """Without the last windows while the text as a whole is over the budget."""
-            heads = F.transform(F.sequence(F.size(windows), F.lit(0)), lambda k: F.when(k > 0, F.slice(windows, F.lit(1), F.greatest(k, F.lit(1)))).otherwise(none))
-            fits = F.filter(heads, lambda h: (_tokens(F.length(rendered(h))) <= budget) | (F.size(h) == 0))
-            return F.when(budget.isNull() | (_tokens(F.length(rendered(windows))) <= budget), rendered(windows)).otherwise(rendered(fits[0]))
+            head = lambda k: F.when(k > 0, F.slice(windows, F.lit(1), F.greatest(k, F.lit(1)))).otherwise(none)
+            fits = first(F.sequence(F.size(windows), F.lit(0)), "string", lambda k: _let(
+                rendered(head(k)), lambda t: F.when((_tokens(F.length(t)) <= budget) | (k == 0), t)))
+            return F.when(budget.isNull(), rendered(windows)).otherwise(fits)
 
         return _let(_let(anchors, chosen), trimmed)
 
-    return _let(_lines(text), view)
+    return _let(_lines(text), lambda lines: _let(found, lambda found: view(lines, found)))
 
 
 def full_context(content: Column | str, language: Column | str) -> Column:

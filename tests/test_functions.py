@@ -386,3 +386,23 @@ def test_paragraphs():
     assert [len(c["content"]) for c in chunks] == [802, 802, 400, 1500, 50]
     assert "\n\n".join(c["content"] for c in chunks) == text
     assert {c["total_chunks"] for c in chunks} == {5} and chunks[0]["section_start"]
+
+
+def test_focused_context_looks_at_no_radius_beyond_the_file(spark):
+    """Windows that are the whole file are priced once, however large the radius."""
+    content = "\n".join(f"line {i}" for i in range(1, 41))
+    diff = "@@ -1,2 +3,3 @@\n a\n+b\n-c\n@@ -9,2 +30,2 @@\n+d\n"
+    df = spark.createDataFrame([(radius, budget) for radius in (26, 40, 20_000_000) for budget in (2000.0, 120.0, 40.0)], "radius int, budget double")
+    text = D.focused_context(F.lit(content), F.lit("python"), F.array().cast("array<int>"), F.lit(diff), F.lit("big"), F.col("radius"), F.col("budget"))
+    got = {}
+    for r in df.select("radius", "budget", text.alias("t")).collect():
+        got.setdefault(r["budget"], set()).add(r["t"])
+    assert {b: len(t) for b, t in got.items()} == {2000.0: 1, 120.0: 1, 40.0: 1}
+    assert "lines 1-40" in got[2000.0].pop() and "lines 1-40" not in got[120.0].pop()
+
+
+def test_changed_numbers(value):
+    for diff in (None, "", "no hunk", "@@ -1,2 +0,2 @@ fn\n a\n-b\n-c\n+d\n e\n\\ No newline\n+f", "@@ -1 +7 @@\n same\ndiff --git a b\n@@ -4 +9 @@\n x",
+                 "diff --git a b\n@@ -1,2 +5,2 @@\n+a\n-b\n@@ -1,2 +50,2 @@\n+a\n-b\n-c\n+d", "@@ -1 +3 @@\n-gone\n-gone"):
+        whole = value(D.parse_diff(F.lit(diff).cast("string"), True, True))["changed"]
+        assert sorted(value(D.changed_numbers(F.lit(diff).cast("string")))) == sorted(whole)
