@@ -630,3 +630,45 @@ def test_python_workers_get_small_batches(spark, tmp_path):
             assert max(r.n for r in registry.QUERIES.pop(name)(spark, str(tmp_path)).collect()) == min(rows, 3000)
     finally:
         registry.QUERIES.pop(name, None)
+
+
+def test_pruning_works_the_rows_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("p", "a", "file", 1), ("p", "b", "file", 2), ("p", None, "file", 3), ("p", "tree", "directory-structure", 4), ("q", "a", None, 5), (None, "a", "file", 6), ("p", "c", None, 7)]
+    schema = "project_path string, path string, type string, n int"
+    existing = spark.createDataFrame(rows, schema).mapInArrow(run, schema)
+    live = spark.createDataFrame([("p", "a"), ("p", "a"), ("q", "a"), ("p", "z"), ("p", None)], "project_path string, path string")
+    assert sorted(r["n"] for r in R.prune_files(existing, live).collect()) == [1, 3, 4, 5]
+    assert made.value == len(rows)
+    chunks = existing.withColumnRenamed("path", "original_document_path")
+    named = live.withColumnRenamed("path", "original_document_path")
+    assert sorted(r["n"] for r in R.prune_chunks(chunks, named).collect()) == [1, 3, 5]
+    assert made.value == 2 * len(rows)
+
+
+def test_hashed_words_looks_a_word_up_once(monkeypatch):
+    import hashlib
+    import pickle
+
+    from reviewlake.operators import models
+
+    seen, digest = [], hashlib.md5
+    monkeypatch.setattr(models.hashlib, "md5", lambda b: seen.append(b) or digest(b))
+    texts = ["one Two two", "two three", "!!!", "one"]
+    embedder = HashedWords(8)
+    first, again = embedder(texts), embedder(texts[::-1])[::-1]
+    assert sorted(seen) == [b"", b"one", b"three", b"two"] and (first == again).all()
+    assert len(pickle.loads(pickle.dumps(embedder))._slots) == 0
+    for text, vector in zip(texts, first):
+        want = np.zeros(8)
+        for word in text.lower().replace("!!!", "").split() or [""]:
+            h = digest(word.encode()).hexdigest()
+            want[int(h[:8], 16) % 8] += 1.0 - 2.0 * (int(h[8], 16) % 2)
+        if want.any():
+            assert np.allclose(vector, want / np.linalg.norm(want))
