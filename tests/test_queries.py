@@ -27,3 +27,9 @@ def compare(spark, tmp_path):
 
 def test_line_numbers_of_empty_and_missing_texts(compare):
     assert len(compare("g29_add_line_numbers", [(1, "", "a"), (2, None, "a"), (3, "x\ny", "a"), (4, "\n", "a")])) == 4
+
+
+def test_stream_of_equal_copies_and_blank_files(compare):
+    # 5 and 4295 have one path; 21 to 23 have an empty head, so that a blank text leaves a blank file.
+    copies = [(5, "same", "s"), (4295, "same", "s"), (4295 + 4290, "other", "s"), (5 + 3 * 4290, "same", "t")]
+    assert len(compare("i2_stream_documents", [*copies, (21, "", "s"), (34, None, "s"), (8, "one", "s")])) == 7
