@@ -389,3 +389,80 @@ def test_comments_are_looked_through_from_the_nearest(spark, monkeypatch, first)
         monkeypatch.setattr(retrieval, "within", None)
     got = retrieval.find_relevant_comments(files, notes, 2, max_distance=1.9, embedder=E)
     assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == want
+
+
+def _custom_case(spark, n_queries, n_chunks, dim=6):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = ["react", "api", "generalpython", "flask", "plain"]
+    chunks = [(i, "/w", f"R{i % 2}", " ".join(rng.choice(words, 2)) + "x" * (2100 * (i % 3 == 0)), [float(x) for x in rng.integers(0, 3, dim)])
+              for i in rng.permutation(n_chunks).tolist()]
+    areas = [("Frontend", ["React"]), ("GeneralPython", ["Flask"]), ("Unknown", [])]
+    asked = [(i, "/w", "a/b.js", [float(x) for x in rng.integers(0, 3, dim)], *areas[i % 3], ["api", "flask", "react"][:i % 4]) for i in range(n_queries)]
+    return (spark.createDataFrame(asked, "query_id int, project_path string, path string, vector array<double>, area string, tech array<string>, keywords array<string>"),
+            spark.createDataFrame(chunks, "id int, project_path string, document_title string, content string, embedding array<double>"))
+
+
+@pytest.mark.parametrize("size", ["corpus small", "queries small", "blocks"])
+@pytest.mark.parametrize("rerank", [True, False])
+def test_custom_chunks_match_brute_force(spark, monkeypatch, size, rerank):
+    from reviewlake.functions import context as X
+    from reviewlake.functions import paths as P
+    from reviewlake.functions import vectors as V
+    from reviewlake.operators import knn
+
+    q, chunks = _custom_case(spark, 40, 90)
+    if size != "corpus small":
+        monkeypatch.setattr(knn, "BROADCAST_QUERIES", 50 if size == "queries small" else 10)
+    got = find_custom_chunks(q, chunks, 4, 0.3, rerank=rerank, embedder=HashedWords(6))
+    # Every pair is scored whole.
+    titles = retrieval.title_vectors(chunks, "document_title", HashedWords(6)).withColumnRenamed("title", "document_title")
+    pairs = q.drop("project_path").crossJoin(chunks.drop("project_path")).join(titles, "document_title").withColumn(
+        "s", V.cosine_similarity("vector", "embedding")).where("s >= 0.3")
+    pairs = pairs.join(pairs.groupBy("query_id").count(), "query_id")
+    score = X.rerank_custom_score(F.col("s"), F.col("content"), F.col("area"), F.col("tech"), F.col("keywords"),
+                                  V.cosine_similarity("vector", "title_vector"), P.path_similarity("path", "document_title"))
+    pairs = pairs.withColumn("s", F.round(F.when(F.lit(rerank) & (F.col("count") >= 2), score).otherwise(F.col("s")), 9)).select("query_id", "id", "s").collect()
+    want = []
+    for i in range(40):
+        mine = sorted((-r["s"], r["id"]) for r in pairs if r["query_id"] == i)[:4]
+        want += [(i, n + 1, id_, round(-s, 6)) for n, (s, id_) in enumerate(mine)]
+    assert sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 6)) for r in got.collect()) == want
+
+
+def test_custom_chunks_take_the_smallest_ids_of_clamped_scores(spark):
+    # Both terms lift every chunk beyond 1 or push it below 0: only the id decides, and the nearest chunks have the largest ones.
+    content = {"Frontend": "frontend react", "Backend": "x" * 3000}
+    for area, text in content.items():
+        title = "b/R" if area == "Frontend" else ""
+        chunks = spark.createDataFrame([(i, "/w", title, text, [1.0, (60 - i) / (30 if title else 300)]) for i in range(60)],
+                                       "id int, project_path string, document_title string, content string, embedding array<double>")
+        vector = [1.0, 0.0] if title else [1.0, -2.0]
+        q = spark.createDataFrame([(1, "/w", "b/b.js", vector, area, ["React"], ["react"])],
+                                  "query_id int, project_path string, path string, vector array<double>, area string, tech array<string>, keywords array<string>")
+        got = find_custom_chunks(q, chunks, 3, 0.3, embedder=E)
+        every = find_custom_chunks(q, chunks, 60, 0.3, embedder=E)
+        assert rows(got, "rank", "id", "similarity") == rows(every, "rank", "id", "similarity")[:3]
+        assert [r[2] for r in rows(got, "rank", "id", "similarity")] == [1.0 if title else 0.0] * 3
+
+
+def test_custom_chunks_ask_for_each_vector_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def vector(v):
+        seen.add(len(v))
+        return v
+
+    q, chunks = _custom_case(spark, 30, 20)
+    find_custom_chunks(q.withColumn("vector", vector("vector")), chunks, embedder=HashedWords(6)).collect()
+    assert seen.value == 30
+
+
+def test_only_chunks_that_can_win_leave_a_search_by_cosine(spark):
+    from reviewlake.operators.knn import similar
+
+    q, chunks = _custom_case(spark, 40, 2000)
+    pairs = lambda **kw: similar(q, chunks, 0.3, 3, vector_col="embedding", tenant="project_path", **kw)
+    assert pairs(itself=False).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 40
