@@ -414,7 +414,7 @@ def test_custom_chunks_match_brute_force(spark, monkeypatch, size, rerank):
 
     q, chunks = _custom_case(spark, 40, 90)
     if size != "corpus small":
-        monkeypatch.setattr(knn, "BROADCAST_QUERIES", 50 if size == "queries small" else 10)
+        monkeypatch.setattr(knn, "BROADCAST_FLOATS", 300 if size == "queries small" else 10)
     got = find_custom_chunks(q, chunks, 4, 0.3, rerank=rerank, embedder=HashedWords(6))
     # Every pair is scored whole.
     titles = retrieval.title_vectors(chunks, "document_title", HashedWords(6)).withColumnRenamed("title", "document_title")
@@ -466,3 +466,70 @@ def test_only_chunks_that_can_win_leave_a_search_by_cosine(spark):
     q, chunks = _custom_case(spark, 40, 2000)
     pairs = lambda **kw: similar(q, chunks, 0.3, 3, vector_col="embedding", tenant="project_path", **kw)
     assert pairs(itself=False).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 40
+
+
+@pytest.mark.parametrize("plan", ["broadcast", "blocks"])
+def test_knn_leaves_out_rows_with_the_own_value(spark, plan):
+    import numpy as np
+
+    from reviewlake.operators.knn import knn
+
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.integers(0, 3, 4)], None if i % 11 == 0 else f"p{i % 4 if i < 200 else 0}") for i in range(300)]
+    df = spark.createDataFrame(data, "id int, vector array<double>, at string")
+    got = knn(df.withColumnRenamed("id", "query_id"), df, 5, avoid="at", plan=plan, block_rows=40, query_block_rows=64)
+    want = []
+    for i, v, at in data:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w)), 9), j) for j, w, other in data if at is None or other != at)[:5]
+        want += [(i, n, j) for n, (_, j) in enumerate(near, 1)]
+    assert rows(got, "query_id", "rank", "id") == sorted(want)
+
+
+def test_rows_with_the_reviewed_path_are_not_asked_for(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(retrieval, "knn", lambda q, c, k, **kw: asked.append(k) or __import__("reviewlake.operators.knn", fromlist=["knn"]).knn(q, c, k, **kw))
+    files = spark.createDataFrame([(i, "/w", "a.js" if i < 30 else f"f{i}.js", "file", "x", [1.0, i / 100]) for i in range(40)],
+                                  "id int, project_path string, path string, type string, content string, vector array<double>")
+    q = spark.createDataFrame([(1, "/w", "a.js", "x", [1.0, 0.0], False), (2, "/w", "/w/b.js", "x", [1.0, 0.0], False)],
+                              "query_id int, project_path string, path string, content string, vector array<double>, is_test boolean")
+    got = find_similar_code(q, files, 3, 0.1, mode="vector")
+    assert rows(got, "query_id", "id") == [(1, 30), (1, 31), (1, 32), (2, 0), (2, 1), (2, 2)]
+    assert asked == [3]
+
+
+@pytest.mark.parametrize("floats", [8_000_000, 900, 10])
+def test_docs_ranked_inside_blocks_match_whole_candidates(spark, monkeypatch, floats):
+    import numpy as np
+
+    from reviewlake.operators import knn
+
+    rng = np.random.default_rng(7)
+    unit = lambda: [float(x) for x in (lambda v: v / np.linalg.norm(v))(rng.normal(size=4) + 1)]
+    chunks = [(i, "/w", f"docs/{'abc'[i % 3]}/g{i // 4}.md", f"Guide {'api' if i % 3 else 'x'}", "", f"text {i}", unit()) for i in range(400)]
+    chunks += [(1000 + i, *chunks[i][1:]) for i in range(40)]
+    chunks = spark.createDataFrame(chunks, "id int, project_path string, original_document_path string, document_title string, heading_text string, "
+                                           "content string, vector array<double>")
+    q = spark.createDataFrame([(i, "/w", f"docs/{'ab'[i % 2]}/q.js", "x", unit(), ["Backend", "Frontend", "Unknown"][i % 3], ["Node.js"]) for i in range(60)],
+                              "query_id int, project_path string, path string, text string, vector array<double>, area string, tech array<string>")
+    contexts = chunks.select("project_path", F.col("original_document_path").alias("path"), F.col("document_title").alias("title")).distinct().select(
+        "project_path", "path", "title", F.lit(False).alias("generic"), F.when(F.col("path").contains("/a/"), "Backend").otherwise("Unknown").alias("doc_area"),
+        F.array(F.lit("node.js")).alias("doc_tech"), F.col("path").contains("/b/").alias("readme_style"))
+    find = lambda: retrieval.find_relevant_docs(q, chunks, contexts, 6, 0.3, mode="vector", embedder=HashedWords(4))
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "_doc_lifts", lambda *a: None)
+        want = [(r[0], r[1], r[2], round(r[3], 9)) for r in rows(find(), "query_id", "rank", "id", "similarity")]
+    monkeypatch.setattr(knn, "BROADCAST_FLOATS", floats)
+    assert [(r[0], r[1], r[2], round(r[3], 9)) for r in rows(find(), "query_id", "rank", "id", "similarity")] == want
+    left = []
+    monkeypatch.setattr(retrieval, "best_lifted", lambda *a, **kw: left.append(knn.best_lifted(*a, **kw)) or left[0])
+    find()
+    assert left[0].groupBy("query_id").count().agg(F.max("count")).first()[0] == 6
+
+
+def test_comments_with_a_late_keyword_are_found(spark):
+    files = spark.createDataFrame([(1, "/p", "rather extraordinarily long", False)], "query_id int, project_path string, content string, is_test boolean")
+    notes = spark.createDataFrame([("c1", "/p", "aaa bbb ccc ddd eee fff extraordinarily", None), ("c2", "/p", "aaa bbb ccc ddd eee fff ordinary", None)],
+                                  "id string, project_path string, comment_text string, file_path string")
+    notes = retrieval.embed(notes, "comment_text", "combined_embedding", E)
+    got = retrieval.find_relevant_comments(files, notes, 2, max_distance=4.0, embedder=E)
+    assert rows(got, "id", "comment_text") == [("c1", "aaa bbb ccc ddd eee fff extraordinarily")]
