@@ -521,7 +521,7 @@ def test_docs_ranked_inside_blocks_match_whole_candidates(spark, monkeypatch, fl
     monkeypatch.setattr(knn, "BROADCAST_FLOATS", floats)
     assert [(r[0], r[1], r[2], round(r[3], 9)) for r in rows(find(), "query_id", "rank", "id", "similarity")] == want
     left = []
-    monkeypatch.setattr(retrieval, "best_lifted", lambda *a, **kw: left.append(knn.best_lifted(*a, **kw)) or left[0])
+    monkeypatch.setattr(retrieval, "within", lambda *a, **kw: left.append(knn.within(*a, **kw)) or left[0])
     find()
     assert left[0].groupBy("query_id").count().agg(F.max("count")).first()[0] == 6
 
